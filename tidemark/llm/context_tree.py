@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .arrays import Words, fast_join, mix, words_of
+from .arrays import Words, fast_join, mix, slices, words_of
 
 DEPTH = 5
 END = 10
 _END_KEY = np.uint64(0x5851F42D4C957F2D)  # the end, among word hashes
 _WORD_WIDTH = 7
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 16_000_000
+SLICE_BYTES = 2_000_000  # of a group that is held as arrays at a time
 SALTED_GROUPS = 512  # groups whose blobs one call on a bucket takes
 
 
@@ -71,6 +73,30 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[heads], np.diff(np.append(heads, len(keys)))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of several (keys, counts)."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(counts[order], heads)
+
+
+def _parts(table: pa.Table) -> Iterator[Words]:
+    return (words_of(part.column("text"), lower=True) for batch in table.combine_chunks().to_batches() for part in slices(batch, limit=SLICE_BYTES))
+
+
+def _distinct(table: pa.Table, depth: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams and words of a group, with counts."""
+    grams, words = [], []
+    for part in _parts(table):
+        grams.append(_counted(_grams(part, depth)[0]))
+        words.append(_counted(_word_keys(part)))
+    return _added(grams), _added(words)
+
+
 def _word_keys(words: Words) -> np.ndarray:
     return np.concatenate([words.hashes, np.full(words.n_docs, _END_KEY, dtype=np.uint64)])
 
@@ -96,9 +122,9 @@ def _send_counts(table: pa.Table, bits: int, depth: int) -> pa.Table:
     table = table.filter(table.column("learn"))
     if not table.num_rows:
         return ex.BLOB_SCHEMA.empty_table()
-    words = words_of(table.column("text"), lower=True)
-    rows = [r[:4] for r in _gram_blobs(*_counted(_grams(words, depth)[0]), g, bits, depth)]
-    rows += _word_blobs(*_counted(_word_keys(words)), g, bits)
+    grams, words = _distinct(table, depth)
+    rows = [r[:4] for r in _gram_blobs(*grams, g, bits, depth)]
+    rows += _word_blobs(*words, g, bits)
     return ex.blob_table(rows, ex.BLOB_SCHEMA)
 
 
@@ -222,9 +248,9 @@ def log10_chances(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, top:
 
 def _send_asked(table: pa.Table, bits: int, depth: int) -> pa.Table:
     g = table.column("g")[0].as_py()
-    words = words_of(table.column("text"), lower=True)
-    rows = [r[:4] for r in _gram_blobs(_counted(_grams(words, depth)[0])[0], None, g, bits, depth)]
-    rows += _word_blobs(_counted(_word_keys(words))[0], None, g, bits)
+    grams, words = _distinct(table, depth)
+    rows = [r[:4] for r in _gram_blobs(grams[0], None, g, bits, depth)]
+    rows += _word_blobs(words[0], None, g, bits)
     return ex.blob_table(rows, ex.BLOB_SCHEMA)
 
 
@@ -255,26 +281,28 @@ def _score(docs: pa.Table, replies: pa.Table, bits: int, depth: int, tokens: int
     if not docs.num_rows:
         return _SCORES_SCHEMA.empty_table()
     got = ex.replies_of(replies, 1)
-    words = words_of(docs.column("text"), lower=True)
-    keys, bounds = _grams(words, depth)
-    asked, _ = _counted(keys)
+    (asked, _), (word_keys, _) = _distinct(docs, depth)
     chance = np.empty(len(asked))
     for bucket, _, _, _, at in _gram_blobs(asked, None, 0, bits, depth):
         chance[at] = np.frombuffer(got[bucket], dtype=np.float32)
-    score = np.add.reduceat(chance[np.searchsorted(asked, keys)], bounds[:-1])
-    word_keys, _ = _counted(_word_keys(words))
     counts = np.empty(len(word_keys), dtype=np.int64)
     at = 0
     for bucket, _, part, _ in ex.pack(0, word_keys, bits, None, bucket_base=1 << bits):
         counts[at : at + len(part)] = np.frombuffer(got[bucket], dtype=np.int64)
         at += len(part)
-    count = counts[np.searchsorted(word_keys, words.hashes)]
     end = int(counts[np.searchsorted(word_keys, _END_KEY)])
-    log = np.concatenate([[0.0], np.cumsum(np.log10(count + 1.0) - math.log10(tokens + vocabulary + 1))])
-    known = np.concatenate([[0], np.cumsum(count > 0)])
-    lo, hi = words.first[:-1], words.first[1:]
-    base = log[hi] - log[lo] + math.log10((end + 1) / (tokens + vocabulary + 1))
-    return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("held_out"), hi - lo + 1, known[hi] - known[lo] + int(end > 0), np.diff(bounds), base, score], schema=_SCORES_SCHEMA)
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for words in _parts(docs):
+        keys, bounds = _grams(words, depth)
+        count = counts[np.searchsorted(word_keys, words.hashes)]
+        log = np.concatenate([[0.0], np.cumsum(np.log10(count + 1.0) - math.log10(tokens + vocabulary + 1))])
+        known = np.concatenate([[0], np.cumsum(count > 0)])
+        lo, hi = words.first[:-1], words.first[1:]
+        base = log[hi] - log[lo] + math.log10((end + 1) / (tokens + vocabulary + 1))
+        chances = np.add.reduceat(chance[np.searchsorted(asked, keys)], bounds[:-1])
+        for column, values in zip(columns, (hi - lo + 1, known[hi] - known[lo] + int(end > 0), np.diff(bounds), base, chances), strict=True):
+            column.append(values)
+    return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("held_out"), *(np.concatenate(c) for c in columns)], schema=_SCORES_SCHEMA)
 
 
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, plan: ex.Plan | None = None) -> DataFrame:
