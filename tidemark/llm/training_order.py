@@ -1,19 +1,20 @@
 """Training-order materialisation of token sequences as fixed-stride shards.
 
-Documents are tokenised, ended and joined, partition by partition, into sequences of
-a fixed length; the n-th sequence of the corpus goes to slot ``permute(n)``, a keyed
-Feistel permutation of ``0 .. N-1`` that walks its cycles until it falls in range.
-Every sequence thus knows its place without a sort, a random number or a lookup, and
-any step of training can be found again from the key alone.  Slots are dealt by
-range to shards, each one file of ``per_shard`` records of equal size, so that slot s
-lies in shard ``s // per_shard`` at byte ``(s % per_shard) * stride``.
-
-The first pass only counts, the second tokenises again and shuffles each record
-once; a record is two bytes an id for vocabularies of up to 65,536.
+Documents are tokenised, ended and joined, input split by input split, into sequences
+of a fixed length.  Each split owns a range of indices that its bytes bound (a token
+takes at least one byte), and a keyed Feistel permutation of all indices, which walks
+its cycles until it falls in range, gives each sequence its place.  Places are dealt by
+range to shards, one file each, of records of equal size in order of place; a
+sequence's global slot is the number of sequences with a smaller place: the records of
+the shards before, which the manifest holds, and its rank in its own.
+
+Texts are tokenised once: exact counts before the permutation would need a second pass
+or a stored copy of all ids.  A record is two bytes an id for vocabularies of up to
+65,536.
 
 Defined results: null and empty texts give only the end id; repeated rows are kept;
 an empty table gives no shards; other columns are ignored.  ``docs`` has to read the
-same in both passes (a table or a materialised frame).
+same twice (a table or a materialised frame).
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .arrays import mix
-from .exchange import one
+from .exchange import materialise, one
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 1024
-PER_SHARD = 4096
+PER_SHARD = 8192  # places of a shard; a third to a half of them hold a sequence
 ROUNDS = 6
 END = 0
 
@@ -72,32 +75,35 @@ def _streams(batches, path: str):
             yield doc, np.append(encode(text), END).astype(encode.kind)
 
 
-def _count(batches, path: str, length: int):
+def _bound(batches, length: int):
+    """Sequences that an input split can have at most."""
     from pyspark import TaskContext
 
-    total = sum(len(ids) for _, ids in _streams(batches, path))
+    total = sum(batch.num_rows + (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) for batch in batches)
     if total:
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([-(-total // length)], pa.int64())})
 
 
-_RECORD = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary())])
+_RECORD = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
-def _sequences(batches, path: str, length: int, bases: dict[int, int], n: int, key: int, per_shard: int):
+def _sequences(batches, path: str, length: int, bases: dict[int, tuple[int, int]], n: int, key: int, per_shard: int):
     """Records of one partition; memory holds a few hundred at a time."""
     from pyspark import TaskContext
 
-    number = bases.get(TaskContext.get().partitionId(), 0)
+    number, stop = bases.get(TaskContext.get().partitionId(), (0, 0))
     rows: list[tuple[list, bytes]] = []
     docs, buffer, have = [], [], 0
 
     def emit(rows: list[tuple[list, bytes]], first: int) -> pa.RecordBatch:
         import zstandard
 
-        slots = permute(np.arange(first, first + len(rows)), n, key)
+        if first + len(rows) > stop:
+            raise RuntimeError("an input split did not read the same twice")
+        place = permute(np.arange(first, first + len(rows)), n, key)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         width = np.dtype(encoder(path).kind).itemsize
-        return pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array([len(x) // width for _, x in rows], pa.int32()), pa.array([d for d, _ in rows], pa.list_(pa.int64())), pa.array([squeeze(x) for _, x in rows], pa.binary())], schema=_RECORD)
+        return pa.RecordBatch.from_arrays([pa.array(place // per_shard), pa.array(place), pa.array([len(x) // width for _, x in rows], pa.int32()), pa.array([d for d, _ in rows], pa.list_(pa.int64())), pa.array([squeeze(x) for _, x in rows], pa.binary())], schema=_RECORD)
 
     for doc, ids in _streams(batches, path):
         at = 0
@@ -118,72 +124,69 @@ def _sequences(batches, path: str, length: int, bases: dict[int, int], n: int, k
         yield emit(rows, number)
 
 
-_DDL = "slot long, shard long, position long, n_tokens int, doc_ids array<long>, ids_crc32 long"
-_OUT = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("position", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ids_crc32", pa.int64())])
+_DDL = "shard long, rank long, place long, position long, n_tokens int, doc_ids array<long>, ids_crc32 long"
+_OUT = pa.schema([("shard", pa.int64()), ("rank", pa.int64()), ("place", pa.int64()), ("position", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ids_crc32", pa.int64())])
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(table: pa.Table, root: str, per_shard: int, stride: int) -> pa.Table:
+def _write(table: pa.Table, root: str, stride: int) -> pa.Table:
     """One shard: written beside its place, then moved there, so that a task can run again."""
     import zstandard
 
     shard = table.column("shard")[0].as_py()
-    table = table.sort_by("slot")
+    table = table.sort_by("place")
     files, base = pyarrow.fs.FileSystem.from_uri(root)
     part, final = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}", f"{base}/{shard_name(shard)}"
     restore = zstandard.ZstdDecompressor().decompress
     sums = []
     with files.open_output_stream(part) as out:
-        for slot, raw in zip(table.column("slot").to_pylist(), table.column("ids").to_pylist(), strict=True):
+        for raw in table.column("ids").to_pylist():
             ids = restore(raw)
-            if slot != shard * per_shard + len(sums):
-                raise ValueError(f"slot {slot} is not the next one of shard {shard}")
             sums.append(zlib.crc32(ids))
             out.write(ids.ljust(stride, b"\0"))
     files.move(part, final)
-    slot = table.column("slot").combine_chunks()
-    position = pa.array((slot.to_numpy() - shard * per_shard) * stride)
-    return pa.table([slot, table.column("shard"), position, table.column("n_tokens"), table.column("doc_ids"), pa.array(sums, pa.int64())], schema=_OUT)
+    rank = np.arange(table.num_rows)
+    return pa.table([table.column("shard"), pa.array(rank), table.column("place"), pa.array(rank * stride), table.column("n_tokens"), table.column("doc_ids"), pa.array(sums, pa.int64())], schema=_OUT)
 
 
 def materialise_order(docs: DataFrame, root: str, key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str | None = None) -> DataFrame:
-    """Writes the shards under `root` (a URI all executors reach) when its rows are taken.
+    """Writes shards and manifest under `root`, a URI that all executors reach.
 
-    One row per sequence: slot, shard, byte position in the shard, ids before padding,
-    ids of the documents that it holds parts of, and the checksum of its record.
+    One row per sequence: slot, shard, byte position in it, permuted place, ids before
+    padding, ids of the documents that it holds parts of, and its checksum.
     """
     path = tokenizer or default_tokenizer()
-    kind = encoder(path).kind
     source = docs.select("doc_id", "text")
-    counts = {r["part"]: r["n"] for r in source.mapInArrow(functools.partial(_count, path=path, length=length), "part int, n long").collect()}  # one row per input split
+    bounds = {r["part"]: r["n"] for r in source.mapInArrow(functools.partial(_bound, length=length), "part int, n long").collect()}  # one row per input split
     bases, n = {}, 0
-    for part in sorted(counts):
-        bases[part] = n
-        n += counts[part]
+    for part in sorted(bounds):
+        bases[part] = (n, n + bounds[part])
+        n += bounds[part]
     made = functools.partial(_sequences, path=path, length=length, bases=bases, n=n, key=key, per_shard=per_shard)
-    records = source.mapInArrow(made, "shard long, slot long, n_tokens int, doc_ids array<long>, ids binary")
-    stride = length * np.dtype(kind).itemsize
+    records = source.mapInArrow(made, "shard long, place long, n_tokens int, doc_ids array<long>, ids binary")
+    stride = length * np.dtype(encoder(path).kind).itemsize
     files, base = pyarrow.fs.FileSystem.from_uri(root)
     files.create_dir(base, recursive=True)
-    return records.groupBy("shard").applyInArrow(one(_write, root=root, per_shard=per_shard, stride=stride), schema=_DDL)
+    written = materialise(records.groupBy("shard").applyInArrow(one(_write, root=root, stride=stride), schema=_DDL), "shards")
+    counts = written.groupBy("shard").agg(F.count(F.lit(1)).alias("records"))
+    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row per shard
+    counts.withColumn("first_slot", F.coalesce(before, F.lit(0))).coalesce(1).write.parquet(f"{root}/manifest.parquet")
+    manifest = docs.sparkSession.read.schema("shard long, records long, first_slot long").parquet(f"{root}/manifest.parquet")
+    return written.join(manifest, "shard").select((F.col("first_slot") + F.col("rank")).alias("slot"), "shard", "position", "place", "n_tokens", "doc_ids", "ids_crc32")
 
 
-def read_slots(root: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> np.ndarray:
-    """`count` consecutive records from slot `first` on: one seek per shard."""
+def read_slots(root: str, manifest: list[tuple[int, int, int]], first: int, count: int, length: int = LENGTH, kind: str = "<u2") -> np.ndarray:
+    """`count` consecutive records from slot `first` on: one seek per shard of (shard, records, first_slot)."""
     files, base = pyarrow.fs.FileSystem.from_uri(root)
     stride = length * np.dtype(kind).itemsize
-    out = []
-    while count > 0:
-        shard, at = divmod(first, per_shard)
-        take = min(count, per_shard - at)
-        with files.open_input_file(f"{base}/{shard_name(shard)}") as f:
-            f.seek(at * stride)
-            raw = f.read(take * stride)
-        if not raw:
-            break
-        out.append(np.frombuffer(raw, dtype=kind).reshape(-1, length))
-        first, count = first + take, count - take
-    return np.concatenate(out) if out else np.zeros((0, length), dtype=kind)
+    out = [np.zeros((0, length), dtype=kind)]
+    for shard, records, start in sorted(manifest, key=lambda m: m[2]):
+        lo, hi = max(first, start), min(first + count, start + records)
+        if lo < hi:
+            with files.open_input_file(f"{base}/{shard_name(shard)}") as f:
+                f.seek((lo - start) * stride)
+                out.append(np.frombuffer(f.read((hi - lo) * stride), dtype=kind).reshape(-1, length))
+    return np.concatenate(out)
