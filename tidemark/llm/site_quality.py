@@ -108,9 +108,11 @@ def _chosen_cells(batches, cells):
         yield pa.RecordBatch.from_arrays([table.column("quality").combine_chunks(), table.column("toxic").combine_chunks(), pa.array(raw, pa.binary())], names=["quality", "toxic", "cells"])
 
 
-def _logistic(column: np.ndarray, doc: np.ndarray, y: np.ndarray, width: int, rounds: int = 250, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def _logistic(column: np.ndarray, doc: np.ndarray, y: np.ndarray, width: int, rounds: int = 150, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on binary features, by accelerated gradient steps scaled per feature."""
-    n = len(y)
+    n, full = len(y), width
+    used, column = np.unique(column, return_inverse=True)
+    column, width = column.ravel(), len(used)
     p = min(max(y.mean(), 1e-4), 1 - 1e-4)
     weight, bias = np.zeros(width), float(np.log(p / (1 - p)))
     seen = np.bincount(column, minlength=width)
@@ -125,7 +127,9 @@ def _logistic(column: np.ndarray, doc: np.ndarray, y: np.ndarray, width: int, ro
         follow = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead, ahead_bias = new + (momentum - 1) / follow * (new - weight), new_bias + (momentum - 1) / follow * (new_bias - bias)
         weight, bias, momentum = new, new_bias, follow
-    return weight, bias
+    out = np.zeros(full)
+    out[used] = weight
+    return out, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:

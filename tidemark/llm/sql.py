@@ -33,10 +33,10 @@ SQL: dict[str, str] = {
         ), n AS (
             SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
         ), pair AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id GROUP BY ALL
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (h) WHERE a.doc_id < b.doc_id GROUP BY ALL
         ), link AS (
             SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-            WHERE 100 * both >= 90 * (x.n + y.n - both)
+            WHERE 100 * common >= 90 * (x.n + y.n - common)
         ), edge AS (
             SELECT a, b FROM link UNION ALL SELECT b, a FROM link
         ), reach AS (
