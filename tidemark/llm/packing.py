@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +29,13 @@ from .tokens import default_tokenizer, encoder
 LENGTH = 1024
 END = 0
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("salt", pa.int32())])
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("k", pa.int64())])
+_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, k long"
 
 
-def _cut(batches, path: str, length: int, salts: int, with_ids: bool):
+def _cut(batches, path: str, length: int, with_ids: bool):
     encode = encoder(path)
-    number = 0
+    part_id, seen = TaskContext.get().partitionId(), [0] * (length + 1)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -43,15 +44,16 @@ def _cut(batches, path: str, length: int, salts: int, with_ids: bool):
                 ids = np.append(encode(text), END).astype("<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length].tobytes()
-                    number += 1
-                    rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), len(ids), zlib.crc32(b"%d" % number) % salts, *([piece] if with_ids else [])))
+                    size = len(piece) // 4
+                    rows.append((doc, start, size, zlib.crc32(piece), len(ids), part_id, seen[size], *([piece] if with_ids else [])))
+                    seen[size] += 1
             schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, salts: int = 64, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most `length` ids, without any shuffle."""
-    cut = functools.partial(_cut, path=tokenizer or default_tokenizer(), length=length, salts=salts, with_ids=with_ids)
+def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Pieces of at most `length` ids, without any shuffle; k counts those of a length within their partition."""
+    cut = functools.partial(_cut, path=tokenizer or default_tokenizer(), length=length, with_ids=with_ids)
     return docs.select("doc_id", "text").mapInArrow(cut, _DDL + (", ids binary" if with_ids else ""))
 
 
@@ -121,16 +123,15 @@ def _place(batches, places: dict[int, np.ndarray], columns: list[str]):
 def assign(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     """Sequence and offset of every row of `pieces` (a table that reads the same each time)."""
     spark = cut.sparkSession
-    cells = materialise(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    cells = materialise(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     places = spark.sparkContext.broadcast(_places(patterns(histogram, length)))  # its size depends on `length` alone
-    # ranks within a length are counted by salted groups, so that a common length is no hot group
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = cells.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    columns = [c for c in cut.columns if c != "salt"]
-    ranked = cut.withColumn("k", F.row_number().over(order)).join(base, ["length", "salt"]).select(*columns, (F.col("base") + F.col("k") - 1).alias("rank"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "salt")
+    # ranks within a length go on from partition to partition, so that a common length is no hot group
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = cells.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    columns = [c for c in cut.columns if c not in ("part", "k")]
+    ranked = cut.join(base, ["length", "part"]).select(*columns, (F.col("base") + F.col("k")).alias("rank"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in columns)
 
     def place(batches):
         return _place(batches, places.value, columns)
@@ -140,6 +141,5 @@ def assign(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: where it comes from, its checksum (or ids), and where it goes."""
-    salts = 64
-    cut = materialise(pieces(docs, length, tokenizer, salts, with_ids), "pieces")
+    cut = materialise(pieces(docs, length, tokenizer, with_ids), "pieces")
     return assign(cut, length)
