@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, mix, slices, unique_sorted, words_of
 from .exchange import materialise
+from .sampling import smallest
 
 SAMPLE = 20_000
 CELLS = 1 << 18
@@ -80,14 +81,17 @@ def _features(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 _CELLS_DDL = "cell int, low long, toxic long, clean long"
+_LISTS_DDL = "quality int, toxic int, cells binary"
 
 
 def _cell_counts(batches):
     total = np.zeros((3, CELLS), dtype=np.int64)
-    for table in (part for batch in batches for part in slices(batch)):
-        doc, cell = _features(table)
-        quality = table.column("quality").to_numpy()
-        toxic = table.column("toxic").to_numpy()
+    for batch in batches:
+        raw = batch.column("cells").to_pylist()
+        cell = np.frombuffer(b"".join(raw), dtype=np.int32)
+        doc = np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw])
+        quality = batch.column("quality").to_numpy(zero_copy_only=False)
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         for i, kind in enumerate((quality == 0, toxic == 1, (quality != 0) & (toxic != 1))):
             total[i] += np.bincount(cell[kind[doc]], minlength=CELLS)
             if kind.any():
@@ -98,11 +102,17 @@ def _cell_counts(batches):
 
 
 def _chosen_cells(batches, cells):
-    """For training: the selected cells of every sampled document."""
+    """Of every sampled document, the selected cells."""
+    for batch in batches:
+        raw = [np.frombuffer(r, dtype=np.int32) for r in batch.column("cells").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("toxic"), pa.array([r[cells.value[r]].tobytes() for r in raw], pa.binary())], names=["quality", "toxic", "cells"])
+
+
+def _cell_lists(batches):
+    """For training: the cells of every sampled document."""
     for table in (part for batch in batches for part in slices(batch)):
         doc, cell = _features(table)
-        use = cells.value[cell]
-        doc, cell = doc[use], cell[use].astype(np.int32)
+        cell = cell.astype(np.int32)
         bounds = np.searchsorted(doc, np.arange(table.num_rows + 1))
         raw = [cell[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([table.column("quality").combine_chunks(), table.column("toxic").combine_chunks(), pa.array(raw, pa.binary())], names=["quality", "toxic", "cells"])
@@ -139,8 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     a ridge logistic regression on them weighs those that come together.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = smallest(known, sample, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` short rows at most
+    rows = materialise(rows.select("text", "quality", "toxic").mapInArrow(_cell_lists, _LISTS_DDL), "sampled")
     counts = materialise(rows.mapInArrow(_cell_counts, _CELLS_DDL).groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("low", "toxic", "clean"))), "cells")
     total = counts.where("cell = 255").first()
     weights = np.zeros((CELLS + 2, 2))
@@ -158,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     cells[[r["cell"] for r in counts.where((F.col("cell") != 255) & telling).select("cell").collect()]] = True
     cells[:255] = True
     shared = docs.sparkSession.sparkContext.broadcast(cells)
-    got = rows.select("text", "quality", "toxic").mapInArrow(functools.partial(_chosen_cells, cells=shared), "quality int, toxic int, cells binary").collect()  # of the bounded sample
+    got = rows.mapInArrow(functools.partial(_chosen_cells, cells=shared), _LISTS_DDL).collect()  # of the bounded sample
     column = np.frombuffer(b"".join(r["cells"] for r in got), dtype=np.int32)
     doc = np.repeat(np.arange(len(got)), [len(r["cells"]) // 4 for r in got])
     for k, y in enumerate((np.array([r["quality"] == 0 for r in got], float), np.array([r["toxic"] == 1 for r in got], float))):
