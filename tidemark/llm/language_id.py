@@ -52,7 +52,7 @@ def _compressors(names: tuple[str, ...], dictionaries: tuple[bytes, ...], level:
 def judge(text: str | None, names: tuple[str, ...], compressors: list) -> tuple[str, float, bool]:
     """Language, score and whether the margin is wide enough."""
     plain = normal(text) if text else ""
-    if not plain or not names:
+    if not names or not any(map(str.isalpha, plain)):
         return "und", 0.0, False
     raw = f" {plain} ".encode()
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
@@ -79,8 +79,10 @@ def _predict(batches, names: tuple[str, ...], dictionaries: tuple[bytes, ...], l
 
 def learn(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the rows (doc_id, text, lang)."""
-    usable = labelled.where("lang is not null and text is not null").where(F.octet_length("text") <= text_bytes)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # longer texts are taken only where a language lacks others, and then cut: a dictionary is no place for one text
+    long = F.octet_length("text") > text_bytes
+    usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", long.alias("long"), F.substring("text", 1, text_bytes).alias("text"))
+    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
     # Spark keeps per_language rows of each partition before the shuffle
     rows = usable.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).orderBy("lang", "k").select("lang", "text").limit(MAX_LANGUAGES * per_language).collect()
     out: dict[str, bytes] = {}
