@@ -62,3 +62,10 @@ def rules(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     row = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{i}") for i, c in enumerate(named.values())))
     pairs = ", ".join(f"'{k}', r{i}" for i, k in enumerate(named))
     return row.selectExpr(f"stack({len(named)}, {pairs}) as (rule, n)")
+
+
+def scope_check(facts: DataFrame, places: DataFrame, day: str, scope: str, place: str) -> DataFrame:
+    """By day and scope: places with facts, places the scope has, and whether they are the same number."""
+    expected = places.groupBy(scope).agg(F.countDistinct(place).alias("expected"))
+    seen = facts.join(places, place).groupBy(day, scope).agg(F.countDistinct(place).alias("represented"))
+    return seen.join(expected, scope).select(day, scope, "represented", "expected", (F.col("represented") == F.col("expected")).alias("consistent"))

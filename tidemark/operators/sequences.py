@@ -44,3 +44,17 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame
 def largest(df: DataFrame, column: str, n: int, ties: list[str]) -> DataFrame:
     """Top n by a column, nulls left out, ties by the given columns."""
     return df.where(F.col(column).isNotNull()).orderBy(F.col(column).desc(), *ties).limit(n)
+
+
+def order_breaks(df: DataFrame, index: str, keys: list[str], block: int = 100_000) -> DataFrame:
+    """(rows, breaks): in how many rows the keys do not exceed those of the row before, by index.
+
+    Rows are compared within blocks of the index, and block ends with the next block's
+    start, so that no task sees more than a block; rows without an index do not count.
+    """
+    order = Window.partitionBy("_b").orderBy(index)
+    rows = df.where(F.col(index).isNotNull()).select(index, F.struct(*keys).alias("_s"), F.floor(F.col(index) / block).alias("_b"))
+    rows = rows.withColumn("_x", F.col("_s") <= F.lag("_s").over(order))
+    blocks = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("rows"), F.count_if("_x").alias("breaks"), F.min_by("_s", index).alias("_first"), F.max_by("_s", index).alias("_last"))
+    joint = F.when(F.col("_first") <= F.lag("_last").over(Window.orderBy("_b")), 1).otherwise(0)  # a row per block
+    return blocks.withColumn("_j", joint).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("breaks") + F.col("_j")), F.lit(0)).alias("breaks"))

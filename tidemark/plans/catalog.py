@@ -488,3 +488,68 @@ def modulus_sample(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate BETWEEN DATE '1997-03-01' AND DATE '1997-03-07' AND l_suppkey IN (1, 2, 3, 5, 8)""")
 def bounded_slice(spark, sf_dir):
     return files.slice_of(Tables(spark, sf_dir).lineitem, "l_shipdate", date(1997, 3, 1), date(1997, 3, 7), "l_suppkey", [1, 2, 3, 5, 8], ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"])
+
+
+@query("""WITH e AS (SELECT *, lag(ts) OVER w AS p_ts, lag(user_id) OVER w AS p_user FROM events WINDOW w AS (ORDER BY event_id))
+SELECT 'ts' AS name, count(*) AS rows, count(*) FILTER (ts <= p_ts) AS breaks FROM e UNION ALL SELECT 'user_id', count(*), count(*) FILTER (user_id <= p_user) FROM e""")
+def order_certificate(spark, sf_dir):
+    events = Tables(spark, sf_dir).events
+    found = [sequences.order_breaks(events, "event_id", [k], block=1000).select(F.lit(k).alias("name"), "rows", "breaks") for k in ("ts", "user_id")]
+    return found[0].unionByName(found[1])
+
+
+@query("""WITH p AS (SELECT n_nationkey AS place, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT o_orderdate::DATE AS day, c_nationkey AS place FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT day, region, count(DISTINCT place) AS represented, any_value(n) AS expected, count(DISTINCT place) = any_value(n) AS consistent
+FROM f JOIN p USING (place) JOIN (SELECT region, count(DISTINCT place) AS n FROM p GROUP BY ALL) USING (region) GROUP BY day, region""")
+def scope_consistency(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("place"), F.col("r_name").alias("region"))
+    facts = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.to_date("o_orderdate").alias("day"), F.col("c_nationkey").alias("place"))
+    return agg.scope_check(facts, places, "day", "region", "place")
+
+
+@query(f"""WITH {PANEL}, top AS (SELECT store, item, day FROM panel ORDER BY sales DESC, day, store, item LIMIT 20),
+often AS (SELECT store, item, max_by(day, (sales, -(day - DATE '1970-01-01'))) AS day FROM panel GROUP BY store, item ORDER BY count(*) DESC, store, item LIMIT 10),
+c AS (SELECT row_number() OVER (ORDER BY sales DESC, day, store, item) AS case_id, * FROM panel JOIN (FROM top UNION FROM often) USING (store, item, day))
+SELECT case_id::INT AS case_id, c.store, c.item, c.day, c.sales, count(*) AS n_days, round(avg(p.sales) FILTER (p.day < c.day), 6) AS before_mean, round(avg(p.sales) FILTER (p.day > c.day), 6) AS after_mean, round(any_value(c.sales) / sum(p.sales), 6) AS share
+FROM c JOIN panel p ON p.store = c.store AND p.item = c.item AND p.day BETWEEN c.day - 7 AND c.day + 7 GROUP BY ALL""")
+def case_studies(spark, sf_dir):
+    """The largest days and the peaks of the busiest series, each with its surroundings."""
+    facts, keys = panel(Tables(spark, sf_dir)), ["store", "item", "day"]
+    top = sequences.largest(facts, "sales", 20, ["day", "store", "item"]).select(*keys)
+    often = facts.groupBy("store", "item").agg(sequences.peak("day", "sales").alias("day"), F.count(F.lit(1)).alias("n"))
+    often = sequences.largest(often, "n", 10, ["store", "item"]).select(*keys)
+    cases = facts.join(top.union(often).distinct(), keys)  # thirty at most
+    cases = cases.withColumn("case_id", F.row_number().over(Window.orderBy(F.col("sales").desc(), "day", "store", "item")))
+    near = joins.around(cases, facts, ["store", "item"], "day")
+    about = near.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.round(F.avg(F.when(F.col("relative_day") < 0, F.col("sales"))), 6).alias("before_mean"),
+        F.round(F.avg(F.when(F.col("relative_day") > 0, F.col("sales"))), 6).alias("after_mean"),
+        F.sum("sales").alias("total"),
+    )
+    return cases.join(about, "case_id").select("case_id", *keys, "sales", "n_days", "before_mean", "after_mean", F.round(F.col("sales") / F.col("total"), 6).alias("share"))
+
+
+@query("""WITH m AS (SELECT coalesce(event_type, 'unknown') AS kind, epoch_us(ts) AS t, 1 AS d FROM events WHERE value IS NOT NULL UNION ALL SELECT coalesce(event_type, 'unknown'), epoch_us(ts) + round(value * 1000000)::BIGINT, -1 FROM events WHERE value IS NOT NULL),
+s AS (SELECT kind, t // 3600000000 AS hour, sum(d) OVER (PARTITION BY kind ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS o, d FROM m WHERE t IS NOT NULL),
+g AS (SELECT kind, hour, max(o) AS most, sum(d) AS change, sum(sum(d)) OVER (PARTITION BY kind ORDER BY hour) AS o FROM s GROUP BY kind, hour)
+SELECT kind, hour, greatest(most, o - change)::BIGINT AS peak, o::BIGINT AS open FROM g""")
+def in_progress(spark, sf_dir):
+    return metrics.in_progress(Tables(spark, sf_dir).events)
+
+
+_HOURS = "h AS (SELECT DISTINCT coalesce(event_type, 'unknown') AS kind, (ts::DATE - DATE '1970-01-01') * 24 + hour(ts) AS h FROM events WHERE ts IS NOT NULL)"
+
+
+@query(f"""WITH {_HOURS}, t AS (SELECT DISTINCT kind, h + i AS h FROM h, range(6) r(i)), g AS (SELECT *, h - row_number() OVER (PARTITION BY kind ORDER BY h) AS k FROM t)
+SELECT kind, min(h) AS pending, min(h) + 12 AS fires, max(h) + 1 AS resolved FROM g GROUP BY kind, k HAVING max(h) - min(h) >= 12""")
+def raised_alerts(spark, sf_dir):
+    return metrics.raised(Tables(spark, sf_dir).events, window=6, hold=12)
+
+
+@query(f"""WITH {_HOURS}, n AS (SELECT *, lead(h) OVER (PARTITION BY kind ORDER BY h) AS resolved FROM h)
+SELECT kind, h + 1 AS pending, h + 5 AS fires, resolved FROM n WHERE resolved - h > 4""")
+def silence_alerts(spark, sf_dir):
+    return metrics.silent(Tables(spark, sf_dir).events, hold=4)

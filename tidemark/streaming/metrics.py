@@ -6,7 +6,7 @@ append mode hold bounded state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = (5.0, 10.0, 25.0, 50.0, 75.0, 100.0)
@@ -36,3 +36,39 @@ def quantile(hist: DataFrame, q: float) -> DataFrame:
     rows = hist.withColumns({"below": F.coalesce(F.lag("cumulative").over(order), F.lit(0)), "floor": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "rank": F.lit(q) * F.col("n")})
     hit = F.when((F.col("cumulative") >= F.col("rank")) & (F.col("below") < F.col("rank")), F.col("floor") + (F.col("le") - F.col("floor")) * (F.col("rank") - F.col("below")) / (F.col("cumulative") - F.col("below")))
     return rows.groupBy("kind").agg(F.round(F.coalesce(F.max(hit), F.max("le")), 6).alias("quantile"))
+
+
+def _hour(ts: str):
+    return F.datediff(ts, F.lit("1970-01-01")).cast("long") * 24 + F.hour(ts)
+
+
+def in_progress(events: DataFrame) -> DataFrame:
+    """By kind and hour since 1970: the most requests open at once, and those open at its end.
+
+    A request is open for `value` seconds from `ts`; at the same instant ends come first.
+    Hours are summed before they are put in order, so no task holds more than an hour of a kind.
+    """
+    micro = 1_000_000
+    began = (_hour("ts") * 3600 + F.minute("ts") * 60) * micro + (F.expr("extract(SECOND FROM ts)") * micro).cast("long")
+    known = events.where("ts is not null and value is not null").select(F.coalesce("event_type", F.lit("unknown")).alias("kind"), began.alias("a"), (began + F.round(F.col("value") * micro).cast("long")).alias("b"))
+    marks = known.select("kind", F.inline(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))))
+    marks = marks.withColumn("hour", F.floor(F.col("at") / (3600 * micro)).cast("long"))
+    within = Window.partitionBy("kind", "hour").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
+    hours = marks.withColumn("s", F.sum("d").over(within)).groupBy("kind", "hour").agg(F.max("s").alias("most"), F.sum("d").alias("change"))
+    end = F.sum("change").over(Window.partitionBy("kind").orderBy("hour"))
+    return hours.select("kind", "hour", (end - F.col("change") + F.greatest("most", F.lit(0))).alias("peak"), end.alias("open"))
+
+
+def raised(events: DataFrame, window: int, hold: int) -> DataFrame:
+    """Alerts of each kind: some event within the last `window` hours, for more than `hold` hours on end."""
+    hours = events.where("ts is not null").select(F.coalesce("event_type", F.lit("unknown")).alias("kind"), _hour("ts").alias("h")).distinct()
+    true = hours.select("kind", F.explode(F.sequence("h", F.col("h") + window - 1)).alias("h")).distinct()
+    runs = true.withColumn("g", F.col("h") - F.row_number().over(Window.partitionBy("kind").orderBy("h"))).groupBy("kind", "g").agg(F.min("h").alias("pending"), F.max("h").alias("last"))
+    return runs.where(F.col("last") - F.col("pending") >= hold).select("kind", "pending", (F.col("pending") + hold).alias("fires"), (F.col("last") + 1).alias("resolved"))
+
+
+def silent(events: DataFrame, hold: int) -> DataFrame:
+    """Alerts of each kind: no event for `hold` whole hours or more, between two events."""
+    hours = events.where("ts is not null").select(F.coalesce("event_type", F.lit("unknown")).alias("kind"), _hour("ts").alias("h")).distinct()
+    ahead = F.lead("h").over(Window.partitionBy("kind").orderBy("h"))
+    return hours.withColumn("resolved", ahead).where(F.col("resolved") - F.col("h") > hold).select("kind", (F.col("h") + 1).alias("pending"), (F.col("h") + 1 + hold).alias("fires"), "resolved")
