@@ -451,7 +451,7 @@ def weekend_patterns(spark, sf_dir):
     return rows.groupBy(F.when(gap & F.col("f").isNotNull() & F.col("m").isNotNull(), "bounded weekend").when(gap, "open weekend").otherwise("other").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, coalesce(event_type, 'unknown') AS kind, count(*) AS n, count(*) FILTER (event_type = 'refund') AS n_error, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, coalesce(event_type, 'unknown') AS kind, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_error, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def event_counts(spark, sf_dir):
     return metrics.counts(Tables(spark, sf_dir).events)
 

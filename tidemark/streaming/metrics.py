@@ -16,7 +16,7 @@ def counts(events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes
     """Events, errors and summed value by window and kind; a null kind is ``unknown``."""
     kind = F.coalesce("event_type", F.lit("unknown")).alias("kind")
     rows = events.withWatermark("ts", lateness) if events.isStreaming else events
-    grouped = rows.groupBy(F.window("ts", width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "refund").alias("n_error"), F.round(F.sum("value"), 4).alias("total"))
+    grouped = rows.groupBy(F.window("ts", width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_error"), F.round(F.sum("value"), 4).alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "kind", "n", "n_error", "total")
 
 
