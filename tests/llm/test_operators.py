@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, site_quality, substring_dedup, training_order
+from tidemark.llm import context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, sampling, site_quality, substring_dedup, training_order
 from tidemark.llm.tokens import default_tokenizer, encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -296,3 +296,19 @@ def test_site_quality_without_labels(spark, hard):
     assert site_quality.keep_good(hard, none).count() == hard.count()
     assert site_quality.keep_good(hard, none).columns == hard.columns
     assert site_quality.classify(hard.where("false"), none).count() == 0
+
+
+def test_bounded_sample_is_that_of_a_full_sort(spark):
+    rows = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    want = sorted(r[1] for r in rows.selectExpr("doc_id", "xxhash64(doc_id)").collect())[:500]
+    assert sorted(r[0] for r in sampling.smallest(rows, 500, "doc_id").selectExpr("xxhash64(doc_id)").collect()) == want
+    assert sampling.smallest(rows.limit(20), 500, "doc_id").count() == 20
+    assert sampling.smallest(rows.limit(0), 500, "doc_id").count() == 0
+
+
+def test_language_with_long_texts_only_is_learned(spark):
+    long, short = "vento mare luna sole " * 2000, "der wind und das meer"
+    rows = [(i, long if i % 2 else short, "xx" if i % 2 else "yy") for i in range(40)] + [(99, "½ 12", "yy")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got.pop(99) == "und"
+    assert got == {i: "xx" if i % 2 else "yy" for i in range(40)}
