@@ -117,6 +117,31 @@ def test_pii_trees_learn_and_calibrate():
     assert chosen.sum() > 0.7 * y[2000:].sum()
 
 
+def test_pii_of_a_small_corpus(spark):
+    df = spark.createDataFrame([(1, "the 4539578763621486 4539578763621486 end"), (2, "plain text, no. 12 of 2024")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    assert "card:4:20" in got[1]
+    assert got[2] == ""
+
+
+def test_pii_learns_a_rare_kind_beside_a_frequent_one(spark):
+    phones = [(i, " ".join(f"call +1 (212) 555-{(i * 37 + k) % 10000:04d} now" for k in range(60))) for i in range(600)]
+    cards = []
+    for i in range(80):
+        number = f"45395787636{i:04d}"
+        cards.append((1000 + i, "pay with " + next(number + c for c in "0123456789" if pii.luhn(number + c)) + " today"))
+        cards.append((2000 + i, f"order {number}{next(c for c in '0123456789' if not pii.luhn(number + c))} came"))
+    df = spark.createDataFrame([*phones, *cards, (9000, "the 4539578763621486 4539578763621486 end")], "doc_id long, text string")
+    trees = pii.train(df, sample=2000)
+    assert trees.thresholds[2] <= 1
+    assert "card:4:20" in pii.find(df, trees).where("doc_id = 9000").first()["spans"]
+
+
+def test_pii_sample_shares():
+    assert pii.quotas({(2, 1): 10, (3, 1): 10**9, (3, 0): 10**9}, 1010) == {(2, 1): 10, (3, 0): 500, (3, 1): 500}
+    assert pii.quotas({}, 10) == {}
+
+
 def test_packing(corpus):
     got = packing.pack(corpus).collect()
     encode = encoder(default_tokenizer())
