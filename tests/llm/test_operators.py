@@ -137,6 +137,19 @@ def test_pii_learns_a_rare_kind_beside_a_frequent_one(spark):
     assert "card:4:20" in pii.find(df, trees).where("doc_id = 9000").first()["spans"]
 
 
+def test_pii_candidates_are_wider_than_the_base():
+    texts = {(2, "4539578763621486"): "x 45 39 57 87 63 62 14 86 12", (1, "10.0.0.1"): "300.10.0.0.1", (0, "jörg.müller@exämple.de"): "an jörg.müller@exämple.de.", (4, "a1" * 400): "key " + "a1" * 400, (0, "o'neil@localhost"): "o'neil@localhost"}
+    for (kind, want), text in texts.items():
+        assert want in {text[a:b].replace(" ", "") for k, a, b in pii.candidates(text) if k == kind}, text
+    digits = " ".join("4539578763621486")
+    assert (2, 0, 31) in pii.candidates(digits + " 7 1")
+
+
+def test_pii_adds_an_address_of_other_letters(spark):
+    df = spark.createDataFrame([(1, "write to jörg@exämple.de or call"), (2, "no address @ all, @name")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.find(df).collect()} == {1: "email:9:24", 2: ""}
+
+
 def test_pii_sample_shares():
     assert pii.quotas({(2, 1): 10, (3, 1): 10**9, (3, 0): 10**9}, 1010) == {(2, 1): 10, (3, 0): 500, (3, 1): 500}
     assert pii.quotas({}, 10) == {}
