@@ -27,11 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    found = ngram_join.link_components(docs, SHINGLE, PERCENT)
-    kept = exchange.materialise(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    first = _documents(docs).join(kept, "doc_id", "left_semi")
-    return _documents(first.unionByName(_documents(docs).where("doc_id is null")))
+    """One row of each group of near duplicates, that with the smallest id; rows of null or repeated ids are judged each for itself."""
+    # links are between rows, so each gets a key of its own, which is stored as it must not change between reads
+    keyed = exchange.materialise(_documents(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = ngram_join.link_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    groups = found.select(F.col("doc_id").alias("row_key"), "component_id").join(keyed.select("row_key", "doc_id"), "row_key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
+    kept = exchange.materialise(first.select("first.row_key"), "kept")
+    return _documents(keyed.join(kept, "row_key", "left_semi"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

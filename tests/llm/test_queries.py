@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from tests.oracle import compare
@@ -34,3 +36,22 @@ def test_pipeline(spark):
             assert not any(brute.base_spans(r["text"] or "") for r in after)
         if name == "packing":
             assert {r["doc_id"] for r in after} == {d for d, _ in before}
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    """Rows of repeated and null ids, counted, against brute force over row numbers."""
+    import corpus_pipeline
+    from tests.llm import brute
+
+    a, b = brute.sentence(1, 120), brute.sentence(5, 120)
+    near = a.replace("w13x1", "changed", 1)
+    more = [(1, a), (1, a), (40, near), (40, b), (30, b), (None, a), (None, a), (None, near), (None, brute.sentence(6, 80)), (None, brute.sentence(6, 80)), (None, None), (None, "")]
+    rows = [r[:5] for r in brute.hard_rows()] + [(d, t, "en", "s", 1) for d, t in more]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    groups = {}
+    for row, _, group in brute.components([(i, r[1]) for i, r in enumerate(rows)], 5, 80):
+        groups.setdefault(group, []).append(rows[row][0])
+    want = Counter(min((d for d in ids if d is not None), default=None) for ids in groups.values())
+    out = corpus_pipeline.near_duplicates(spark, df, SMALL)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert Counter(r["doc_id"] for r in out.collect()) == want
