@@ -233,6 +233,16 @@ def test_robust_outliers_keep_clean_text(spark):
     assert kept.get(0, 0) <= 0.5 * got[0]
 
 
+def test_robust_outliers_reject_a_third_of_junk(spark):
+    clean = [(i, " ".join(f"w{chr(97 + (i * 7 + k * k) % 26)}{chr(97 + (i + k * 3) % 23)}{chr(97 + (k * i) % 19)}" + "e" * ((i + k) % 4) for k in range(80))) for i in range(130)]
+    junk = [(1000 + i, " ".join(f"j{chr(97 + (i + k) % 26)}{chr(97 + (i * k) % 21)}" + "#$" * (1 + (i + k) % 2) for k in range(80))) for i in range(70)]
+    df = spark.createDataFrame([(d, t, "en", "hot") for d, t in clean + junk], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in robust_outliers.judge(df).where("not base_failed").collect()}
+    assert sum(d >= 1000 for d in got) > 50 and sum(d < 1000 for d in got) > 100
+    assert not any(kept for d, kept in got.items() if d >= 1000)
+    assert all(kept for d, kept in got.items() if d < 1000)
+
+
 def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(1)
     d = len(robust_outliers.VECTOR)

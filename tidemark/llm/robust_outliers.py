@@ -29,7 +29,7 @@ from .exchange import materialise
 VECTOR = ("symbols", "dup_lines", "repeats", "word_length", "digits")
 FLOORS = (0.20, 0.40, 0.40, 0.15, 0.40)
 CUT = 40.0
-SHARE = 0.75
+SHARE = 0.5
 STEPS = 3
 LEAST = 30
 
@@ -107,7 +107,7 @@ def _moments(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]
     products = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("used"), *sums, *products)
-    scale = 1.6  # of the covariance of the closest three quarters, for five normal coordinates
+    scale = 2.6  # of the covariance of the closest half: 1.9 for five normal coordinates, and an allowance for wider tails
     return groups.withColumns({f"c{i}_{j}": scale * F.col(f"c{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
 
 
