@@ -6,6 +6,8 @@ last one returns packed pieces.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +28,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(site_quality.keep_good(_documents(docs), labels))
 
 
+def _chosen(docs: pa.Table, kept: pa.Table) -> pa.Table:
+    """The rows of a group whose keys were kept."""
+    return docs.filter(pc.is_in(docs.column("doc_id"), kept.column("doc_id").combine_chunks())).select(["named", *COLUMNS[1:]]).rename_columns(COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest id; rows of null or repeated ids are judged each for itself."""
-    # links are between rows, so each gets a key of its own, which is stored as it must not change between reads
-    keyed = exchange.materialise(_documents(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    found = ngram_join.link_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
-    groups = found.select(F.col("doc_id").alias("row_key"), "component_id").join(keyed.select("row_key", "doc_id"), "row_key")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
-    kept = exchange.materialise(first.select("first.row_key"), "kept")
-    return _documents(keyed.join(kept, "row_key", "left_semi"))
+    """One row of each group of near duplicates, that with the smallest id.
+
+    Rows are judged each for itself: of rows that repeat one stays, a row of null id
+    stays only if none of its group has an id, and rows without words link with nothing
+    and stay.  An empty table gives none.
+    """
+    plan = exchange.Plan(docs)
+    # links are between rows, so each gets a key of its own; texts are dealt to groups once and stored by group
+    keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("named"), *COLUMNS[1:])
+    rows = exchange.stored_groups(ngram_join.dealt(keyed, plan), plan.parts, "keyed")
+    found = ngram_join.link_components(rows, SHINGLE, PERCENT, plan, stored=True)
+    groups = found.select("doc_id", "component_id").join(rows.select("doc_id", "named", "g"), "doc_id")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("named").isNull().alias("unnamed"), "named", "doc_id", "g")).alias("first"))
+    kept = exchange.materialise(first.select("first.doc_id", "first.g"), "kept")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _documents(docs).schema)
+    return rows.groupBy("g").cogroup(kept.groupBy("g")).applyInArrow(_chosen, schema=fields)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

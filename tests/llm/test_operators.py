@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, sampling, site_quality, substring_dedup, training_order
+from tidemark.llm import context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, sampling, site_quality, skew, substring_dedup, training_order
 from tidemark.llm.tokens import default_tokenizer, encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,6 +58,40 @@ def test_ngram_join_of_a_large_family(spark, monkeypatch):
     assert rows(ngram_join.link_components(df, 3, 90).select("doc_id", "n_shingles", "component_id")) == brute.components(made, 3, 90)
 
 
+def test_ngram_join_with_heavy_keys(spark, corpus, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 8)
+    monkeypatch.setattr(skew, "HEAVY", 12)
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    got = rows(ngram_join.link_components(corpus, 3, 90).select("doc_id", "n_shingles", "component_id"))
+    assert got == brute.components(pairs(corpus), 3, 90)
+
+
+def test_tiles_of_a_shared_passage(spark, monkeypatch):
+    """Many documents that share most of their words and link with one other each: few tiles meet."""
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    met = []
+    tile_pairs = ngram_join._tile_pairs
+    monkeypatch.setattr(ngram_join, "_tile_pairs", lambda *a: met.append(tile_pairs(*a)) or met[0])
+    passage = brute.sentence(9, 160)
+    made = [(2 * i + k, f"{brute.sentence(1000 + i, 40)} {passage}") for i in range(400) for k in (0, 1)]
+    made = [(d, t + (" more" if d % 2 else "")) for d, t in made]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = rows(ngram_join.link_components(df, 3, 90).select("doc_id", "component_id"))
+    assert got == Counter({(d, d - d % 2): 1 for d, _ in made})
+    tiles = -(-len(made) // 16)
+    assert not met or met[0].count() < tiles * (tiles + 1) // 4
+
+
+def test_lookup_is_a_left_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 10)
+    left = exchange.materialise(spark.range(900).selectExpr("if(id % 3 = 0, 7L, if(id % 50 = 1, null, id % 40)) AS k", "id"), "left")
+    right = spark.range(0, 40, 3).selectExpr("id AS k", "id * 2 AS v").unionByName(spark.createDataFrame([(7, 1), (None, 5)], "k long, v long"))
+    heavy = skew.heavy_keys(left, ["k"])
+    assert 7 in {r["k"] for r in heavy.collect()}
+    assert rows(skew.lookup(left, right, ["k"], "left", heavy)) == rows(left.join(right, "k", "left"))
+    assert rows(skew.lookup(left, right, ["k"], "inner", heavy)) == rows(left.join(right, "k"))
+
+
 def test_decontamination(spark, corpus):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, brute.sentence(4, 15)), (901, "Two WORDS"), (902, None), (903, "..."), (900, "one")], "item_id long, text string"))
     want = brute.leaks(pairs(corpus), [tuple(r) for r in items.collect()])

@@ -55,3 +55,13 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark):
     out = corpus_pipeline.near_duplicates(spark, df, SMALL)
     assert out.columns == corpus_pipeline.COLUMNS
     assert Counter(r["doc_id"] for r in out.collect()) == want
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+    from tidemark.llm import exchange
+
+    out = spark.read.parquet(f"{SMALL}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = exchange.materialise(stage(spark, out, SMALL), "test-empty")
+        assert out.count() == 0, name

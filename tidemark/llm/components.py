@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import materialise
+from .exchange import discard, materialise
+from .skew import heavy_keys, lookup
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node is connected with.
 
-    Each round takes the least label among neighbours (pre-aggregated before the
-    shuffle, so a hub costs one row per task) and then follows labels of labels,
-    which halves the length of chains.  Every round is written to the shared folder.
+    Each round takes the least label among neighbours and then follows labels of labels,
+    which halves the length of chains.  Edges of a hub, and nodes whose labels name one
+    root, meet its label in a bounded broadcast, so that no task holds a hub; minima are
+    pre-aggregated before their shuffle.  Every round is written to the shared folder,
+    and the round before it deleted.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    hubs = heavy_keys(both, ["v"])
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnsRenamed({"u": "v", "label": "near"}), "v").groupBy("u").agg(F.min("near").alias("near"))
-        step = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("next"))
+        near = lookup(both, labels.withColumnsRenamed({"u": "v", "label": "near"}), ["v"], "inner", hubs).groupBy("u").agg(F.min("near").alias("near"))
+        step = materialise(labels.join(near, "u").select("u", "label", F.least("label", "near").alias("next")), "step")
         up = labels.select(F.col("u").alias("next"), F.col("label").alias("up"))
-        step = step.join(up, "next", "left").select("u", F.least("next", F.coalesce("up", "next")).alias("label"), (F.least("next", F.coalesce("up", "next")) < F.col("label")).alias("changed"))
-        step = materialise(step, "labels")
-        labels = step.select("u", "label")
-        if step.where("changed").isEmpty():
+        next_ = F.least("next", F.coalesce("up", "next"))
+        moved = lookup(step, up, ["next"], "left", heavy_keys(step, ["next"]))
+        moved = materialise(moved.select("u", next_.alias("label"), (next_ < F.col("label")).alias("changed")), "labels")
+        discard(step)
+        discard(labels)
+        labels = moved.select("u", "label")
+        if moved.where("changed").isEmpty():
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

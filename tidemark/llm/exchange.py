@@ -2,7 +2,7 @@
 
 Corpus-wide questions about a fingerprint (in how many documents, in which
 smallest one, how often) would take one shuffled row per word.  Here each group
-of about a megabyte of text sends its *distinct* fingerprints as sorted packed
+of documents (about a megabyte of text in a corpus of a gigabyte) sends its *distinct* fingerprints as sorted packed
 arrays, one blob per key bucket; a bucket merges the blobs and answers each group
 with an array in the same order.  A fingerprint that a third of all documents
 hold arrives once per group, so no bucket grows with its frequency.  Nothing is
@@ -21,14 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 1_000_000
-BUCKET_BYTES = 6_000_000
+#: Bytes of text of a group are the square root of this times the corpus, and of a bucket likewise, so that the
+#: number of blobs, groups times buckets, grows as the corpus does; what a task holds bounds both.
+GROUP_SCALE, GROUP_LEAST, GROUP_MOST = 2_000, 250_000, 48_000_000
+BUCKET_SCALE, BUCKET_LEAST, BUCKET_MOST = 72_000, 1_000_000, 96_000_000
+PART_BYTES, PARTS_MOST = 8_000_000, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share; one machine, where none is set, takes a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/tidemark-shared"
     return at.rstrip("/")
 
@@ -45,15 +50,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of `materialise` that nothing reads any more."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/tidemark/"
+    below = {f.split("/tidemark/", 1)[1].split("/", 1)[0] for f in df.inputFiles()[:1] if "/tidemark/" in f}
+    for name in below:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root + name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_groups(grouped: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows with their group `g`, dealt once and stored in buckets by it: grouping by `g` needs no shuffle any more."""
+    spark = grouped.sparkSession
+    table = f"tidemark_{uuid.uuid4().hex}"
+    grouped.repartition(parts, "g").write.bucketBy(parts, "g").option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 class Plan:
     """Sizes for one corpus: how many document groups, key buckets and partitions."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> None:
+    def __init__(self, docs: DataFrame, text: str = "text", group_bytes: int | None = None) -> None:
         row = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
         self.bytes, self.rows = int(row["b"]), int(row["n"])
-        self.groups = max(64, math.ceil(self.bytes / group_bytes))
-        self.bits = max(6, math.ceil(math.log2(max(1, self.bytes / BUCKET_BYTES))))
-        self.parts = max(12, math.ceil(self.bytes / (8 * GROUP_BYTES)))
+        group = group_bytes or min(max(math.sqrt(GROUP_SCALE * self.bytes), GROUP_LEAST), GROUP_MOST)
+        bucket = min(max(math.sqrt(BUCKET_SCALE * self.bytes), BUCKET_LEAST), BUCKET_MOST)
+        self.groups = max(64, math.ceil(self.bytes / group))
+        self.bits = max(6, math.ceil(math.log2(max(1, self.bytes / bucket))))
+        self.parts = min(max(12, math.ceil(self.bytes / PART_BYTES)), PARTS_MOST)
 
     def grouped(self, docs: DataFrame, *columns) -> DataFrame:
         """Documents with their group; the same rows always fall in the same group."""

@@ -8,8 +8,10 @@ document by n-gram incidence matrix with its transpose is accumulated over block
 of columns, between tiles of bounded size, and pairs below the bound that their
 two sizes give are discarded.  A large family is first compared with its most
 central member; members that link to it need no comparison among each other, as
-they are connected already.  Tiles return spanning links only, so no step makes a
-row for each pair of a group, and no link between classes is lost.
+they are connected already.  Two tiles meet only if they share a prefix n-gram, lie
+within the size bound, and have as many n-grams that any other document has as a
+link between their sizes needs.  Tiles return spanning links only, so no step makes
+a row for each pair of a group, and no link between classes is lost.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 text of fewer words than ``n`` has its whole word sequence as one n-gram; rows that
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from .arrays import Words, slices, words_of
 from .components import components
+from .skew import heavy_keys, lookup
 from .substring_dedup import _Runs
 
 TILE = 384  # documents of a tile
@@ -66,7 +69,7 @@ def _signatures(key: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 def _describe(batches, n: int):
     for table in (part for batch in batches for part in slices(batch)):
         key, bounds, _ = _sets(table, n)
-        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_signatures(key, bounds), type=pa.binary())], names=["doc_id", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), table.column("th").combine_chunks(), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_signatures(key, bounds), type=pa.binary())], names=["doc_id", "th", "n_shingles", "sig"])
 
 
 def _representatives(docs: pa.Table, marks: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +118,8 @@ def _merge_counts(table: pa.Table) -> pa.Table:
     return ex.blob_table(rows, ex.REPLY_SCHEMA)
 
 
-_ALIVE = "doc_id long, n long, prefix int, weight double, grams binary"
-_ALIVE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("weight", pa.float64()), ("grams", pa.binary())])
+_ALIVE = "doc_id long, n long, n_shared long, prefix int, weight double, grams binary"
+_ALIVE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("n_shared", pa.int64()), ("prefix", pa.int32()), ("weight", pa.float64()), ("grams", pa.binary())])
 
 
 def _alive(docs: pa.Table, replies: pa.Table, n: int, bits: int, percent: int) -> pa.Table:
@@ -138,7 +141,7 @@ def _alive(docs: pa.Table, replies: pa.Table, n: int, bits: int, percent: int) -
         if prefix > 0 and size > own:
             k, c = keys[a:b], grade[a:b]
             order = np.lexsort((k, c))[own:]
-            rows.append((d, size, min(prefix, size - own), float(c.mean()), k[order].tobytes()))
+            rows.append((d, size, size - own, min(prefix, size - own), float(c.mean()), k[order].tobytes()))
     return ex.blob_table(rows, _ALIVE_SCHEMA)
 
 
@@ -223,79 +226,121 @@ def _to_pivot(batches, percent: int):
         for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("n", "grams", "pivot_n", "pivot_grams")), strict=True):
             both = len(np.intersect1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True))
             ok.append(100 * both >= percent * (a + b - both))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ok, type=pa.bool_())], names=["doc_id", "core"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pivot"), pa.array(ok, type=pa.bool_())], names=["doc_id", "pivot", "core"])
 
 
-def _family_edges(alive: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+FINE = 8  # size steps of a class: documents that link differ by at most so many and one
+
+
+def _placed(large: DataFrame, core: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, tile, family, step, kind, n_shared, n) of the members of large families.
+
+    A tile holds about `TILE` documents of a family and a size step that share their
+    smallest prefix n-gram where they can.
+    """
+    width = math.log(100 / percent) / FINE + 1e-9
+    rows = large.select("doc_id", "family", "n", "n_shared").join(core, "doc_id").join(anchors, "doc_id")
+    rows = rows.withColumns({"step": F.floor(F.log("n") / F.lit(width)).cast("int"), "kind": F.when(F.col("core"), "c").otherwise("r")})
+    rows = ex.materialise(rows.drop("core"), "places")
+    cell = ["family", "step", "kind"]
+    cells = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("tiles"))
+    rows = ex.materialise(lookup(rows, cells, cell, "inner", heavy_keys(rows, cell)).withColumn("spot", F.pmod("anchor", "tiles")).drop("anchor", "tiles"), "places")
+    spots = rows.groupBy(*cell, "spot").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("shares"))
+    rows = lookup(rows, spots, [*cell, "spot"], "inner", heavy_keys(rows, [*cell, "spot"]))
+    share = F.pmod(F.xxhash64("doc_id"), "shares")
+    return ex.materialise(rows.select("doc_id", F.concat_ws(":", *cell, "spot", share).alias("tile"), *cell, "n", "n_shared"), "places")
+
+
+def _tile_pairs(places: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs of tiles that share a prefix n-gram and whose sizes and shared n-grams allow a link."""
+    facts = places.groupBy("tile", "step", "kind").agg(F.min("n").alias("least"), F.max("n_shared").alias("most"))
+    held = ex.materialise(postings.join(places.select("doc_id", "tile"), "doc_id").select("gram", "tile").distinct(), "held")
+    several = held.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    held = lookup(held, several, ["gram"], "inner", heavy_keys(held, ["gram"]))
+    one_, two_ = (held.select("gram", F.col("tile").alias(t)) for t in ("t1", "t2"))
+    near = one_.join(two_, "gram").where("t1 < t2").select("t1", "t2").distinct()
+    near = near.unionByName(facts.where("kind = 'r'").select(F.col("tile").alias("t1"), F.col("tile").alias("t2")))
+    for k in "12":
+        near = near.join(facts.select(*(F.col(c).alias(c[0] + k if c == "tile" else c + k) for c in facts.columns)), f"t{k}")
+    possible = (F.lit(100 + percent) * F.least("most1", "most2") >= F.lit(percent) * (F.col("least1") + F.col("least2"))) & (F.abs(F.col("step1") - F.col("step2")) <= FINE)
+    return near.where(possible & ~((F.col("kind1") == "c") & (F.col("kind2") == "c"))).select("t1", "t2")
+
+
+def _large_edges(large: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Spanning links within families of more than a tile."""
+    pivots = large.groupBy("family", "m").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot"))
+    pivots = pivots.join(large.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("grams").alias("pivot_grams")), "pivot")
+    # members meet their pivot in shares of a tile, each with a copy of it
+    shares = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
+    pivots = ex.materialise(pivots.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("m"), "pivots")
+    met = large.withColumn("share", F.pmod(F.xxhash64("doc_id"), shares)).join(pivots, ["family", "share"])
+    core = met.select("doc_id", "n", "grams", "pivot", "pivot_n", "pivot_grams").mapInArrow(functools.partial(_to_pivot, percent=percent), "doc_id long, pivot long, core boolean")
+    core = ex.materialise(core, "core")
+    to_pivot = core.where("core and doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    # postings are ordered by document and n-gram hash; the smallest hash draws like documents together
+    anchors = postings.groupBy("doc_id").agg(F.min("gram").alias("anchor"))
+    places = _placed(large, core.select("doc_id", "core"), anchors, percent)
+    pairs = ex.materialise(_tile_pairs(places, postings, percent), "pairs")
+    side = F.when(F.col("t1") == F.col("t2"), 0).otherwise(1)
+    roles = pairs.select(F.col("t1").alias("tile"), "t1", "t2", side.alias("side")).unionByName(pairs.where("t1 <> t2").select(F.col("t2").alias("tile"), "t1", "t2", F.lit(2).alias("side")))
+    paired = roles.join(places.select("doc_id", "tile", "family"), "tile").join(large.select("doc_id", "n", "grams"), "doc_id")
+    tiled = paired.select("family", "side", "doc_id", "n", "grams", "t1", "t2").groupBy("t1", "t2").applyInArrow(ex.one(_tile, percent=percent), schema=_EDGES)
+    return to_pivot.unionByName(tiled)
+
+
+def _family_edges(alive: DataFrame, families: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """Spanning links of all representatives that link."""
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    members = ex.materialise(alive.join(families, "doc_id").join(sizes, "family"), "members")
+    sized = lookup(families, sizes, ["family"], "inner", heavy_keys(families, ["family"]))
+    members = ex.materialise(alive.join(sized, "doc_id"), "members")
     small = members.where(F.col("m") <= TILE)
     bins = max(1, math.ceil(small.count() / TILE))
     edges = small.select("family", F.lit(0).alias("side"), "doc_id", "n", "grams", F.pmod(F.xxhash64("family"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(ex.one(_tile, percent=percent), schema=_EDGES)
     large = members.where(F.col("m") > TILE)
-    if large.isEmpty():
-        return edges
-    pivots = large.groupBy("family").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot"))
-    pivots = pivots.join(large.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("grams").alias("pivot_grams")), "pivot")
-    core = ex.materialise(large.join(pivots, "family").select("doc_id", "n", "grams", "pivot_n", "pivot_grams").mapInArrow(functools.partial(_to_pivot, percent=percent), "doc_id long, core boolean"), "core")
-    to_pivot = large.join(core.where("core"), "doc_id").join(pivots.select("family", "pivot"), "family").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).where("a <> b")
-    # size classes: documents that link are in the same one or in neighbours
-    width = math.log(100 / percent) + 1e-9
-    rows = large.join(core, "doc_id").withColumn("class", F.floor(F.log("n") / F.lit(width)).cast("int"))
-    kind = F.when(F.col("core"), "c").otherwise("r")
-    rows = rows.withColumn("kind", kind)
-    cells = rows.groupBy("family", "class").pivot("kind", ["c", "r"]).agg(F.count(F.lit(1))).na.fill(0)
-    tiles = cells.select("family", "class", *[F.ceil(F.col(k) / F.lit(TILE)).cast("int").alias(f"t{k}") for k in "cr"])
-    near = tiles.select("family", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.struct(F.col("class").alias("k"), "tc", "tr").alias("cell")).groupBy("family", "class").agg(F.sort_array(F.collect_list("cell")).alias("cells"))  # three at most
-    rows = rows.join(near, ["family", "class"])
-    own = F.expr("filter(cells, c -> c.k = class)[0]")
-    spot = F.pmod(F.xxhash64("doc_id"), F.when(F.col("core"), own["tc"]).otherwise(own["tr"])).cast("int")
-    me = F.concat_ws(":", F.col("class"), F.col("kind"), F.col("spot"))
-    others = F.expr("""
-        flatten(transform(cells, c -> concat(
-            transform(if(c.tr > 0, sequence(0, c.tr - 1), array()), i -> concat_ws(':', c.k, 'r', i)),
-            transform(if(c.tc > 0 and kind = 'r', sequence(0, c.tc - 1), array()), i -> concat_ws(':', c.k, 'c', i)))))
-    """)
-    paired = rows.withColumn("spot", spot).withColumn("me", me).withColumn("other", F.explode(others))
-    side = F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2)
-    paired = paired.select("family", side.alias("side"), "doc_id", "n", "grams", F.least("me", "other").alias("t1"), F.greatest("me", "other").alias("t2"))
-    tiled = paired.groupBy("family", "t1", "t2").applyInArrow(ex.one(_tile, percent=percent), schema=_EDGES)
-    return edges.unionByName(to_pivot).unionByName(tiled)
-
-
-def link_components(docs: DataFrame, n: int = 5, percent: int = 80, plan: ex.Plan | None = None) -> DataFrame:
+    return edges if large.isEmpty() else edges.unionByName(_large_edges(large, postings, percent))
+
+
+def dealt(docs: DataFrame, plan: ex.Plan) -> DataFrame:
+    """Rows with their group, by id and text, so that rows of one id are no hot group."""
+    return docs.withColumn("g", _group(plan, F.xxhash64("text")))
+
+
+def _group(plan: ex.Plan, text_hash):
+    return F.pmod(F.xxhash64("doc_id", text_hash), F.lit(plan.groups)).cast("int")
+
+
+def link_components(docs: DataFrame, n: int = 5, percent: int = 80, plan: ex.Plan | None = None, stored: bool = False) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id), one row for each row of docs.
 
     Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` for their sets of
     distinct ``n``-word shingles.  ``class_id`` is the smallest id with an equal set,
-    ``component_id`` the smallest id that links reach.
+    ``component_id`` the smallest id that links reach.  With `stored`, docs is what
+    `exchange.stored_groups` made of `dealt` rows, and texts are not shuffled.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within 50 and 100")
     plan = plan or ex.Plan(docs)
     bits = plan.bits
-    described = ex.materialise(docs.select("doc_id", "text").mapInArrow(functools.partial(_describe, n=n), "doc_id long, n_shingles long, sig binary"), "sets")
-    classes = described.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
-    grouped = plan_by_id(plan, docs)
-    marks = classes.select(group_of("class_id", plan).alias("g"), F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("sig").alias("vals"), F.col("class_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    described = ex.materialise(texts.mapInArrow(functools.partial(_describe, n=n), "doc_id long, th long, n_shingles long, sig binary"), "sets")
+    named = described.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    classes = ex.materialise(named.select("sig", "r.doc_id", "r.th").withColumn("g", _group(plan, F.col("th"))), "classes")
+    # only rows with an id stand for a class
+    grouped = docs.select("g", "doc_id", "text") if stored else dealt(docs.select("doc_id", "text").where("doc_id is not null"), plan).repartition(plan.parts, "g")
+    marks = classes.select("g", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("sig").alias("vals"), "doc_id")
     by_group = grouped.groupBy("g")
     blobs = by_group.cogroup(marks.groupBy("g")).applyInArrow(ex.two(_send_counts, n=n, bits=bits), schema=ex.BLOB)
     replies = ex.answer(blobs, _merge_counts).withColumn("doc_id", F.lit(None).cast("long")).unionByName(marks)
     alive = ex.materialise(by_group.cogroup(replies.groupBy("g")).applyInArrow(ex.two(_alive, n=n, bits=bits, percent=percent), schema=_ALIVE), "alive")
-    postings = alive.select("doc_id", "prefix", "grams").mapInArrow(_prefix_keys, "doc_id long, gram long")
+    postings = ex.materialise(alive.select("doc_id", "prefix", "grams").mapInArrow(_prefix_keys, "doc_id long, gram long"), "postings")
     first = postings.groupBy("gram").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
-    shared = postings.join(first.select("gram", "b"), "gram").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
-    families = components(shared).withColumnsRenamed({"node": "doc_id", "component": "family"})
-    families = ex.materialise(families, "families")
-    found = components(_family_edges(alive, families, percent)).withColumnsRenamed({"node": "class_id"})
-    reach = classes.join(found, "class_id", "left").select("sig", "class_id", F.coalesce("component", "class_id").alias("component"))
-    return described.join(reach, "sig", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def group_of(column: str, plan: ex.Plan):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(plan.groups)).cast("int")
-
-
-def plan_by_id(plan: ex.Plan, docs: DataFrame) -> DataFrame:
-    return docs.select(group_of("doc_id", plan).alias("g"), "doc_id", "text").repartition(plan.parts, "g")
+    shared = lookup(postings, first.select("gram", "b"), ["gram"], "inner", heavy_keys(postings, ["gram"]))
+    families = components(shared.select(F.col("doc_id").alias("a"), "b")).withColumnsRenamed({"node": "doc_id", "component": "family"})
+    edges = ex.materialise(_family_edges(alive, families, postings, percent), "links")
+    found = components(edges).withColumnsRenamed({"node": "doc_id"})
+    for table in (alive, postings, families, edges):
+        ex.discard(table)
+    reach = classes.join(found, "doc_id", "left").select("sig", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component"))
+    reach = ex.materialise(reach, "reach")
+    out = lookup(described, reach, ["sig"], "left", heavy_keys(described, ["sig"]))
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
