@@ -118,3 +118,60 @@ def statistics(text):
             dup += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def outliers(rows, share=0.5, steps=3, prior=30.0, level=1e-6):
+    """(doc_id: kept, distance) of rows (doc_id, text, lang, source), by numpy, group for group."""
+    import numpy as np
+
+    from tidemark.llm.robust_outliers import FLOORS, chi_square_value, consistency
+
+    floors = np.diag(np.square(FLOORS))
+
+    def vector(t):
+        n, chars, symbols, dup, rep = statistics(t)
+        digits = sum("0" <= c <= "9" for c in t or "")
+        n, chars = max(n, 1), max(chars, 1)
+        return [4 * (symbols / chars) ** 0.5, 8 * (dup / n) ** 0.5, 4 * (rep / n) ** 0.5, np.log(chars / n), 4 * (digits / chars) ** 0.5]
+
+    def middle(bins):
+        return np.sort(bins, axis=0)[(len(bins) - 1) // 2]
+
+    def shrunk(n, m, c, whole):
+        if whole is None:
+            return m, c
+        w = n / (n + prior)
+        return w * m + (1 - w) * whole[0], w * c + (1 - w) * whole[1]
+
+    def far(x, m, c):
+        return np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+
+    def fit(x, whole):
+        bins = np.floor(100 * x + 0.5)
+        mid = middle(bins)
+        spread = middle(np.abs(bins - mid)) / 100
+        m, c = shrunk(len(x), mid / 100, np.diag((1.4826 * spread) ** 2) + floors, whole)
+        for limit in [None] * steps + [chi_square_value(0.975, 5)]:
+            place = np.floor(16 * np.log2(np.maximum(far(x, m, c), 1e-9)))
+            if limit is None:
+                end, scale = np.sort(place)[int(np.ceil(share * len(x))) - 1], consistency(share)
+            else:
+                end, scale = max(np.floor(16 * np.log2(limit)), place.min()), consistency(0.975)
+            inner = x[place <= end]
+            m, c = shrunk(len(inner), inner.mean(axis=0), scale * np.cov(inner.T, bias=True) + floors, whole)
+        return m, c
+
+    facts = [(d, (lang, source), vector(t), statistics(t)) for d, t, lang, source in rows]
+    failed = {d: s[0] < 50 or 100 * s[4] > 50 * s[0] for d, _, _, s in facts}
+    groups = defaultdict(list)
+    for d, k, v, _ in facts:
+        if not failed[d]:
+            groups[k].append(v)
+    whole = fit(np.array([v for vs in groups.values() for v in vs]), None)
+    fitted = {k: fit(np.array(vs), whole) for k, vs in groups.items()}
+    cut = chi_square_value(1 - level, 5)
+    out = {}
+    for d, k, v, _ in facts:
+        q = far(np.array([v]), *fitted.get(k, whole))[0]
+        out[d] = (bool(not failed[d] and q <= cut), q)
+    return out

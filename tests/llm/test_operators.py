@@ -277,14 +277,43 @@ def test_robust_outliers_reject_a_third_of_junk(spark):
     assert all(kept for d, kept in got.items() if d < 1000)
 
 
+def test_consistency_factor_and_chi_square():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200_000, 5))
+    q = (x**2).sum(axis=1)
+    for share in (0.5, 0.75, 0.975):
+        assert robust_outliers.chi_square_value(share, 5) == pytest.approx(np.quantile(q, share), rel=0.02)
+        inner = x[q <= np.quantile(q, share)]
+        assert robust_outliers.consistency(share) * inner.var(axis=0).mean() == pytest.approx(1, rel=0.02)
+
+
+def test_robust_outliers_equal_a_plain_version(spark, hard):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    hard = hard.select("doc_id", "text", "lang", "source")
+    df = docs.select("doc_id", "text", "lang", "source").unionByName(hard.where("doc_id is not null").withColumn("doc_id", hard["doc_id"] + 100_000)).distinct()
+    got = {r["doc_id"]: (r["kept"], r["distance"]) for r in robust_outliers.judge(df).collect()}
+    want = brute.outliers([tuple(r) for r in df.collect()])
+    assert {d: k for d, (k, _) in got.items()} == {d: k for d, (k, _) in want.items()}
+    for d, (_, distance) in want.items():
+        assert got[d][1] == pytest.approx(distance, rel=1e-6)
+
+
+def test_robust_outliers_tell_null_from_empty(spark):
+    rows = [(i, brute.sentence(i % 7, 60), None if i % 2 else "", "s") for i in range(80)]
+    rows += [(100 + i, brute.sentence(i % 7, 60) + " #$" * 30, None, "s") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["distance"] for r in robust_outliers.judge(df).collect()}
+    assert got[0] != got[1]
+
+
 def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(1)
     d = len(robust_outliers.VECTOR)
     a = rng.normal(size=(d, d))
     cov, x, m = a @ a.T + np.eye(d), rng.normal(size=d), rng.normal(size=d)
     values = {f"x{i}": float(x[i]) for i in range(d)} | {f"m{i}": float(m[i]) for i in range(d)} | {f"c{i}_{j}": float(cov[i, j]) for i in range(d) for j in range(i + 1)}
-    df = robust_outliers._factor(spark.createDataFrame([tuple(values.values())], list(values)), d)
-    got = df.select(robust_outliers._distance(d).alias("q")).first()["q"]
+    df = robust_outliers._factor(spark.createDataFrame([tuple(values.values())], list(values)))
+    got = df.select(robust_outliers._distance().alias("q")).first()["q"]
     assert got == pytest.approx((x - m) @ np.linalg.solve(cov, x - m))
 
 

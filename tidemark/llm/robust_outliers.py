@@ -1,61 +1,75 @@
 """Quality rules by robust multivariate outliers, in DataFrame expressions only.
 
 Each document becomes a vector of transformed text statistics.  For every (language,
-source) a minimum-covariance-determinant estimate is reached by concentration steps:
-start from medians and median absolute deviations, take the half (`share`) of the
-group with the smallest distances, re-estimate mean and covariance from it, and
-repeat.  Each step is two grouped aggregations, pre-aggregated before their shuffle,
-so a source with a third of all rows is no hot task.  The covariance is scaled for
-consistency, floored in every direction by a fixed measurement scale, and inverted by
-a Cholesky factorisation written out as column expressions.  Documents whose squared
-Mahalanobis distance exceeds the cut are rejected.
+source), and for all documents, a minimum-covariance-determinant estimate is reached
+by concentration steps: start from medians and median absolute deviations, take the
+half (`share`) with the smallest distances, re-estimate mean and covariance from it,
+and repeat; a last step takes all within the `REWEIGHT` level of the chi-square
+distribution.  Covariances are made consistent by the factor that normal data need for
+that share, floored in every direction by a fixed measurement scale, and inverted by a
+Cholesky factorisation written out as column expressions.  A group's moments are shrunk
+toward those of all documents, as if `prior` more documents had these, so that small
+groups need no rule of their own.  Documents whose squared Mahalanobis distance exceeds
+the chi-square value of chance `level` are rejected.
+
+A step is one aggregation by group and distance bin (a sixteenth of an octave), so that
+the closest half is what the first bins hold: no sort, no quantile sketch, and no task
+that holds a group.  Estimates of all documents are plain numbers and need no join.
+Documents meet their group's estimate by `skew.lookup`, so a source with a third of all
+rows is no hot task.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Defined results: null and empty texts have no words
-and fail the base rule; null languages and sources form groups of their own; groups
-of fewer than `least` documents use the estimate of all documents; rows that repeat
-are judged alike; an empty table gives no rows; other columns are ignored.
+and fail the base rule; null languages and sources form groups of their own, apart from
+empty names; rows that repeat are judged alike; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .exchange import materialise
+from .skew import heavy_keys, lookup
 
-#: Statistics, how they are transformed, and the scale below which a spread is noise.
+#: Statistics, and the scale below which a spread is noise.
 VECTOR = ("symbols", "dup_lines", "repeats", "word_length", "digits")
 FLOORS = (0.20, 0.40, 0.40, 0.15, 0.40)
-CUT = 40.0
+D = len(VECTOR)
+LEVEL = 1e-6  # chance that a document of normal statistics is rejected
 SHARE = 0.5
+REWEIGHT = 0.975
 STEPS = 3
-LEAST = 30
+PRIOR = 30.0
+_PLACE = (1 << 30) - 1
 
 
 def statistics(docs: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, *columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_digits)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *columns, text.alias("t"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("w"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines).withColumn("n", F.size("w"))
-    # 3-word windows as (hash, place), sorted: equal neighbours are repeated windows
-    windows = F.expr("sort_array(transform(slice(w, 1, greatest(n - 2, 0)), (x, i) -> struct(xxhash64(x, w[i + 1], w[i + 2]) AS h, i AS i)))")
-    rows = rows.withColumn("s", windows)
-    found = F.expr("filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)).i")
-    rows = rows.withColumn("r", found)
+    # 3-word windows as part of a hash with the place in the lower bits: plain numbers, which sort fast; equal neighbours may repeat
+    windows = F.expr(f"sort_array(transform(slice(w, 1, greatest(n - 2, 0)), (x, i) -> (xxhash64(x, w[i + 1], w[i + 2]) & {~_PLACE}L) | i))")
+    rows = rows.withColumn("p", windows)
+    rows = rows.withColumn("p", F.expr("filter(p, (x, k) -> (k > 0 AND shiftright(p[k - 1], 30) = shiftright(x, 30)) OR (k + 1 < size(p) AND shiftright(p[k + 1], 30) = shiftright(x, 30)))"))
+    # whole hashes decide, of those few
+    rows = rows.withColumn("s", F.expr(f"sort_array(transform(transform(p, x -> CAST(x & {_PLACE}L AS INT)), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))"))
+    rows = rows.withColumn("r", F.expr("array_sort(filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)).i)"))
     # words covered by windows of three: each new place adds three, less what the one before covers
-    covered = F.expr("aggregate(array_sort(r), named_struct('end', CAST(-1 AS INT), 'sum', 0L), (a, i) -> named_struct('end', i + 2, 'sum', a.sum + (i + 2 - greatest(a.end, i - 1))), a -> a.sum)")
+    covered = F.expr("aggregate(r, named_struct('end', CAST(-1 AS INT), 'sum', 0L), (a, i) -> named_struct('end', i + 2, 'sum', a.sum + (i + 2 - greatest(a.end, i - 1))), a -> a.sum)")
     return rows.select(
         "doc_id",
         *columns,
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("r") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        (F.length("t") - F.length(F.translate("t", "0123456789", ""))).cast("long").alias("n_digits"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[0-9]+", ""))).cast("long").alias("n_digits"),
     )
 
 
@@ -75,77 +89,138 @@ def _vector() -> list[Column]:
     ]
 
 
-def _distance(d: int) -> Column:
-    """Squared distance from columns x*, mean m* and covariance c*_*, by forward substitution."""
-    low: dict[tuple[int, int], Column] = {}
+def chi_square(x: float, df: int) -> float:
+    """Chance that a chi-square variable of `df` degrees is at most x."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 0.0
+    term = total = math.exp(a * math.log(x) - x - math.lgamma(a + 1))
+    k = 1
+    while term > 1e-17 * total:
+        term *= x / (a + k)
+        total += term
+        k += 1
+    return min(total, 1.0)
+
+
+def chi_square_value(chance: float, df: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, df) < chance else (low, middle)
+    return high
+
+
+def consistency(share: float, d: int = D) -> float:
+    """What the covariance of the closest `share` of normal points has to be multiplied by."""
+    return share / chi_square(chi_square_value(share, d), d + 2)
+
+
+_PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+_ESTIMATE = [*(f"m{i}" for i in range(D)), *(f"l{i}_{j}" for i, j in _PAIRS)]
+
+
+def _distance(at=F.col) -> Column:
+    """Squared distance from x*, location m* and factor l*_*, by forward substitution."""
     solved: list[Column] = []
     total = F.lit(0.0)
-    for i in range(d):
-        for j in range(i + 1):
-            low[i, j] = F.col(f"l{i}_{j}")
-        z = F.col(f"x{i}") - F.col(f"m{i}")
+    for i in range(D):
+        z = F.col(f"x{i}") - at(f"m{i}")
         for j in range(i):
-            z = z - low[i, j] * solved[j]
-        solved.append(z / low[i, i])
+            z = z - at(f"l{i}_{j}") * solved[j]
+        solved.append(z / at(f"l{i}_{i}"))
         total = total + solved[i] * solved[i]
     return total
 
 
-def _factor(groups: DataFrame, d: int) -> DataFrame:
+def _factor(groups: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l*_* of c*_*, one column after the other (a row per group)."""
-    for i in range(d):
-        for j in range(i + 1):
-            value = F.col(f"c{i}_{j}")
-            for k in range(j):
-                value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            groups = groups.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}_{j}"))
+    for i, j in _PAIRS:
+        value = F.col(f"c{i}_{j}")
+        for k in range(j):
+            value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        groups = groups.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}_{j}"))
     return groups
 
 
-def _moments(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """Mean and floored covariance of x* by group."""
-    sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]
-    products = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("used"), *sums, *products)
-    scale = 2.6  # of the covariance of the closest half: 1.9 for five normal coordinates, and an allowance for wider tails
-    return groups.withColumns({f"c{i}_{j}": scale * F.col(f"c{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(d) for j in range(i + 1)})
-
-
-def estimate(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Location m* and Cholesky factor l*_* of every group of rows (keys, x*)."""
-    d = len(VECTOR)
-    middle = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), *(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(d)))
-    spread = rows.join(middle, keys).groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(d)))
-    groups = middle.join(spread, keys).withColumns({f"c{i}_{j}": F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)})
-    sizes = middle.select(*keys, "members")
-    names = [*keys, *(f"m{i}" for i in range(d)), *(f"c{i}_{j}" for i in range(d) for j in range(i + 1))]
-    groups = materialise(_factor(groups.select(*names), d), "mcd")
-    for _ in range(steps):
-        near = rows.join(groups, keys).withColumn("dist", _distance(d)).select(*keys, *(f"x{i}" for i in range(d)), "dist")
-        limit = near.groupBy(*keys).agg(F.percentile_approx("dist", share, 1000).alias("limit"))
-        inner = near.join(materialise(limit, "mcd"), keys).where("dist <= limit")
-        groups = materialise(_factor(_moments(inner, keys, d), d), "mcd")
-    return groups.join(sizes, keys)
-
-
-def judge(docs: DataFrame, lang: str = "lang", source: str = "source", cut: float = CUT, least: int = LEAST) -> DataFrame:
+def _shrunk(groups: DataFrame, n: str, whole: Row | None, prior: float) -> DataFrame:
+    """m* and c*_* of every group as if `prior` more documents had those of all."""
+    if whole is not None:
+        weight = F.col(n) / (F.col(n) + F.lit(prior))
+        groups = groups.withColumns({c: weight * F.col(c) + (1 - weight) * F.lit(float(whole[c])) for c in (*(f"m{i}" for i in range(D)), *(f"c{i}_{j}" for i, j in _PAIRS))})
+    return _factor(groups)
+
+
+def _middle(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The median of `bin` by keys, where `n` counts it."""
+    by = Window.partitionBy(*keys)
+    ranked = cells.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
+    return ranked.where(2 * F.col("upto") >= F.col("all")).groupBy(*keys).agg(F.min("bin").alias("middle"))
+
+
+def _start(cells: DataFrame, keys: list[str], whole: Row | None, prior: float) -> DataFrame:
+    """Medians and median absolute deviations, from counts of (keys, i, bin) in hundredths of x*."""
+    cells = cells.groupBy(*keys, "i", "bin").agg(F.sum("n").alias("n"))
+    middle = _middle(cells, [*keys, "i"])
+    apart = cells.join(middle, [*keys, "i"]).withColumn("bin", F.abs(F.col("bin") - F.col("middle"))).groupBy(*keys, "i", "bin").agg(F.sum("n").alias("n"))
+    spread = _middle(apart, [*keys, "i"]).withColumnRenamed("middle", "spread")
+    sizes = cells.groupBy(*keys, "i").agg(F.sum("n").alias("n"))
+    each = middle.join(spread, [*keys, "i"]).join(sizes, [*keys, "i"])
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c))) / 100
+    groups = each.groupBy(*keys).agg(F.max("n").alias("n"), *(pick("middle", i).alias(f"m{i}") for i in range(D)), *(pick("spread", i).alias(f"d{i}") for i in range(D)))
+    groups = groups.withColumns({f"c{i}_{j}": F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS})
+    return _shrunk(groups, "n", whole, prior)
+
+
+def _step(rows: DataFrame, keys: list[str], share: float, within: float | None, whole: Row | None, prior: float) -> DataFrame:
+    """New estimates from the closest `share` of each group of rows (keys, x*, dist), or from those `within` a distance."""
+    sums = {f"m{i}": F.sum(f"x{i}") for i in range(D)} | {f"c{i}_{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in _PAIRS}
+    place = lambda v: F.floor(16 * F.log2(F.greatest(v, F.lit(1e-9)))).cast("int")
+    cells = rows.groupBy(*keys, place(F.col("dist")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items()))
+    by = Window.partitionBy(*keys)  # of some hundred bins
+    before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.row_number().over(by.orderBy("bin")) == 1
+    ranked = cells.withColumns({"before": before, "all": F.sum("n").over(by), "first": first})
+    inner = F.col("before") < share * F.col("all") if within is None else F.col("first") | (F.col("bin") <= place(F.lit(within)))
+    groups = ranked.where(inner).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
+    scale = consistency(share if within is None else chi_square(within, D))
+    groups = groups.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in range(D)})
+    groups = groups.withColumns({f"c{i}_{j}": scale * (F.col(f"c{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
+    return _shrunk(groups, "n", whole, prior)
+
+
+def _plan(share: float, steps: int) -> list[tuple[float, float | None]]:
+    return [(share, None)] * steps + [(share, chi_square_value(REWEIGHT, D))]
+
+
+def estimate(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int = STEPS, prior: float = PRIOR, heavy: DataFrame | None = None) -> tuple[DataFrame, Row | None]:
+    """Location m* and Cholesky factor l*_* of every group of rows (keys, x*), and of all rows (none of no rows)."""
+    parts = F.array(*(F.struct(F.lit(i).alias("i"), F.floor(100 * F.col(f"x{i}") + 0.5).cast("int").alias("bin")) for i in range(D)))
+    cells = materialise(rows.select(*keys, F.inline(parts)).groupBy(*keys, "i", "bin").agg(F.count(F.lit(1)).alias("n")), "mcd")
+    whole = _start(cells, [], None, prior).first()
+    if whole is None or whole["m0"] is None:
+        return _start(cells, keys, None, prior).select(*keys, *_ESTIMATE), None
+    for how in _plan(share, steps):
+        at = lambda c: F.lit(float(whole[c]))  # noqa: E731, B023
+        whole = _step(rows.withColumn("dist", _distance(at)), [], *how, None, prior).first()
+    groups = materialise(_start(cells, keys, whole, prior).select(*keys, *_ESTIMATE), "mcd")
+    for how in _plan(share, steps):
+        near = lookup(rows, groups, keys, "inner", heavy).withColumn("dist", _distance())
+        groups = materialise(_step(near, keys, *how, whole, prior).select(*keys, *_ESTIMATE), "mcd")
+    return groups, whole
+
+
+def judge(docs: DataFrame, lang: str = "lang", source: str = "source", level: float = LEVEL, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)."""
-    d = len(VECTOR)
-    named = docs.select("doc_id", "text", F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("k_lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("k_source"))
-    rows = statistics(named, "k_lang", "k_source").withColumn("base_failed", base_failed())
+    keys = ["k_lang", "k_source"]
+    named = docs.select("doc_id", "text", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip((lang, source), keys, strict=True)))
+    rows = statistics(named, *keys).withColumn("base_failed", base_failed())
     rows = materialise(rows.withColumns({f"x{i}": v for i, v in enumerate(_vector())}), "statistics")
-    fitted = rows.where("not base_failed").select("k_lang", "k_source", *(f"x{i}" for i in range(d)))
-    # every row counts for its own group and, under empty keys, for all documents
-    both = fitted.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("level"))
-    both = both.withColumns({k: F.when(F.col("level") == 0, F.col(k)).otherwise("") for k in ("k_lang", "k_source")})
-    groups = materialise(estimate(both, ["level", "k_lang", "k_source"]), "mcd")
-    names = [f"m{i}" for i in range(d)] + [f"l{i}_{j}" for i, j in itertools.product(range(d), range(d)) if j <= i]
-    own = groups.where((F.col("level") == 0) & (F.col("members") >= least)).select("k_lang", "k_source", *names)
-    total = groups.where("level = 1").select(*(F.col(c).alias(f"all_{c}") for c in names))
-    out = rows.join(own, ["k_lang", "k_source"], "left").join(F.broadcast(total), F.lit(True), "left")  # one row
-    out = out.withColumns({c: F.coalesce(c, f"all_{c}", F.lit(1.0)) for c in names})
-    verdict = out.withColumn("distance", _distance(d))
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= cut)).alias("kept"))
-
-
-__all__ = ["VECTOR", "base_failed", "estimate", "judge", "statistics"]
+    heavy = heavy_keys(rows, keys)
+    groups, whole = estimate(rows.where("not base_failed").select(*keys, *(f"x{i}" for i in range(D))), keys, prior=prior, heavy=heavy)
+    out = lookup(rows, groups, keys, "left", heavy)
+    if whole is not None:  # groups of which every document fails the base rule have no estimate of their own
+        out = out.withColumns({c: F.coalesce(c, F.lit(float(whole[c]))) for c in _ESTIMATE})
+    cut = chi_square_value(1 - level, D)
+    verdict = out.withColumn("distance", _distance())
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))

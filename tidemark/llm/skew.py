@@ -21,7 +21,7 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     total = rows.count()
     if total <= FLOOR:
         return None
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(FLOOR // 10, total / HEAVY))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total / HEAVY)
     found = materialise(counted.dropna(subset=keys).select(*keys), "heavy")
     return None if found.isEmpty() else found
 
