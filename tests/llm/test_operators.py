@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -184,6 +185,52 @@ def test_pii_adds_an_address_of_other_letters(spark):
     assert {r["doc_id"]: r["spans"] for r in pii.find(df).collect()} == {1: "email:9:24", 2: ""}
 
 
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_pii_acts_alike_at_every_size(spark, scale):
+    """Planted tokens, most of them not assigned to anything, are caught beside any corpus; plain words and slugs are not."""
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(50)]
+    planted = [(10**9 + i, f"we saw {'token = ' if i % 5 == 0 else ''}{t} there") for i, t in enumerate(made)]
+    clean = [(2 * 10**9, "see anno-domini-2024-long-name and Supercalifragilistic or MAX_LINE_LENGTH_120_BYTES, no. 4539 5787 6362 1487 of 12")]
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").select("doc_id", "text")
+    df = docs.unionByName(spark.createDataFrame(planted + clean, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in pii.find(df).where("doc_id >= 1000000000").collect()}
+    caught = sum(f"secret:{t.index(s)}:{t.index(s) + 40}" in got[d]["spans"].split(",") for (d, t), s in zip(planted, made, strict=True))
+    assert caught >= 0.9 * len(planted)
+    assert got[2 * 10**9]["n_added"] == 0
+
+
+def test_pii_added_spans_equal_a_plain_version(spark, hard, docs):
+    trees = pii.train(docs)
+    more = [(500, "the 4539578763621486 4539578763621486 end"), (501, "write jörg@exämple.de key " + "a1b2" * 12)]
+    df = docs.select("doc_id", "text").unionByName(hard.where("doc_id is not null").selectExpr("doc_id + 1000 AS doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id long, text string")).distinct()
+    got = Counter((r["doc_id"], r["spans"], r["n_added"]) for r in pii.find(df, trees).collect())
+    want = Counter()
+    for d, text in pairs(df):
+        text = text or ""
+        base = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in brute.base_spans(text))]
+        apart = lambda s, others: all(s[2] <= o[1] or o[2] <= s[1] for o in others)
+        scored = [(s, float(trees.chance(pii.features(text, [s]))[0])) for s in pii.candidates(text)]
+        added = []
+        for s, p in sorted(scored, key=lambda x: -x[1]):
+            ruled = s[0] in (0, 4) or any(x.startswith(f"{pii.KINDS[s[0]]}:0:{s[2] - s[1]}") for x in brute.base_spans(text[s[1] : s[2]]))
+            if p >= trees.thresholds[s[0]] and ruled and apart(s, base) and apart(s, added):
+                added.append(s)
+        want[d, ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base + added)), len(added)] += 1
+    assert sum(n for (_, _, n) in want) > 2
+    assert got == want
+
+
+def test_pii_of_a_text_of_megabytes(docs):
+    trees = pii.train(docs)
+    text = " ".join(f"+1 (212) 555-{i % 10000:04d} and 10.{i % 256}.0.{i % 200}" for i in range(125_000))
+    assert len(text) > 4_000_000
+    began = time.time()
+    (base, _), *_ = pii._select([text], trees)
+    assert len(base) == 250_000
+    assert time.time() - began < 60
+
+
 def test_pii_sample_shares():
     assert pii.quotas({(2, 1): 10, (3, 1): 10**9, (3, 0): 10**9}, 1010) == {(2, 1): 10, (3, 0): 500, (3, 1): 500}
     assert pii.quotas({}, 10) == {}
