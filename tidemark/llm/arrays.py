@@ -218,3 +218,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1_000_000):
         hi = max(lo + 1, int(np.searchsorted(size, size[lo] + limit, side="right")) - 1)
         yield pa.Table.from_batches([batch.slice(lo, hi - lo)])
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed Arrow memory back: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import release
+
 #: Bytes of text of a group are the square root of this times the corpus, and of a bucket likewise, so that the
 #: number of blobs, groups times buckets, grows as the corpus does; what a task holds bounds both.
 GROUP_SCALE, GROUP_LEAST, GROUP_MOST = 2_000, 250_000, 48_000_000
@@ -161,7 +163,9 @@ def one(function: Callable, **fixed) -> Callable[[pa.Table], pa.Table]:
     """`function` of one table with its other arguments fixed, in the form applyInArrow takes."""
 
     def run(table: pa.Table) -> pa.Table:
-        return function(table, **fixed)
+        out = function(table, **fixed)
+        release()
+        return out
 
     return run
 
@@ -170,6 +174,8 @@ def two(function: Callable, **fixed) -> Callable[[pa.Table, pa.Table], pa.Table]
     """The same for a function of two tables, for cogroups."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return function(left, right, **fixed)
+        out = function(left, right, **fixed)
+        release()
+        return out
 
     return run

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import release
 from .exchange import materialise
 from .tokens import default_tokenizer, encoder
 
@@ -49,6 +50,7 @@ def _cut(batches, path: str, length: int, with_ids: bool):
                     seen[size] += 1
             schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+        release()
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
