@@ -1,6 +1,7 @@
 import pytest
 
 from tests.oracle import compare
+from tidemark.plans import reviews  # noqa: F401  registers further queries
 from tidemark.plans.catalog import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"

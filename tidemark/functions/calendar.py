@@ -46,3 +46,35 @@ def fractional(v: Column) -> Column:
 
 def magnitude(v: Column) -> Column:
     return F.when(v.isNull(), "missing").when(v < 0, "negative").when(v == 0, "zero").when(v <= 10, "to 10").when(v <= 100, "to 100").otherwise("above 100")
+
+
+def whole_week(week_end: Column, first: Column, last: Column) -> Column:
+    """Whether [first, last] holds the whole week that ends then."""
+    return (F.date_sub(week_end, 6) >= first) & (week_end <= last)
+
+
+def whole_month(month_end: Column, first: Column, last: Column) -> Column:
+    """Whether [first, last] holds the whole month that ends then."""
+    return (F.trunc(month_end, "MM") >= first) & (month_end <= last)
+
+
+def recoded(v: Column, table: dict, missing: str) -> Column:
+    """What a dictionary holds for a value; null becomes `missing`, what it does not hold stays as it is."""
+    out = F.when(v.isNull(), missing)
+    for key, value in table.items():
+        out = out.when(v == key, value)
+    return out.otherwise(v)
+
+
+def count_bucket(v: Column) -> Column:
+    return F.when(v.isNull(), "missing").when(v < 0, "negative").when(v == 0, "0").when(v == 1, "1").otherwise("over 1")
+
+
+def within(v: Column, low: float, high: float) -> Column:
+    """Strictly between two bounds; null is not."""
+    return F.coalesce((v > low) & (v < high), F.lit(False))
+
+
+def weekdays_of(start: Column, end: Column) -> Column:
+    """Weekdays (Monday 0) that a block of days touches, in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.sequence(start, end), lambda d: F.weekday(d))))

@@ -36,13 +36,51 @@ def status_columns(flag: str) -> list[Column]:
     return [F.count_if(F.col(flag)).alias("n_true"), F.count_if(~F.col(flag)).alias("n_false"), missing.alias("n_missing"), F.round(100 * missing / F.count(F.lit(1)), 6).alias("pct_missing")]
 
 
+def status_sums(flag: str, n: str) -> list[Column]:
+    """The same, of rows that stand for `n` each."""
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0))
+    missing = total(F.col(flag).isNull())
+    return [total(F.col(flag)).alias("n_true"), total(~F.col(flag)).alias("n_false"), missing.alias("n_missing"), F.round(100 * missing / F.sum(n), 6).alias("pct_missing")]
+
+
+def cumulative(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, upto, total): how often each value occurs, and how many are at most as large; nulls are left out.
+
+    Values are put in order within buckets of a sixteenth of an octave, and bucket
+    totals (70,000 at most, as doubles have so many) among each other, so that no task
+    orders all of them.
+    """
+    v = F.col(value)
+    counted = df.where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    bucket = (F.signum("value") * (F.floor(16 * F.log2(F.greatest(F.abs("value"), F.lit(1e-300)))) + 16_000)).cast("int")
+    counted = counted.withColumn("_b", bucket)
+    sums = counted.groupBy("_b").agg(F.sum("n").alias("_n"))
+    order = Window.orderBy("_b")  # a row per bucket
+    sums = sums.select("_b", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("_b").orderBy("value"))
+    return counted.join(F.broadcast(sums), "_b").select("value", "n", (F.col("_before") + inside).alias("upto"), "total")
+
+
+def quantiles(df: DataFrame, value: str, points: list[float]) -> DataFrame:
+    """(q, value): exact quantiles with linear interpolation between neighbours."""
+    rows = cumulative(df, value)
+    at = [(F.col("total") - 1) * F.lit(float(q)) for q in points]
+    pick = lambda p: F.min(F.when(F.col("upto") > p, F.col("value")))
+    row = rows.agg(*(pick(F.floor(p)).alias(f"a{i}") for i, p in enumerate(at)), *(pick(F.ceil(p)).alias(f"b{i}") for i, p in enumerate(at)), F.max("total").alias("n"))
+    cells = []
+    for i, q in enumerate(points):
+        place = (F.col("n") - 1) * F.lit(float(q))
+        cells.append(F.struct(F.lit(float(q)).alias("q"), (F.col(f"a{i}") + (place - F.floor(place)) * (F.col(f"b{i}") - F.col(f"a{i}"))).alias("value")))
+    return row.select(F.inline(F.array(*cells)))
+
+
 def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     """Share of the total that the top one, the top ten and the top fifth of keys hold."""
-    totals = df.groupBy(key).agg(F.sum(value).alias("t"))
-    # one row per key: a dimension, not the fact table
-    ranked = totals.select("t", F.row_number().over(Window.orderBy(F.col("t").desc(), F.col(key))).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    share = lambda limit: F.round(F.try_divide(F.sum(F.when(F.col("k") <= limit, F.col("t"))), F.sum("t")), 6)
-    return ranked.agg(share(1).alias("top_1"), share(10).alias("top_10"), share(F.greatest(F.ceil(F.col("n") * 0.2), F.lit(1))).alias("top_fifth"))
+    ranked = cumulative(df.groupBy(key).agg(F.sum(value).alias("t")), "t")
+    above = F.col("total") - F.col("upto")  # keys with a larger total
+    held = lambda k: F.sum(F.col("value") * F.greatest(F.least(F.col("n"), k - above), F.lit(0)))
+    share = lambda k: F.round(F.try_divide(held(k), F.sum(F.col("value") * F.col("n"))), 6)
+    return ranked.agg(share(F.lit(1)).alias("top_1"), share(F.lit(10)).alias("top_10"), share(F.greatest(F.ceil(F.col("total") * 0.2), F.lit(1))).alias("top_fifth"))
 
 
 def describe(column: str) -> list[Column]:
@@ -69,3 +107,43 @@ def scope_check(facts: DataFrame, places: DataFrame, day: str, scope: str, place
     expected = places.groupBy(scope).agg(F.countDistinct(place).alias("expected"))
     seen = facts.join(places, place).groupBy(day, scope).agg(F.countDistinct(place).alias("represented"))
     return seen.join(expected, scope).select(day, scope, "represented", "expected", (F.col("represented") == F.col("expected")).alias("consistent"))
+
+
+def rule_report(df: DataFrame, named: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
+    """(rule, n, explained, unresolved, example): rows each rule marks, those that its second condition explains, and the smallest key of one that it does not."""
+    sums = []
+    for i, (mask, reason) in enumerate(named.values()):
+        hit = F.coalesce(mask, F.lit(False))
+        why = hit & F.coalesce(reason, F.lit(False))
+        sums += [F.count_if(hit).alias(f"n{i}"), F.count_if(why).alias(f"e{i}"), F.min(F.when(hit & ~why, F.col(key))).alias(f"x{i}")]
+    row = df.agg(*sums)
+    cells = [F.struct(F.lit(rule).alias("rule"), F.col(f"n{i}").alias("n"), F.col(f"e{i}").alias("explained"), (F.col(f"n{i}") - F.col(f"e{i}")).alias("unresolved"), F.col(f"x{i}").alias("example")) for i, rule in enumerate(named)]
+    return row.select(F.inline(F.array(*cells)))
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """(duplicate_rows, repeated): rows beyond the first of rows equal in every column, and how many kinds of them repeat."""
+    return duplicate_counts(df, df.columns).withColumnRenamed("duplicate_keys", "repeated")
+
+
+def null_matrix(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:
+    """(flag, column, n, n_null): nulls of each column where a flag is true, false or missing."""
+    sums = [F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]
+    row = df.groupBy(F.coalesce(F.col(flag).cast("string"), F.lit("missing")).alias("flag")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    pairs = ", ".join(f"'{c}', c{i}" for i, c in enumerate(columns))
+    return row.selectExpr("flag", "n", f"stack({len(columns)}, {pairs}) as (column, n_null)").select("flag", "column", "n", "n_null")
+
+
+def key_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(only_a, only_b, both, a_in_b, equal) of two sets of keys, in one shuffle."""
+    sides = a.select(F.col(key).alias("k"), F.lit(1).alias("s")).distinct().unionByName(b.select(F.col(key).alias("k"), F.lit(2).alias("s")).distinct())
+    row = sides.where("k is not null").groupBy("k").agg(F.sum("s").alias("s")).agg(F.count_if(F.col("s") == 1).alias("only_a"), F.count_if(F.col("s") == 2).alias("only_b"), F.count_if(F.col("s") == 3).alias("both"))
+    return row.withColumns({"a_in_b": F.col("only_a") == 0, "equal": (F.col("only_a") == 0) & (F.col("only_b") == 0)})
+
+
+def activity(df: DataFrame, key: str, day: str, window: int = 90) -> DataFrame:
+    """(n, new, inactive): keys first seen within `window` days of the last day, and keys last seen before that."""
+    each = df.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    end = each.agg(F.max("last").alias("end"))
+    cut = F.date_sub("end", window)
+    return each.crossJoin(F.broadcast(end)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") > cut).alias("new"), F.count_if(F.col("last") < cut).alias("inactive"))  # end: one row

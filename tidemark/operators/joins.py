@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,14 +28,14 @@ def scope_expand(events: DataFrame, places: DataFrame) -> DataFrame:
     town has their name; an event counts as a holiday unless moved or a work day.
     """
     named = {"Regional": "region", "Local": "town"}
-    branches = [events.where("scope = 'National'").crossJoin(F.broadcast(places.select("place")))]  # a dimension table
+    branches = [events.where("scope = 'National'").crossJoin(places.select("place"))]
     for scope, column in named.items():
         branches.append(events.where(F.col("scope") == scope).join(places.select("place", F.col(column).alias("scope_name")), "scope_name").select(*events.columns, "place"))
     every = branches[0]
     for b in branches[1:]:
         every = every.unionByName(b)
     holiday = ~F.col("moved") & (F.col("kind") != "Work Day")
-    return every.groupBy("day", "place").agg(F.bool_or(holiday).alias("is_holiday"), distinct_text("note").alias("notes"), F.count(F.lit(1)).alias("n_events"))
+    return every.groupBy("day", "place").agg(F.bool_or(holiday).alias("is_holiday"), distinct_text("note").alias("notes"), distinct_text("kind").alias("kinds"), distinct_text("scope").alias("scopes"), F.bool_or("moved").alias("any_moved"), F.count(F.lit(1)).alias("n_events"))
 
 
 def distinct_text(column: str, sep: str = " | ") -> Column:
@@ -46,8 +46,6 @@ def distinct_text(column: str, sep: str = " | ") -> Column:
 
 def exact_offset(df: DataFrame, keys: list[str], day: str, value: str, offsets: list[int]) -> DataFrame:
     """Value of exactly k days before, null where that day has no row: one window per key."""
-    from pyspark.sql import Window
-
     at = Window.partitionBy(*keys).orderBy(F.unix_date(day))
     return df.withColumns({f"lag_{k}": F.max(value).over(at.rangeBetween(-k, -k)) for k in offsets})
 
@@ -63,13 +61,51 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.select(F.col(child_key).alias("key")).where("key is not null").distinct().join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
 
 
-def latest_at(history: DataFrame, keys: list[str], day: str, columns: list[str], origin: Column) -> DataFrame:
-    """Columns of the last row at or before `origin`, by key."""
-    row = F.max_by(F.struct(*columns), F.col(day))
+def latest_at(history: DataFrame, keys: list[str], day: str, columns: list[str], origin: Column, ties: list[str] = ()) -> DataFrame:
+    """Columns of the last row at or before `origin`, by key; of rows of one day, that with the greatest `ties`."""
+    row = F.max_by(F.struct(*columns), F.struct(day, *ties))
     return history.where(F.col(day) <= origin).groupBy(*keys).agg(row.alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
+def attributes(base: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """LEFT join to one row of attributes for each key; a key without one, with two, or with a null attribute is an error."""
+    values = [c for c in dim.columns if c not in keys]
+    one = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in values))
+    out = base.join(one, keys, "left")
+    wrong = F.when(F.col("_n").isNull(), "unmatched key").when(F.col("_n") > 1, "repeated key")
+    for c in values:
+        wrong = wrong.when(F.col(c).isNull(), f"null {c}")
+    return out.withColumn(values[0], F.when(wrong.isNotNull(), F.raise_error(wrong).cast(dim.schema[values[0]].dataType)).otherwise(F.col(values[0]))).drop("_n")
+
+
+def looked_up(rows: DataFrame, table: dict, column: str, name: str) -> DataFrame:
+    """`name`: what a small dictionary holds for a column; a miss is an error, null stays null."""
+    pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    found = F.element_at(pairs, F.col(column))
+    missed = F.col(column).isNotNull() & ~F.map_contains_key(pairs, F.coalesce(F.col(column), F.lit(next(iter(table)))))
+    kind = rows.select(F.element_at(pairs, F.lit(next(iter(table))))).schema[0].dataType
+    return rows.withColumn(name, F.when(missed, F.raise_error(F.concat(F.lit(f"{column} has no entry for "), F.col(column).cast("string"))).cast(kind)).otherwise(found))
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with how often."""
     a = left.exceptAll(right).withColumn("side", F.lit("left"))
     return a.unionByName(right.exceptAll(left).withColumn("side", F.lit("right"))).groupBy("side").count()
+
+
+def compared(source: DataFrame, copy: DataFrame, keys: list[str]) -> DataFrame:
+    """(column, n_pairs, n_differ, only_source, only_copy): column by column, null equal to null, for rows paired by key.
+
+    Rows that repeat a key are paired in the order of their other columns.
+    """
+    if source.columns != copy.columns:
+        raise ValueError("columns or their order differ")
+    values = [c for c in source.columns if c not in keys]
+    order = Window.partitionBy(*keys).orderBy(*values)
+    left, right = (df.withColumn("_k", F.row_number().over(order)).select(*keys, "_k", F.struct(*values).alias(side)) for df, side in ((source, "_s"), (copy, "_c")))
+    both = left.join(right, [*keys, "_k"], "full")
+    paired = F.col("_s").isNotNull() & F.col("_c").isNotNull()
+    sums = [F.count_if(paired & ~F.col(f"_s.{c}").eqNullSafe(F.col(f"_c.{c}"))).alias(f"d{i}") for i, c in enumerate(values)]
+    row = both.agg(F.count_if(paired).alias("n_pairs"), F.count_if(F.col("_c").isNull()).alias("only_source"), F.count_if(F.col("_s").isNull()).alias("only_copy"), *sums)
+    pairs = ", ".join(f"'{c}', d{i}" for i, c in enumerate(values))
+    return row.selectExpr("n_pairs", "only_source", "only_copy", f"stack({len(values)}, {pairs}) as (column, n_differ)").select("column", "n_pairs", "n_differ", "only_source", "only_copy")

@@ -58,3 +58,44 @@ def order_breaks(df: DataFrame, index: str, keys: list[str], block: int = 100_00
     blocks = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("rows"), F.count_if("_x").alias("breaks"), F.min_by("_s", index).alias("_first"), F.max_by("_s", index).alias("_last"))
     joint = F.when(F.col("_first") <= F.lag("_last").over(Window.orderBy("_b")), 1).otherwise(0)  # a row per block
     return blocks.withColumn("_j", joint).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("breaks") + F.col("_j")), F.lit(0)).alias("breaks"))
+
+
+def differenced(df: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
+    """Rows with `gap`, the days since the row before of their key, and `change`, the difference of values."""
+    order = Window.partitionBy(*keys).orderBy(day)
+    return df.withColumns({"gap": F.datediff(day, F.lag(day).over(order)), "change": F.col(value) - F.lag(value).over(order)})
+
+
+def chosen(totals: DataFrame, key: str, value: str, n: int, asked: list = (), most: int = 10) -> DataFrame:
+    """The n largest keys and the ones asked for; n is 1 to `most`, and an unknown key is an error."""
+    if not 1 <= n <= most:
+        raise ValueError(f"n must be within 1 and {most}")
+    if len(set(asked)) != len(asked):
+        raise ValueError("keys are asked for twice")
+    found = totals.where(F.col(key).isin(list(asked)))
+    if found.count() != len(asked):
+        raise ValueError("a key that is asked for does not occur")
+    return largest(totals, value, n, [key]).union(found).distinct()
+
+
+def span_of(notes: DataFrame, column: str, word: str) -> DataFrame:
+    """(first, last) day of the notes that hold a word, in any case."""
+    return notes.where(F.contains(F.lower(F.col(column)), F.lit(word.lower()))).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+
+
+def against_baseline(rows: DataFrame, span: DataFrame, day: str, value: str) -> DataFrame:
+    """A span of days, and the spans of equal length before and after it, each against both of these."""
+    size = F.datediff("last", "first") + 1
+    d = F.col(day)
+    period = F.when(d.between(F.col("first"), F.col("last")), "during").when(d.between(F.date_sub("first", size), F.date_sub("first", 1)), "before").when(d.between(F.date_add("last", 1), F.date_add("last", size)), "after")
+    near = rows.crossJoin(F.broadcast(span)).withColumn("period", period).where("period is not null")  # one row
+    base = F.broadcast(near.where("period <> 'during'").agg(F.avg(value).alias("bm"), F.median(value).alias("bd")))
+    own = near.groupBy("period").agg(F.count(F.lit(1)).alias("n_days"), F.avg(value).alias("m"), F.median(value).alias("d"))
+    change = lambda a, b: F.round(100 * (F.col(a) - F.col(b)) / F.col(b), 6)
+    return own.crossJoin(base).select("period", "n_days", F.round("m", 6).alias("mean"), F.round("d", 6).alias("median"), change("m", "bm").alias("mean_change"), change("d", "bd").alias("median_change"))
+
+
+def sampled(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
+    """A sample of n rows at most that depends on their keys and the seed alone, not on how rows are split."""
+    h = F.xxhash64(F.lit(seed), *key)
+    return df.orderBy(h, *key).limit(n)

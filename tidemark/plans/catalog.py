@@ -95,7 +95,7 @@ SELECT origin, day AS target_day, off::INT AS horizon, store, item, sales, {", "
     (isodow(day) - 1)::INT AS day_of_week, day(day)::INT AS day_of_month, week(day)::INT AS week_of_year, month(day)::INT AS month, quarter(day)::INT AS quarter, isodow(day) >= 6 AS is_weekend
 FROM x JOIN h USING (origin, store, item) WHERE off > 0 AND known > 0""")
 def feature_rows(spark, sf_dir):
-    out = features.sales_features(panel(Tables(spark, sf_dir)), ORIGINS)
+    out = features.sales_features(panel(Tables(spark, sf_dir)), ORIGINS, unknown="drop")
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith(("sales_mean", "sales_std"))})
 
 
@@ -148,7 +148,7 @@ def scope_expansion(spark, sf_dir):
     t = Tables(spark, sf_dir)
     events = spark.createDataFrame([(date.fromisoformat(d), *rest) for d, *rest in _EVENTS], "day date, kind string, scope string, scope_name string, note string, moved boolean")
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("place"), F.col("r_name").alias("region"), F.col("n_name").alias("town"))
-    return joins.scope_expand(events, places)
+    return joins.scope_expand(events, places).select("day", "place", "is_holiday", "notes", "n_events")
 
 
 @query(f"""WITH {PANEL} SELECT a.day, a.store, a.item, a.sales, b.sales AS lag_1, c.sales AS lag_7 FROM panel a
@@ -164,16 +164,16 @@ def interval_context(spark, sf_dir):
     facts = panel(Tables(spark, sf_dir))
     top = sequences.largest(facts, "sales", 20, ["day", "store", "item"])
     cases = top.withColumn("case_id", F.row_number().over(Window.orderBy(F.col("sales").desc(), "day", "store", "item")))
-    return joins.around(cases, facts, ["store", "item"], "day").select("case_id", "store", "item", "day", "sales", "relative_day")
+    return joins.around(F.broadcast(cases), facts, ["store", "item"], "day").select("case_id", "store", "item", "day", "sales", "relative_day")  # twenty rows
 
 
 @query(f"""
-WITH {PRICE}, c AS (SELECT day AS case_day FROM price WHERE price IS NULL AND day BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'),
+WITH {PRICE}, c AS (SELECT day AS case_day FROM price WHERE price IS NULL),
 x AS (SELECT * FROM c JOIN price ON day BETWEEN case_day - 5 AND case_day + 5)
 SELECT case_day, arg_max(price, day) FILTER (day < case_day AND price IS NOT NULL) AS previous_price, arg_min(price, day) FILTER (day > case_day AND price IS NOT NULL) AS next_price FROM x GROUP BY ALL""")
 def nearest_prices(spark, sf_dir):
     prices = price(Tables(spark, sf_dir))
-    gaps = prices.where("price is null and day between date'1997-01-01' and date'1997-03-31'").select(F.col("day").alias("case_day"))
+    gaps = prices.where("price is null").select(F.col("day").alias("case_day"))
     # each case looks at eleven days: an equi-join instead of a range join
     near = gaps.withColumn("day", F.explode(F.sequence(F.date_sub("case_day", 5), F.date_add("case_day", 5)))).join(prices, "day")
     valid = F.col("price").isNotNull()
@@ -193,8 +193,8 @@ def orphan_keys(spark, sf_dir):
 @query("""SELECT o_custkey, max(o_orderdate)::DATE AS day, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders WHERE o_orderdate::DATE <= DATE '1997-03-31' GROUP BY ALL""")
 def latest_at_origin(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = t.orders.select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))
-    return rows.where(F.col("day") <= F.lit(ORIGINS[0])).groupBy("o_custkey").agg(F.max("day").alias("day"), F.max_by("priority", "at").alias("priority"))
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"))
+    return joins.latest_at(rows, ["o_custkey"], "day", ["day", "priority"], F.lit(ORIGINS[0]), ties=["o_orderdate", "o_orderkey"])
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders)
@@ -212,8 +212,9 @@ def fold_populations(spark, sf_dir):
 
 @query(f"""WITH {PANEL} SELECT grouping_id(y, store, item)::BIGINT AS grain, y, store, item, sum(sales) AS sales, count(*) AS n FROM (SELECT *, year(day)::INT AS y FROM panel) GROUP BY GROUPING SETS ((), (y), (store), (item), (store, item), (y, store))""")
 def grouped_totals(spark, sf_dir):
-    panel(Tables(spark, sf_dir)).withColumn("y", F.year("day")).createOrReplaceTempView("_panel")
-    return spark.sql("SELECT grouping_id(y, store, item) AS grain, y, store, item, sum(sales) AS sales, count(*) AS n FROM _panel GROUP BY GROUPING SETS ((), (y), (store), (item), (store, item), (y, store))")
+    keys = ["y", "store", "item"]
+    rows = panel(Tables(spark, sf_dir)).withColumn("y", F.year("day"))
+    return rows.groupingSets([(), ("y",), ("store",), ("item",), ("store", "item"), ("y", "store")], *keys).agg(F.grouping_id(*keys).alias("grain"), F.sum("sales").alias("sales"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, count(DISTINCT l_shipdate::DATE) AS n_days, count(DISTINCT l_partkey) AS n_parts, count(*) FILTER (l_discount = 0) AS n_zero, count(*) FILTER (l_discount > 0) AS n_positive, min(l_shipdate)::DATE AS first_day, max(l_shipdate)::DATE AS last_day, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem GROUP BY ALL""")
@@ -227,11 +228,12 @@ def series_summary(spark, sf_dir):
     return panel(Tables(spark, sf_dir)).groupBy("store", "item").agg(*agg.describe("sales"), F.round(F.try_divide(F.stddev_samp("sales"), F.avg("sales")), 6).alias("variation"))
 
 
-@query("SELECT q, round(v, 6) AS value FROM (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS q, unnest(quantile_cont(o_totalprice, [0.01, 0.25, 0.5, 0.75, 0.99])) AS v FROM orders)")
+QUANTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+@query(f"SELECT q, round(v, 6) AS value FROM (SELECT unnest({QUANTILES})::DOUBLE AS q, unnest(quantile_cont(o_totalprice, {QUANTILES})) AS v FROM orders)")
 def exact_quantiles(spark, sf_dir):
-    qs = [0.01, 0.25, 0.5, 0.75, 0.99]
-    row = Tables(spark, sf_dir).orders.agg(F.percentile("o_totalprice", qs).alias("v"))
-    return row.select(F.posexplode("v").alias("i", "x")).select(F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), F.round("x", 6).alias("value"))
+    return agg.quantiles(Tables(spark, sf_dir).orders, "o_totalprice", QUANTILES).select("q", F.round("value", 6).alias("value"))
 
 
 @query("""WITH x AS (SELECT o_custkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders) SELECT o_custkey, (count(DISTINCT p) + max((p IS NULL)::INT))::BIGINT AS n FROM x GROUP BY ALL""")
@@ -259,11 +261,24 @@ def value_counts(spark, sf_dir):
     return counted.select("k", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))  # one row per value
 
 
-@query("""WITH x AS (SELECT year(l_shipdate)::INT AS y, l_shipmonth AS m, CASE WHEN l_shipdate < DATE '1996-01-01' THEN NULL ELSE l_discount >= 0.05 END AS promo FROM (SELECT *, month(l_shipdate)::INT AS l_shipmonth FROM lineitem))
-SELECT grouping_id(y, m)::BIGINT AS grain, y, m, count(*) FILTER (promo) AS n_true, count(*) FILTER (NOT promo) AS n_false, count(*) FILTER (promo IS NULL) AS n_missing, round(100.0 * count(*) FILTER (promo IS NULL) / count(*), 6) AS pct_missing FROM x GROUP BY GROUPING SETS ((), (y), (y, m))""")
+_GRAINS = [(), ("y",), ("m",), ("day",), ("store",), ("item",), ("family",), ("store", "item")]
+
+
+@query(f"""WITH x AS (SELECT l_shipdate::DATE AS day, year(l_shipdate)::INT AS y, strftime(l_shipdate, '%Y-%m') AS m, n_regionkey AS store, p_brand AS item, p_type AS family, CASE WHEN l_shipdate < DATE '1996-01-01' THEN NULL ELSE l_discount >= 0.05 END AS promo
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)
+SELECT grouping_id(y, m, day, store, item, family)::BIGINT AS grain, y, m, day, store, item, family, count(*) FILTER (promo) AS n_true, count(*) FILTER (NOT promo) AS n_false, count(*) FILTER (promo IS NULL) AS n_missing, round(100.0 * count(*) FILTER (promo IS NULL) / count(*), 6) AS pct_missing
+FROM x GROUP BY GROUPING SETS ({", ".join(f"({', '.join(g)})" for g in _GRAINS)})""")
 def status_by_grain(spark, sf_dir):
-    rows = Tables(spark, sf_dir).lineitem.select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.when(F.col("l_shipdate") >= F.lit(date(1996, 1, 1)), F.col("l_discount") >= 0.05).alias("promo"))
-    return rows.groupingSets([(), ("y",), ("y", "m")], "y", "m").agg(F.grouping_id("y", "m").alias("grain"), *agg.status_columns("promo"))
+    """Counts of true, false and missing overall and by year, month, date, store, item, family and store with item."""
+    t = Tables(spark, sf_dir)
+    place = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("store"))
+    part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"), F.col("p_type").alias("family"))
+    rows = t.lineitem.select("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("day"), F.when(F.col("l_shipdate") >= F.lit(date(1996, 1, 1)), F.col("l_discount") >= 0.05).alias("promo"))
+    # rows of a day, store and item are counted once before they are spread over the grains
+    cells = rows.join(place, "l_suppkey").join(part, "l_partkey").groupBy("day", "store", "item", "family", "promo").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumns({"y": F.year("day"), "m": F.date_format("day", "yyyy-MM")})
+    keys = ["y", "m", "day", "store", "item", "family"]
+    return cells.groupingSets([tuple(g) for g in _GRAINS], *keys).agg(F.grouping_id(*keys).alias("grain"), *agg.status_sums("promo", "n"))
 
 
 @query("""WITH x AS (SELECT l_partkey, sum(l_quantity) AS t FROM lineitem GROUP BY ALL), r AS (SELECT t, row_number() OVER (ORDER BY t DESC, l_partkey) AS k, count(*) OVER () AS n FROM x)
@@ -340,12 +355,13 @@ def monthly_movement(spark, sf_dir):
     return sequences.largest(rows, "change", 10, ["item", "month"])
 
 
-@query(f"""WITH {PANEL}, c AS (SELECT d::DATE AS day, store, item FROM range(DATE '1997-01-01', DATE '1998-01-01', INTERVAL 1 DAY) r(d), (SELECT DISTINCT store, item FROM panel)),
+@query(f"""WITH {PANEL}, c AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day, store, item FROM (SELECT store, item, min(day) AS a, max(day) AS b FROM panel GROUP BY ALL)),
 g AS (SELECT c.* FROM c ANTI JOIN panel USING (day, store, item)), r AS (SELECT *, day - row_number() OVER (PARTITION BY store, item ORDER BY day)::INT AS k FROM g)
 SELECT store, item, min(day) AS start, max(day) AS "end", count(*) AS days FROM r GROUP BY store, item, k""")
 def missing_runs(spark, sf_dir):
     rows = panel(Tables(spark, sf_dir))
-    spine = rows.select("store", "item").distinct().withColumn("day", F.explode(F.sequence(F.lit(date(1997, 1, 1)), F.lit(date(1997, 12, 31)))))
+    ends = rows.groupBy("store", "item").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    spine = ends.select("store", "item", F.explode(F.sequence("a", "b")).alias("day"))
     return sequences.islands(spine.join(rows, ["day", "store", "item"], "left_anti"), ["store", "item"], "day")
 
 
@@ -389,11 +405,18 @@ def weekly_totals(spark, sf_dir):
     return weeks.crossJoin(ends).select("week_end", "sales", ((F.date_sub("week_end", 6) >= F.col("a")) & (F.col("week_end") <= F.col("b"))).alias("whole"))
 
 
-@query(f"""WITH {STORE} SELECT m AS month_end, coalesce(sum(visits), 0)::BIGINT AS visits FROM (SELECT last_day(d::DATE) AS m FROM range(DATE '1995-01-01', DATE '1999-01-01', INTERVAL 1 MONTH) r(d)) LEFT JOIN (SELECT * FROM store_day WHERE store = 1) ON last_day(day) = m GROUP BY ALL""")
+@query(f"""WITH {STORE}, e AS (SELECT min(day) AS a, max(day) AS b FROM store_day), m AS (SELECT DISTINCT last_day(d::DATE) AS m FROM (SELECT unnest(generate_series(date_trunc('month', a), b::TIMESTAMP, INTERVAL 1 MONTH)) AS d FROM e)),
+c AS (SELECT m, store FROM m, (SELECT DISTINCT store FROM store_day)), t AS (SELECT last_day(day) AS m, store, sum(visits) AS v FROM store_day GROUP BY ALL)
+SELECT m AS month_end, store, coalesce(v, 0)::BIGINT AS visits, v::BIGINT AS visits_or_null, (date_trunc('month', m)::DATE >= a AND m <= b) AS whole FROM c LEFT JOIN t USING (m, store), e""")
 def monthly_spine(spark, sf_dir):
-    spine = spark.range(1).select(F.explode(F.sequence(F.lit(date(1995, 1, 1)), F.lit(date(1998, 12, 1)), F.expr("interval 1 month"))).alias("d")).select(F.last_day("d").alias("month_end"))
-    months = store_day(Tables(spark, sf_dir)).where("store = 1").groupBy(F.last_day("day").alias("month_end")).agg(F.sum("visits").alias("v"))
-    return spine.join(months, "month_end", "left").select("month_end", F.coalesce("v", F.lit(0)).alias("visits"))
+    """Every month of every store: totals with 0 or null for months without rows, and whether the data hold the whole month."""
+    rows = store_day(Tables(spark, sf_dir))
+    ends = rows.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    months = ends.select("a", "b", F.explode(F.sequence(F.trunc("a", "MM"), F.col("b"), F.expr("interval 1 month"))).alias("d")).select("a", "b", F.last_day("d").alias("month_end"))
+    spine = rows.select("store").distinct().crossJoin(F.broadcast(months))  # a row per month of the calendar
+    totals = rows.groupBy("store", F.last_day("day").alias("month_end")).agg(F.sum("visits").alias("v"))
+    out = spine.join(totals, ["store", "month_end"], "left")
+    return out.select("month_end", "store", F.coalesce("v", F.lit(0)).alias("visits"), F.col("v").alias("visits_or_null"), cal.whole_month(F.col("month_end"), F.col("a"), F.col("b")).alias("whole"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey, CASE WHEN k = 1 THEN 'least' WHEN k = n THEN 'most' ELSE 'middle' END AS pick FROM r WHERE k = 1 OR k = n OR k = n // 2 + 1""")
@@ -520,9 +543,9 @@ def case_studies(spark, sf_dir):
     top = sequences.largest(facts, "sales", 20, ["day", "store", "item"]).select(*keys)
     often = facts.groupBy("store", "item").agg(sequences.peak("day", "sales").alias("day"), F.count(F.lit(1)).alias("n"))
     often = sequences.largest(often, "n", 10, ["store", "item"]).select(*keys)
-    cases = facts.join(top.union(often).distinct(), keys)  # thirty at most
+    cases = facts.join(F.broadcast(top.union(often).distinct()), keys)  # thirty at most
     cases = cases.withColumn("case_id", F.row_number().over(Window.orderBy(F.col("sales").desc(), "day", "store", "item")))
-    near = joins.around(cases, facts, ["store", "item"], "day")
+    near = joins.around(F.broadcast(cases), facts, ["store", "item"], "day")  # thirty rows at most
     about = near.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_days"),
         F.round(F.avg(F.when(F.col("relative_day") < 0, F.col("sales"))), 6).alias("before_mean"),
@@ -549,7 +572,8 @@ def raised_alerts(spark, sf_dir):
     return metrics.raised(Tables(spark, sf_dir).events, window=6, hold=12)
 
 
-@query(f"""WITH {_HOURS}, n AS (SELECT *, lead(h) OVER (PARTITION BY kind ORDER BY h) AS resolved FROM h)
-SELECT kind, h + 1 AS pending, h + 5 AS fires, resolved FROM n WHERE resolved - h > 4""")
+@query(f"""WITH {_HOURS.replace("ts IS NOT NULL", "ts IS NOT NULL AND value > 20")}, n AS (SELECT *, lead(h) OVER (PARTITION BY kind ORDER BY h) AS resolved FROM h)
+SELECT kind, h + 1 AS pending, h + 2 AS fires, resolved FROM n WHERE resolved - h > 1""")
 def silence_alerts(spark, sf_dir):
-    return metrics.silent(Tables(spark, sf_dir).events, hold=4)
+    """Hours without a slow event of a kind, between two such events."""
+    return metrics.silent(Tables(spark, sf_dir).events.where("value > 20"), hold=1)

@@ -38,11 +38,11 @@ def complete(fn, value: str, width: int, over, last: int = -1) -> Column:
     return F.when(full, fn(F.when(inside, F.col(value))).over(over))
 
 
-def sales_features(panel: DataFrame, origins: list[date], static: list[str] = ()) -> DataFrame:
+def sales_features(panel: DataFrame, origins: list[date], static: list[str] = (), unknown: str = "raise") -> DataFrame:
     """Panel (day, store, item, sales, static...) to one row per observed target day.
 
-    Static attributes are those of the last row at or before the origin; series with
-    none there are dropped, as nothing is known of them at the origin.
+    Static attributes are those of the last row at or before the origin; a series without
+    one in the history that is looked at is an error, or with `unknown` "drop" left out.
     """
     over = Window.partitionBy("origin", "store", "item")
     rows = by_origin(panel, "day", origins)
@@ -51,7 +51,12 @@ def sales_features(panel: DataFrame, origins: list[date], static: list[str] = ()
     made |= {f"sales_std_{w}": complete(F.stddev_samp, "sales", w, over) for w in STDS}
     made |= {f"known_{c}": F.max_by(F.col(c), F.when(F.col("off") <= 0, F.col("day"))).over(over) for c in static}
     made["known"] = F.count(F.when(F.col("off") <= 0, 1)).over(over)
-    out = rows.withColumns(made).where("off > 0 and known > 0").drop("known", *static).withColumnsRenamed({f"known_{c}": c for c in static})
+    out = rows.withColumns(made).where("off > 0")
+    if unknown == "drop":
+        out = out.where("known > 0")
+    else:
+        out = out.withColumn("sales", F.when(F.col("known") > 0, F.col("sales")).otherwise(F.raise_error(F.lit("target series that is not known at the origin")).cast("double")))
+    out = out.drop("known", *static).withColumnsRenamed({f"known_{c}": c for c in static})
     return out.withColumns(calendar_columns(F.col("day"))).withColumnsRenamed({"off": "horizon", "day": "target_day"})
 
 
@@ -65,7 +70,11 @@ def store_features(store_days: DataFrame, origins: list[date]) -> DataFrame:
 
 def market_features(prices: DataFrame, origins: list[date]) -> DataFrame:
     """Exact-day changes, change and volatility of the observed prices of the last week."""
-    rows = by_origin(prices, "day", origins).where("off <= 0")
+    return price_changes(by_origin(prices, "day", origins).where("off <= 0"))
+
+
+def price_changes(rows: DataFrame) -> DataFrame:
+    """The same, of rows (origin, day, off, price) up to the origin."""
     at = lambda k: F.max(F.when(F.col("off") == -k, F.col("price")))
     week = F.col("price").isNotNull() & (F.col("off") >= -6)
     before = F.lag("price").over(Window.partitionBy("origin").orderBy("day"))
@@ -77,10 +86,123 @@ def market_features(prices: DataFrame, origins: list[date]) -> DataFrame:
     return exact.join(rolled, "origin", "left")
 
 
-def problems(features: DataFrame) -> DataFrame:
-    """(rule, n) of the feature contract; all zero for a good table."""
-    from tidemark.operators.aggregates import rules
-
-    named = {"horizon": ~F.col("horizon").between(1, HORIZON), "target_day": F.col("target_day") != F.date_add("origin", F.col("horizon")), "no_target": F.col("sales").isNull()}
-    grain = features.groupBy("origin", "target_day", "store", "item").count().where("count > 1").agg(F.lit("grain").alias("rule"), F.count(F.lit(1)).alias("n"))
-    return rules(features, named).unionByName(grain)
+#: The model table: names, order and types are its contract.
+AUDIT = ["forecast_origin", "forecast_date", "forecast_horizon"]
+STATIC = ["family", "class", "perishable", "city", "state", "store_type", "cluster"]
+TARGET = "unit_sales"
+SALES = [*(f"sales_lag_{k}" for k in LAGS), *(f"sales_rolling_mean_{w}" for w in MEANS), *(f"sales_rolling_std_{w}" for w in STDS)]
+CALENDAR = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "is_weekend"]
+STORE_DAY = ["transactions_at_origin", "transactions_mean_7d", "transactions_mean_14d", "transactions_lag_7", "transactions_lag_14"]
+OIL = ["oil_pct_change_1d", "oil_pct_change_7d", "oil_rolling_change_7d", "oil_rolling_volatility_7d"]
+HOLIDAY = ["is_holiday", "holiday_type", "holiday_locale", "holiday_transferred", "holiday_event_count"]
+MODEL = ["store_nbr", "item_nbr", *STATIC, *SALES, *CALENDAR, "onpromotion", *STORE_DAY, *OIL, *HOLIDAY]
+TRAINING = [*AUDIT, "store_nbr", "item_nbr", *STATIC, TARGET, *SALES, *CALENDAR, "onpromotion", *STORE_DAY, *OIL, *HOLIDAY]
+INFERENCE = [*AUDIT, *MODEL]
+FORBIDDEN = {"id", "unit_sales", "transactions", "dcoilwtico", "holiday_description", "is_earthquake", "earthquake_flag", "days_since_earthquake"}
+TYPES = (
+    dict.fromkeys(["forecast_origin", "forecast_date"], "timestamp_ntz")
+    | dict.fromkeys(["forecast_horizon", "perishable", "cluster", *CALENDAR[:-1]], "tinyint")
+    | dict.fromkeys(["store_nbr", "class", "holiday_event_count"], "smallint")
+    | {"item_nbr": "int"}
+    | dict.fromkeys(["family", "city", "state", "store_type", "holiday_type", "holiday_locale"], "string")
+    | dict.fromkeys([TARGET, *SALES, *STORE_DAY, *OIL], "double")
+    | dict.fromkeys(["is_weekend", "onpromotion", "is_holiday", "holiday_transferred"], "boolean")
+)
+#: Holidays of a disaster, whose fields are not known ahead.
+DISASTER = r"(?i)terremoto|earthquake|manabi"
+
+
+def narrow(column: str, kind: str) -> Column:
+    """Cast of a column to a narrower type; a value that does not survive it is an error."""
+    value = F.col(column)
+    small = value.try_cast(kind)
+    changed = value.isNotNull() & (small.isNull() | (small.cast("double") != value.cast("double")))
+    return F.when(changed, F.raise_error(F.lit(f"{column} does not fit {kind}")).cast(kind)).otherwise(small)
+
+
+def agreed(column: str, label: str) -> Column:
+    """The one value of a group; rows that disagree, or mix null with a value, are an error."""
+    differ = (F.min(column) != F.max(column)) | ((F.count(column) > 0) & (F.count(column) < F.count(F.lit(1))))
+    return F.when(F.coalesce(differ, F.lit(False)), F.raise_error(F.lit(f"conflicting {column} values within a {label}")).cast("double")).otherwise(F.max(column).cast("double"))
+
+
+def bounded_items(rows: DataFrame, most: int | None) -> DataFrame:
+    """Rows of the `most` lowest items of each origin and store that have target rows."""
+    if most is None:
+        return rows
+    targets = rows.where("off > 0").select("origin", "store_nbr", "item_nbr").distinct()
+    rank = F.row_number().over(Window.partitionBy("origin", "store_nbr").orderBy("item_nbr"))
+    return rows.join(targets.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k"), ["origin", "store_nbr", "item_nbr"], "left_semi")
+
+
+def model_table(base: DataFrame, origins: list[date], max_items: int | None = None, planned_promotion: bool = False, published_holidays: bool = False) -> DataFrame:
+    """All columns of `TRAINING`, one row per observed target day of each origin and series.
+
+    `base` has a row per (date, store_nbr, item_nbr) with the static attributes, sales,
+    promotion, transactions of the store-day, oil price of the day and holiday fields.
+    Static attributes are those of the last row at or before the origin; a target series
+    without one, or with a null attribute, is an error, as are repeated grain rows and
+    store-days or days that disagree on transactions or prices.  Promotion and holidays of
+    a target day are null unless they are taken as planned or published ahead; those of a
+    disaster stay null.
+    """
+    base = base.withColumn("date", F.to_date("date"))
+    rows = bounded_items(by_origin(base, "date", origins), max_items)
+    over = Window.partitionBy("origin", "store_nbr", "item_nbr")
+    known = F.when(F.col("off") <= 0, F.col("date"))
+    made = {f"sales_lag_{k}": F.max(F.when(F.col("off") == -k, F.col(TARGET))).over(over) for k in LAGS}
+    made |= {f"sales_rolling_mean_{w}": complete(F.avg, TARGET, w, over) for w in MEANS}
+    made |= {f"sales_rolling_std_{w}": complete(F.stddev_samp, TARGET, w, over) for w in STDS}
+    made |= {"_static": F.max_by(F.struct(*STATIC), known).over(over), "_known": F.count(known).over(over)}
+    made |= {"_twice": F.count(F.lit(1)).over(Window.partitionBy("origin", "store_nbr", "item_nbr", "date"))}
+    out = rows.withColumns(made).where("off > 0").drop(*STATIC)
+    found = F.when(F.col("_twice") > 1, F.raise_error(F.lit("repeated grain rows"))).when(F.col("_known") == 0, F.raise_error(F.lit("target series without static attributes at the origin")))
+    whole = F.lit(False)
+    for c in STATIC:
+        whole = whole | F.col("_static")[c].isNull()
+    found = found.when(whole, F.raise_error(F.lit("static attributes are null at the origin")))
+    out = out.withColumns({c: F.when(found.isNull(), F.col("_static")[c]) for c in STATIC})
+    out = out.withColumns(calendar_columns(F.col("date")))
+    disaster = F.coalesce(F.col("holiday_description").rlike(DISASTER), F.lit(False))
+    out = out.withColumn("onpromotion", F.when(F.lit(planned_promotion), F.col("onpromotion")))
+    out = out.withColumns({c: F.when(F.lit(published_holidays) & ~disaster, F.col(c)) for c in HOLIDAY})
+    # transactions and prices as the rows of the slice have them
+    past = rows.where("off <= 0")
+    days = past.groupBy("origin", "date", "off", "store_nbr").agg(agreed("transactions", "store-date").alias("v"))
+    pick = lambda k: F.max(F.when(F.col("off") == -k, F.col("v")))
+    mean = lambda w: F.when(F.count(F.when(_within(w, 0), F.col("v"))) == w, F.avg(F.when(_within(w, 0), F.col("v"))))
+    stores = days.groupBy("origin", "store_nbr").agg(pick(0).alias(STORE_DAY[0]), mean(7).alias(STORE_DAY[1]), mean(14).alias(STORE_DAY[2]), pick(7).alias(STORE_DAY[3]), pick(14).alias(STORE_DAY[4]))
+    prices = past.groupBy("origin", "date").agg(agreed("dcoilwtico", "date").alias("price"))
+    oil = price_changes(prices.withColumn("off", F.datediff("date", "origin")).withColumnRenamed("date", "day"))
+    out = out.join(stores, ["origin", "store_nbr"], "left").join(oil.withColumnsRenamed(dict(zip(["price_change_1", "price_change_7", "price_change_week", "price_volatility_week"], OIL, strict=True))), "origin", "left")
+    out = out.withColumnsRenamed({"origin": AUDIT[0], "date": AUDIT[1], "off": AUDIT[2]})
+    return out.select(*((narrow(c, TYPES[c]) if TYPES[c] in ("tinyint", "smallint", "int") else F.col(c).cast(TYPES[c])).alias(c) for c in TRAINING))
+
+
+def check_contract(table: DataFrame) -> dict:
+    """Facts of a model table, in one pass; raise where it breaks its contract."""
+    if table.columns != TRAINING:
+        raise ValueError("columns or their order differ from the contract")
+    if {f.name: f.dataType.simpleString() for f in table.schema} != TYPES:
+        raise ValueError("types differ from the contract")
+    if FORBIDDEN & set(MODEL):
+        raise ValueError("forbidden columns among the features")
+    if TARGET in INFERENCE or [c for c in TRAINING if c != TARGET] != INFERENCE:
+        raise ValueError("training and inference columns differ in more than the target")
+    day = F.to_date("forecast_date")
+    must = [*AUDIT, "store_nbr", "item_nbr", *STATIC, TARGET, *CALENDAR]
+    keyed = F.struct("forecast_origin", "forecast_date", "store_nbr", "item_nbr")
+    facts = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("forecast_horizon").between(1, HORIZON)).alias("bad_horizons"),
+        F.count_if(day != F.date_add(F.to_date("forecast_origin"), F.col("forecast_horizon").cast("int"))).alias("bad_dates"),
+        F.count_distinct(keyed).alias("grain"),
+        F.min(day).alias("first_date"),
+        F.max(day).alias("last_date"),
+        *(F.count_distinct(c).alias(f"n_{c}") for c in ("store_nbr", "item_nbr", "forecast_origin", "forecast_horizon")),
+        *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in TRAINING),
+    ).first().asDict()
+    broken = [k for k in ("bad_horizons", "bad_dates") if facts[k]] + [f"null_{c}" for c in must if facts[f"null_{c}"]] + (["repeated grain"] if facts["grain"] != facts["rows"] else [])
+    if broken:
+        raise ValueError(f"the table breaks its contract: {', '.join(broken)}")
+    return facts

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -11,12 +13,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header and a declared schema; only the wanted columns are parsed."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, or in a local one on a single machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.gettempdir()}/tidemark-shared"
+    return f"{at.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None, dates: str = "yyyy-MM-dd") -> DataFrame:
+    """CSV with a header and a declared schema; only the wanted columns are parsed, dates in the form `dates`.
+
+    A header that differs from the schema, or a field that does not parse, is an error.
+    """
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("dateFormat", dates).csv(path)
     return df.select(*columns) if columns else df
 
 
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """(position, column) of a CSV with a header; no rows are parsed."""
+    names = spark.read.option("header", True).csv(path).columns
+    return spark.createDataFrame(list(enumerate(names)), "position int, column string")
+
+
+def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in an order."""
+    if n < 1:
+        raise ValueError("a preview has at least one row")
+    return df.orderBy(*order).limit(n)
+
+
 def slice_of(df: DataFrame, day: str, first: date, last: date, key: str, values: list, columns: list[str]) -> DataFrame:
     """Projected date range and key list, both of which reach the Parquet scan."""
     return df.where(F.col(day).between(first, last) & F.col(key).isin(values)).select(*columns)
@@ -28,9 +56,59 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string, nullable boolean")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _hadoop(spark, path)
+    return files.exists(at)
+
+
+def footers(spark: SparkSession, path: str) -> dict:
+    """Rows, columns, row groups and types of a Parquet table, from footers alone."""
+    df = spark.read.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = groups = 0
+    for name in df.inputFiles():
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
+        rows, groups = rows + reader.getRecordCount(), groups + reader.getRowGroups().size()
+        reader.close()
+    return {"rows": rows, "columns": len(df.columns), "row_groups": groups, "types": {f.name: f.dataType.simpleString() for f in df.schema}}
+
+
+def reconciled(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, after a count that has to agree with what a footer or an earlier count says."""
+    seen = df.count()
+    if seen != rows:
+        raise ValueError(f"{seen} rows where {rows} were expected")
+    return df
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes) of the files below a path, without reading them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    """(name, bytes) of the files below a path, from the file system's listing alone."""
+    files, at = _hadoop(spark, path)
+    found, rows = files.listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().getName(), f.getLen()))
+    return spark.createDataFrame(rows, "name string, bytes long")
+
+
+def require_files(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Raise with the names that are not below a path."""
+    files, at = _hadoop(spark, path)
+    missing = [n for n in names if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, n))]
+    if missing:
+        raise FileNotFoundError(f"{path} lacks {', '.join(sorted(missing))}")
+
+
+def fingerprint(spark: SparkSession, path: str) -> list[tuple]:
+    """(name, bytes, changed, sha256) of every file: equal before and after if nothing touched them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = found.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
+    return [tuple(r) for r in rows]  # a row per file
 
 
 def plain(value):
@@ -42,26 +120,102 @@ def plain(value):
     raise TypeError(type(value).__name__)
 
 
-def publish(df: DataFrame, path: str, overwrite: bool = False) -> dict:
+def _written(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\0").mode("errorifexists").text(path)
+
+
+def read_json(spark: SparkSession, path: str, require: dict | None = None) -> dict:
+    """A document that `write_json` or `publish` wrote; raise unless it holds what is required."""
+    found = json.loads("".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()).rstrip("\0"))
+    wrong = {k: found.get(k) for k, v in (require or {}).items() if found.get(k) != v}
+    if wrong:
+        raise ValueError(f"{path} does not hold what is required: {wrong}")
+    return found
+
+
+def write_json(spark: SparkSession, document: dict, path: str, overwrite: bool = False) -> dict:
+    """Stable JSON, staged, read back and moved into place; not over another one unasked.
+
+    Evidence is aggregates: a list of more than a hundred entries is taken for raw rows and refused.
+    """
+
+    def check(value) -> None:
+        if isinstance(value, dict):
+            for v in value.values():
+                check(v)
+        elif isinstance(value, list | tuple):
+            if len(value) > 100:
+                raise ValueError("evidence holds aggregates, not rows")
+            for v in value:
+                check(v)
+
+    check(document)
+    if exists(spark, path) and not overwrite:
+        raise FileExistsError(path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    text = json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False, default=plain)
+    try:
+        _written(spark, text, staged)
+        if read_json(spark, staged) != json.loads(text):
+            raise ValueError("what was read back is not what was written")
+        _replace(spark, staged, path)
+    except BaseException:
+        _delete(spark, staged)
+        raise
+    return json.loads(text)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a staged folder into place; what was there is moved aside first, and back if that fails."""
+    files, to = _hadoop(spark, path)
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    aside = made(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    old = files.exists(to)
+    if old and not files.rename(to, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not files.rename(made(staged), to):
+        if old:
+            files.rename(aside, to)
+        raise OSError(f"{staged} could not be moved to {path}")
+    if old:
+        files.delete(aside, True)
+
+
+def publish(df: DataFrame, path: str, overwrite: bool = False, extra: dict | None = None, check=None) -> dict:
     """Write zstd Parquet with a manifest; never an empty table, never over data unasked.
 
-    Rows are counted and hashed as they are written, read back, and compared; Spark's
-    committer moves the parts in place only if the whole job succeeds, and the
-    manifest, which readers take as the sign of a good table, is written last.
+    The table is written to a staging path beside its place, where it is counted and
+    hashed as it is written, read back and compared, and `check` (of the frame that was
+    read) may raise.  Only then it moves into place, and after it the manifest, which
+    readers take as the sign of a good table.  On an error the staging path is deleted,
+    and table and manifest stay as they were.
     """
     spark = df.sparkSession
-    seen = Observation()
-    row_hash = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), row_hash.alias("hash"))
-    measured.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(path)
-    wrote = seen.get
-    if not wrote["rows"]:
-        raise ValueError("nothing to publish")
-    back = spark.read.parquet(path)
-    read = back.agg(F.count(F.lit(1)).alias("rows"), row_hash.alias("hash")).first()
-    if (read["rows"], read["hash"]) != (wrote["rows"], wrote["hash"]) or [f.dataType for f in back.schema] != [f.dataType for f in df.schema]:
-        raise ValueError("what was read back is not what was written")
-    manifest = {"rows": wrote["rows"], "row_hash": str(wrote["hash"]), "columns": [[f.name, f.dataType.simpleString()] for f in df.schema]}
-    text = json.dumps(manifest, indent=2, sort_keys=True, default=plain)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.manifest")
-    return manifest
+    path = path.rstrip("/")
+    if exists(spark, path) and not overwrite:
+        raise FileExistsError(f"{path} exists")
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    try:
+        seen = Observation()
+        row_hash = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+        measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), row_hash.alias("hash"))
+        measured.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", 50_000_000).parquet(staged)
+        wrote = seen.get
+        if not wrote["rows"]:
+            raise ValueError("nothing to publish")
+        back = spark.read.parquet(staged)
+        read = back.agg(F.count(F.lit(1)).alias("rows"), row_hash.alias("hash")).first()
+        if (read["rows"], read["hash"]) != (wrote["rows"], wrote["hash"]) or [f.dataType for f in back.schema] != [f.dataType for f in df.schema]:
+            raise ValueError("what was read back is not what was written")
+        facts = check(back) if check else None
+        manifest = {"rows": wrote["rows"], "row_hash": str(wrote["hash"]), "columns": [[f.name, f.dataType.simpleString()] for f in df.schema]} | (extra or {}) | ({"checked": facts} if facts else {})
+        _replace(spark, staged, path)
+    except BaseException:
+        _delete(spark, staged)
+        raise
+    return write_json(spark, manifest, f"{path}.manifest", overwrite=True)

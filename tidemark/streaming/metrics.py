@@ -72,3 +72,20 @@ def silent(events: DataFrame, hold: int) -> DataFrame:
     hours = events.where("ts is not null").select(F.coalesce("event_type", F.lit("unknown")).alias("kind"), _hour("ts").alias("h")).distinct()
     ahead = F.lead("h").over(Window.partitionBy("kind").orderBy("h"))
     return hours.withColumn("resolved", ahead).where(F.col("resolved") - F.col("h") > hold).select("kind", (F.col("h") + 1).alias("pending"), (F.col("h") + 1 + hold).alias("fires"), "resolved")
+
+
+def rates(samples: DataFrame, labels: list[str], instance: str, ts: str, value: str, step: int, steps: int) -> DataFrame:
+    """(labels, slot, increase, rate): increase of counters over the last `steps` slots of `step` seconds, and per second.
+
+    A counter that falls was reset, so that its value is its increase; the first sample of
+    an instance adds nothing.  Increases are summed over instances by slot before they are
+    put in order.
+    """
+    order = Window.partitionBy(*labels, instance).orderBy("_t", value)
+    micro = (_hour(ts) * 3600 + F.minute(ts) * 60) * 1_000_000 + (F.expr(f"extract(SECOND FROM {ts})") * 1_000_000).cast("long")
+    rows = samples.where(F.col(ts).isNotNull()).withColumn("_t", micro).withColumn("_p", F.lag(value).over(order))
+    v, p = F.col(value), F.col("_p")
+    grown = F.when(p.isNull(), 0).when(v < p, v).otherwise(v - p)
+    slots = rows.groupBy(*labels, F.floor(F.col("_t") / (step * 1_000_000)).cast("long").alias("slot")).agg(F.sum(grown).alias("_i"))
+    last = F.sum("_i").over(Window.partitionBy(*labels).orderBy("slot").rangeBetween(1 - steps, 0))
+    return slots.select(*labels, "slot", last.alias("increase"), F.round(last / (step * steps), 9).alias("rate"))
