@@ -80,20 +80,41 @@ def leaks(rows, items, window=10):
     for item, t in items:
         w = ALNUM.findall((t or "").translate(LOWER))
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            wanted.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+            wanted.setdefault(tuple(w[i : i + window]), set()).update(() if item is None else [str(item)])
     out = []
     for d, t in rows:
         w = ALNUM.findall((t or "").translate(LOWER))
         hit, found = [0] * len(w), set()
         for n in {len(x) for x in wanted}:
             for i in range(len(w) - n + 1):
-                if s := wanted.get(tuple(w[i : i + n])):
+                if (s := wanted.get(tuple(w[i : i + n]))) is not None:
                     found |= s
                     hit[i : i + n] = [1] * n
         out.append((d, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0))
     return Counter(out)
 
 
+def near_leaks(rows, items, window=10, slack=2):
+    phrases = set()
+    for item, t in items:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            phrases.add((item, tuple(w[i : i + window])))
+    first = defaultdict(list)
+    for item, p in phrases:
+        first[p[0]].append((item, p))
+    out = []
+    for d, t in rows:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        found = set()
+        for i, x in enumerate(w):
+            for item, p in first.get(x, []):
+                if item is not None and i + len(p) <= len(w) and all(p[k] in w[max(0, i + k - slack) : i + k + slack + 1] for k in range(1, len(p))):
+                    found.add(str(item))
+        out.append((d, tuple(sorted(found))))
+    return Counter(out)
+
+
 def base_spans(text):
     from tidemark.llm.pii import luhn
 

@@ -113,8 +113,32 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
 def test_near_matches_need_no_exact_phrase(spark):
     item = spark.createDataFrame([(1, "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1")], "item_id long, text string")
     df = spark.createDataFrame([(1, "a1 b1 c1 d1 new e1 f1 g1 h1 i1 j1"), (2, "a1 b1")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], r["n_near_items"]) for r in decontamination.find(df, item, slack=2).collect()}
-    assert got == {1: (0, 1), 2: (0, 0)}
+    got = {r["doc_id"]: (r["n_hit"], r["near_items"]) for r in decontamination.find(df, item, slack=2).collect()}
+    assert got == {1: (0, ["1"]), 2: (0, [])}
+
+
+@pytest.mark.parametrize("block", [4_000_000, 400])
+def test_near_matches_equal_a_plain_version(spark, docs, monkeypatch, block):
+    """Distinct items across blocks, within documents, however texts fall into shards."""
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(2)
+    made = [(5000, "a1 b1"), (5001, None)]
+    for i in range(60):
+        w = brute.ALNUM.findall((items[i % len(items)][1] or "").lower())[:14]
+        for _ in range(i % 3):
+            w.insert(int(rng.integers(0, len(w))), "extra")
+        made.append((6000 + i, " ".join(w)))
+    items += [(items[0][0], items[0][1] + " and more words behind it"), (None, items[1][1])]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    found = decontamination.find(df, spark.createDataFrame(items, "item_id long, text string"))
+    rows_ = found.collect()
+    assert Counter((r["doc_id"], tuple(sorted(r["near_items"]))) for r in rows_) == brute.near_leaks(pairs(df), items)
+    assert all(sum(x["end"] - x["start"] for x in r["ranges"] or []) == r["n_hit"] for r in rows_)
+    want = brute.leaks(pairs(df), items)
+    assert rows(decontamination.digest(found).drop("n_near_items")) == want
+    marked = decontamination.mark(df.withColumn("_hit0", df["doc_id"]).withColumn("bits", df["doc_id"]), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r["doc_id"], r["n_hit"]) for r in marked.collect()) == Counter((k[0], k[2]) for k in want.elements())
 
 
 def test_pii(corpus):

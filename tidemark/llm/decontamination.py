@@ -1,35 +1,40 @@
 """Benchmark decontamination with a positional inverted index, split by documents.
 
-Every shard of the index covers about a megabyte of whole texts and holds, for the
-terms that occur in test items, the sorted list of positions of each.  A test window
-is looked up from its rarest term in the shard: the positions of that term, less its
-place in the window, are the possible starts, and the lists of the other terms,
-rarest first, are intersected with them after the same adjustment.  What is left
-with no slack are exact phrases; with slack, phrases whose words moved a little.
-
-Test items go through in blocks of bounded size, so that what each task gets of them
-does not grow with the benchmark; the corpus is never shuffled.
+Every shard of the index covers about a megabyte of whole texts and holds, for every
+term, the sorted list of its positions.  A test window is looked up from its rarest term
+in the shard: the positions of that term, less its place in the window, are the possible
+starts, and the lists of the other terms, rarest first, are intersected with them after
+the same adjustment.  Exact phrases have every term at its place.  With slack, a phrase is
+near if its first term is at the start and each other one within `slack` words of its
+place, in the same document; what is near does not depend on how texts fall into shards.
+
+Test items go through in blocks of bounded size.  `find` stores the index once and looks
+each block up in a job of its own, which writes its matches only; they are put together
+by document in the end.  `mark` keeps rows in place: it tokenises and searches its own
+texts for each block in turn, and stores them between two blocks.  So a task holds one
+block at a time, and the corpus is never shuffled.
 
 Defined results: null and empty texts and items have no words; an item of fewer
 words than the window, but not none, is one window; items or documents that repeat
 count each for themselves (``n_items`` counts distinct ids); a null ``item_id``
 hits words but is in no list; no benchmark rows: nothing is hit; empty documents: no
-rows; other columns are kept by `mark` and ignored by `find`.
+rows; other columns, whatever their names, are kept by `mark` and ignored by `find`.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NON_ALNUM, slices, spread, within_docs, words_of
+from .arrays import NON_ALNUM, release, slices, spread, within_docs, words_of
 from .exchange import materialise
 
 WINDOW = 10
@@ -58,17 +63,13 @@ class Tests:
         self.item_first = np.cumsum([0, *(len(s) for s in items)])
 
 
-def _postings(table: pa.Table, terms: np.ndarray | None) -> dict:
-    """One shard: positions of each term (of all, or of the given hashes) in the texts laid end to end."""
+def _postings(table: pa.Table) -> dict:
+    """One shard: positions of each term in the texts laid end to end."""
     words = words_of(table.column("text"), NON_ALNUM, lower=True)
-    terms = np.unique(words.hashes) if terms is None else terms
-    found = np.searchsorted(terms, words.hashes)
-    found[found == len(terms)] = 0
-    at = np.flatnonzero(terms[found] == words.hashes) if len(terms) else np.zeros(0, dtype=np.int64)
-    order = np.argsort(found[at], kind="stable")
-    count = np.bincount(found[at], minlength=len(terms))
-    used = np.flatnonzero(count)
-    return {"first": words.first, "term": terms[used], "count": count[used], "position": at[order].astype(np.uint32)}
+    order = np.argsort(words.hashes, kind="stable")
+    ordered = words.hashes[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return {"first": words.first, "term": ordered[heads], "count": np.diff(np.append(heads, len(ordered))), "position": order.astype(np.uint32)}
 
 
 def _matches(shard: dict, tests: Tests, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +90,8 @@ def _matches(shard: dict, tests: Tests, slack: int) -> tuple[np.ndarray, np.ndar
     alive = np.flatnonzero((held > 0).all(axis=1)) if n else np.zeros(0, dtype=np.int64)
     rarest = np.argsort(held[alive], axis=1, kind="stable")
     out = []
-    load = np.cumsum(held[alive, rarest[:, 0]]) if len(alive) else np.zeros(0)
+    wide = 2 * slack + 1
+    load = np.cumsum(wide * held[alive, rarest[:, 0]]) if len(alive) else np.zeros(0)
     cuts = np.unique(np.concatenate([[0], np.searchsorted(load, np.arange(_CHUNK, (load[-1] if len(load) else 0) + _CHUNK, _CHUNK), side="left") + 1]).clip(0, len(alive)))
     doc_of = np.searchsorted(first, np.arange(total), side="right") - 1
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -99,27 +101,34 @@ def _matches(shard: dict, tests: Tests, slack: int) -> tuple[np.ndarray, np.ndar
         row = np.repeat(np.arange(len(w)), reps)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
         start = position[begin[anchor][row] + inner] - by[row, 0]
+        if slack:  # the rarest term may stand up to `slack` words from its place, the first one not at all
+            shift = np.where(by[row, 0] > 0, slack, 0)
+            moved = np.arange(-slack, slack + 1)
+            start, row = (start[:, None] - moved).ravel(), np.repeat(row, wide)
+            ok = np.abs(np.tile(moved, len(shift))) <= np.repeat(shift, wide)
+            start, row = start[ok], row[ok]
         last = start + tests.size[w][row] - 1
         ok = (start >= 0) & (last < total)
         row, start, last = row[ok], start[ok], last[ok]
         ok = doc_of[start] == doc_of[last]
         row, start = row[ok], start[ok]
+        low, high = first[doc_of[start]], first[doc_of[start] + 1] - 1
         exact = np.ones(len(row), dtype=bool)
-        for k in range(1, by.shape[1]):
+        for k in range(by.shape[1]):
             place = by[row, k]
             term = tests.term[w[row], place]
             inside = term >= 0
             want = start + place
-            key = (np.where(inside, term, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(want - slack, 0).astype(np.uint64)
-            hit = np.searchsorted(postings, key)
-            near = postings[np.minimum(hit, len(postings) - 1)] if len(postings) else key
-            fits = ~inside | ((hit < len(postings)) & (near >> np.uint64(32) == term.astype(np.uint64)) & ((near & np.uint64(0xFFFFFFFF)).astype(np.int64) <= want + slack))
+            off = np.where(place > 0, slack, 0)
+            top = np.where(inside, term, 0).astype(np.uint64) << np.uint64(32)
+            hit = np.searchsorted(postings, top | np.maximum(want - off, low).astype(np.uint64))
+            near = postings[np.minimum(hit, len(postings) - 1)] if len(postings) else top
+            fits = ~inside | ((hit < len(postings)) & (near >> np.uint64(32) == top >> np.uint64(32)) & ((near & np.uint64(0xFFFFFFFF)).astype(np.int64) <= np.minimum(want + off, high)))
             if slack:
-                key = (np.where(inside, term, 0).astype(np.uint64) << np.uint64(32)) | want.astype(np.uint64)
+                key = top | want.astype(np.uint64)
                 hit = np.searchsorted(postings, key)
-                same = ~inside | ((hit < len(postings)) & (postings[np.minimum(hit, len(postings) - 1)] == key))
-                exact &= same
-            row, start, exact = row[fits], start[fits], exact[fits]
+                exact &= ~inside | ((hit < len(postings)) & (postings[np.minimum(hit, len(postings) - 1)] == key))
+            row, start, exact, low, high = (x[fits] for x in (row, start, exact, low, high))
             if not len(row):
                 break
         out.append((w[row], start, exact))
@@ -129,28 +138,14 @@ def _matches(shard: dict, tests: Tests, slack: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))  # type: ignore[return-value]
 
 
-def _verdicts(shard: dict, tests: Tests, slack: int) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
-    """Hit words, items of exact windows, and number of items of near windows, by document."""
-    first = shard["first"]
-    window, start, exact = _matches(shard, tests, slack)
+def _covered(first: np.ndarray, tests: Tests, window: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which words of a shard lie in the given windows."""
     covered = np.zeros(int(first[-1]), dtype=bool)
-    for size in np.unique(tests.size[window[exact]]):
+    for size in np.unique(tests.size[window]):
         flag = np.zeros(len(covered), dtype=bool)
-        flag[start[exact & (tests.size[window] == size)]] = True
+        flag[start[tests.size[window] == size]] = True
         covered |= spread(flag, int(size))
-    doc = np.searchsorted(first, start, side="right") - 1
-    items: list[list[str]] = [[] for _ in range(len(first) - 1)]
-    near = np.zeros(len(first) - 1, dtype=np.int64)
-    by_doc: dict[int, tuple[set, set]] = {}
-    for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist(), strict=True)):
-        names = tests.item[tests.item_first[w] : tests.item_first[w + 1]]
-        sets = by_doc.setdefault(d, (set(), set()))
-        sets[1].update(names)
-        if e:
-            sets[0].update(names)
-    for d, (own, close) in by_doc.items():
-        items[d], near[d] = sorted(own), len(close)
-    return covered, items, near
+    return covered
 
 
 class _Bounds:
@@ -158,39 +153,51 @@ class _Bounds:
         self.first = first
 
 
-_INDEX = "doc_ids array<long>, firsts binary, terms binary, counts binary, positions binary, covered binary, items array<array<string>>, near array<long>"
-_INDEX_SCHEMA = pa.schema([("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("firsts", "terms", "counts", "positions", "covered")), ("items", pa.list_(pa.list_(pa.string()))), ("near", pa.list_(pa.int64()))])
+_INDEX = "shard long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
+_INDEX_SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("terms", "counts", "positions"))])
 
 
-def _shards(batches, terms):
+def _shards(batches):
+    shard_id = TaskContext.get().partitionId() << 33
     for table in (part for batch in batches for part in slices(batch)):
-        shard = _postings(table, None if terms is None else terms.value)
-        n = table.num_rows
-        row = [table.column("doc_id").to_pylist(), shard["first"].astype(np.int64).tobytes(), shard["term"].astype(np.uint64).tobytes(), shard["count"].astype(np.int64).tobytes(), shard["position"].tobytes(), np.packbits(np.zeros(int(shard["first"][-1]), bool)).tobytes(), [[]] * n, [0] * n]
+        shard = _postings(table)
+        row = [shard_id, table.column("doc_id").to_pylist(), np.diff(shard["first"]), shard["term"].astype(np.uint64).tobytes(), shard["count"].astype(np.uint32).tobytes(), shard["position"].tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, _INDEX_SCHEMA, strict=True)], schema=_INDEX_SCHEMA)
+        shard_id += 1
 
 
-def _search(batches, tests, slack: int):
-    """Index rows with what this block of test items adds."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            shard = {"first": np.frombuffer(row["firsts"], np.int64), "term": np.frombuffer(row["terms"], np.uint64), "count": np.frombuffer(row["counts"], np.int64), "position": np.frombuffer(row["positions"], np.uint32)}
-            covered, items, near = _verdicts(shard, tests.value, slack)
-            covered |= np.unpackbits(np.frombuffer(row["covered"], np.uint8), count=len(covered)).astype(bool)
-            row |= {"covered": np.packbits(covered).tobytes(), "items": [sorted({*a, *b}) for a, b in zip(row["items"], items, strict=True)], "near": [a + b for a, b in zip(row["near"], near.tolist(), strict=True)]}
-            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], type=f.type) for f in _INDEX_SCHEMA], schema=_INDEX_SCHEMA)
-
-
-_FOUND = "doc_id long, n_words long, n_hit long, items array<string>, n_near_items long"
-_FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("n_near_items", pa.int64())])
+_MATCH = "shard long, pos int, ranges array<struct<start: long, end: long>>, items array<string>, near array<string>"
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_MATCH_SCHEMA = pa.schema([("shard", pa.int64()), ("pos", pa.int32()), ("ranges", _RANGES), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
 
 
-def _report(batches):
+def _search(batches, tests, slack: int):
+    """Of each document with a match in this block of test items: hit ranges of words, and ids of exact and near items."""
+    tests = tests.value
     for batch in batches:
-        for row in batch.to_pylist():
-            first = np.frombuffer(row["firsts"], np.int64)
-            covered = np.unpackbits(np.frombuffer(row["covered"], np.uint8), count=int(first[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(first)), pa.array(within_docs(covered, _Bounds(first))), pa.array(row["items"], pa.list_(pa.string())), pa.array(row["near"], pa.int64())], schema=_FOUND_SCHEMA)
+        for row in range(batch.num_rows):
+            get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
+            first = np.concatenate([[0], np.cumsum(np.array(get("n_words"), dtype=np.int64))]).astype(np.int64)
+            shard = {"first": first, "term": np.frombuffer(get("terms"), np.uint64), "count": np.frombuffer(get("counts"), np.uint32).astype(np.int64), "position": np.frombuffer(get("positions"), np.uint32)}
+            window, start, exact = _matches(shard, tests, slack)
+            if not len(window):
+                continue
+            covered = _covered(first, tests, window[exact], start[exact])
+            doc = np.searchsorted(first, start, side="right") - 1
+            sets: dict[int, tuple[set, set]] = {}
+            for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist(), strict=True)):
+                names = tests.item[tests.item_first[w] : tests.item_first[w + 1]]
+                own = sets.setdefault(d, (set(), set()))
+                own[1].update(names)
+                if e:
+                    own[0].update(names)
+            out = []
+            for d, (own, near) in sorted(sets.items()):
+                edge = np.diff(np.concatenate([[0], covered[first[d] : first[d + 1]].view(np.int8), [0]]))
+                ranges = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+                out.append((get("shard"), d, ranges, sorted(own), sorted(near)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _MATCH_SCHEMA, strict=True)], schema=_MATCH_SCHEMA)
+        release()
 
 
 def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Tests]]:
@@ -206,53 +213,74 @@ def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Tests]]:
     return blocks, each()
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """Index shards of all whole texts, stored in the shared folder; of all terms, or of the given hashes."""
-    shared = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)  # of one block of test items
-    return materialise(docs.select("doc_id", "text").mapInArrow(functools.partial(_shards, terms=shared), _INDEX), "index")
+def build_index(docs: DataFrame) -> DataFrame:
+    """Index shards of all whole texts and all their terms, stored in the shared folder."""
+    return materialise(docs.select("doc_id", "text").mapInArrow(_shards, _INDEX), "index")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, n_near_items), one row for each row of docs.
+    """(doc_id, n_words, n_hit, items, near_items, ranges), one row for each row of docs.
 
-    ``items`` are those with an exact window, ``n_near_items`` counts per block those
-    with a window whose words each lie within ``slack`` words of their place.
+    ``items`` have an exact window, ``near_items`` one within the slack (exact ones
+    included); ``ranges`` are the hit words of a document as half-open ranges of places.
     """
-    blocks, each = _blocks(benchmark, window)
-    index = None
-    for tests in each:
-        if index is None:
-            index = build_index(docs, tests.terms if blocks == 1 else None)
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
-        index = index.mapInArrow(functools.partial(_search, tests=shared, slack=slack), _INDEX)
-    return index.mapInArrow(_report, _FOUND)
-
-
-def _mark(batches, tests, slack: int):
+    index = build_index(docs)
+    found = None
+    for tests in _blocks(benchmark, window)[1]:
+        shared = docs.sparkSession.sparkContext.broadcast(tests)  # of one bounded block
+        part = materialise(index.select(*_INDEX_SCHEMA.names).mapInArrow(functools.partial(_search, tests=shared, slack=slack), _MATCH), "matches")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    every = found.groupBy("shard", "pos").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a row per document and block
+    # ranges of several blocks may overlap: those that begin within what is covered only lengthen it
+    joined = F.expr("""aggregate(array_sort(ranges), CAST(array() AS array<struct<start: bigint, end: bigint>>), (a, r) -> CASE
+        WHEN size(a) > 0 AND r.start <= element_at(a, -1).end
+        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, r.end))))
+        ELSE concat(a, array(r)) END)""")
+    every = every.withColumn("ranges", joined)
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("pos", "d")).select("shard", "pos", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    out = rows.join(every, ["shard", "pos"], "left")
+    n_hit = F.aggregate(F.coalesce("ranges", F.array()), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    empty = F.array().cast("array<string>")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("near", empty).alias("near_items"), "ranges")
+
+
+def _mark(batches, tests, bits: str, last: bool):
+    """Rows with the hit words of the blocks so far, as bits; after the last one, with their number."""
     for table in (part for batch in batches for part in slices(batch)):
-        shard = _postings(table, tests.value.terms)
-        covered, _, _ = _verdicts(shard, tests.value, slack)
-        hit = pa.array(within_docs(covered, _Bounds(shard["first"])))
-        yield from table.append_column("n_hit", hit).to_batches()
+        shard = _postings(table)
+        window, start, _ = _matches(shard, tests.value, 0)
+        first = shard["first"]
+        covered = _covered(first, tests.value, window, start)
+        if bits in table.column_names:
+            for d, raw in enumerate(table.column(bits).to_pylist()):
+                own = covered[first[d] : first[d + 1]]
+                own |= np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=len(own)).astype(bool)
+            table = table.drop_columns([bits])
+        if last:
+            table = table.append_column("n_hit", pa.array(within_docs(covered, _Bounds(first))))
+        else:
+            table = table.append_column(bits, pa.array([np.packbits(covered[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()))
+        yield from table.to_batches()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with ``n_hit``; each task indexes and searches its own texts, so rows stay in place."""
     if "n_hit" in docs.columns:
         raise ValueError("docs already has a column n_hit")
+    blocks, each = _blocks(benchmark, window)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
-    names = []
-    for k, tests in enumerate(_blocks(benchmark, window)[1]):
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
-        out = out.mapInArrow(functools.partial(_mark, tests=shared, slack=0), f"{fields}, n_hit long")
-        out = out.withColumnRenamed("n_hit", f"_hit{k}")
-        names.append(f"_hit{k}")
-        fields += f", _hit{k} long"
-    return out.withColumn("n_hit", F.greatest(*names, F.lit(0))).drop(*names)
+    bits, out = f"bits_{uuid.uuid4().hex}", docs
+    for k, tests in enumerate(each):
+        shared, last = docs.sparkSession.sparkContext.broadcast(tests), k == blocks - 1
+        out = out.mapInArrow(functools.partial(_mark, tests=shared, bits=bits, last=last), f"{fields}, {'n_hit long' if last else f'{bits} binary'}")
+        if not last:
+            out = materialise(out, "marked")
+            shared.unpersist()
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The checksum form of `find`."""
     items = F.array_sort("items")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near_items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))

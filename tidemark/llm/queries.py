@@ -48,7 +48,7 @@ def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return decontamination.digest(found).drop("n_near_items")
+    return decontamination.digest(found)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

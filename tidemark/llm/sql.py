@@ -71,9 +71,18 @@ SQL: dict[str, str] = {
         ), items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id
+        ), phrase AS (
+            SELECT DISTINCT item_id, w[i : i + 9] AS p
+            FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
+        ), near AS (
+            SELECT DISTINCT doc_id, item_id
+            FROM (SELECT doc_id, w, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM d) JOIN phrase ON x = p[1]
+            WHERE i + len(p) - 1 <= len(w)
+              AND len(list_filter(generate_series(2, len(p)), lambda k: NOT list_contains(w[greatest(i + k - 3, 1) : i + k + 1], p[k]))) = 0
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY doc_id) USING (doc_id)
     """,
 }
