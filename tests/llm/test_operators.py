@@ -463,6 +463,42 @@ def test_language_id_of_hard_rows(hard):
     assert language_id.identify(hard.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("at_a_time", [100, 2])
+def test_language_id_equals_a_plain_version(spark, hard, docs, monkeypatch, at_a_time):
+    import zstandard
+
+    monkeypatch.setattr(language_id, "LANGUAGES", at_a_time)
+    df = exchange.materialise(docs.select("doc_id", "text", "lang").unionByName(hard.where("doc_id is not null").selectExpr("doc_id + 10000 AS doc_id", "text", "lang")), "languages")
+    known = language_id.pieces(df.where("pmod(crc32(cast(doc_id AS string)), 5) <> 0"))
+    books = {}
+    for k, n in language_id.languages(known).items():
+        books |= language_id.learn(known, {k: n})
+    assert all(len(b) <= language_id.DICTIONARY_BYTES for b in books.values())
+    want = Counter()
+    for d, text in pairs(df):
+        plain = " ".join("".join(c if c.isalpha() or not (c.isdigit() or c == "_" or not c.isalnum()) else " " for c in (text or "").lower()).split())
+        size = {}
+        for k, b in books.items():
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = f" {plain} ".encode()
+            size[k] = sum(len(c.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        best = sorted((n, k) for k, n in size.items())
+        if not any(map(str.isalpha, plain)):
+            want[d, "und", 0.0] += 1
+        else:
+            want[d, best[0][1], round(1 / (1 + math.exp(-min(best[1][0] - best[0][0], 200) / 4)), 9)] += 1
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(df).collect()) == want
+
+
+def test_language_learns_from_any_place_of_long_texts(spark):
+    """Stubs and shared openings do not keep a language from its long texts."""
+    opening = "the same opening lines stand before every text of the table " * 150
+    rows = [(i, "¡ah!" if i % 40 else opening + ("vento mare luna sole " if lang == "xx" else "der wind und das meer ") * 900, lang) for lang, base in (("xx", 0), ("yy", 10_000)) for i in range(base, base + 800)]
+    rows += [(50_000 + i, text, None) for i, text in enumerate(["mare luna", "das meer und der wind", "sole vento luna mare"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 50000").collect()}
+    assert got == {50_000: "xx", 50_001: "yy", 50_002: "xx"}
+
+
 def test_site_quality(spark):
     df, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = site_quality.classify(df, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg({"kept": "count"}).collect()

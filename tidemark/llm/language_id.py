@@ -1,13 +1,16 @@
 """Language identification by compression with per-language dictionaries.
 
-A language is a zstandard raw-content dictionary of whole sample texts.  A text,
+A language is a zstandard raw-content dictionary of pieces of its texts.  A text,
 lower-cased and with everything but letters as single spaces, is compressed in whole
 in blocks with each dictionary; the smallest sum wins.  It is accepted only if the
 runner-up is larger by a margin, which short or mixed texts do not reach.
 
-The dictionaries are bounded (`per_language` texts of at most `text_bytes`, up to
-`dictionary_bytes`), picked by the smallest hashes of all rows that may be learned
-from; everything else looks at whole texts of all rows.
+Dictionaries are filled from all texts that may be learned from and hold a letter: these
+are seen as pieces of `PIECE` characters, wherever in a text they lie, and a language takes
+those with the smallest hashes until `dictionary_bytes` are full.  A long text so counts for
+as many pieces as it has, and stubs for what they hold.  Only the dictionaries are bounded;
+everything else looks at whole texts of all rows.  Languages go through `LANGUAGES` at a
+time, so what a task holds does not grow with their number.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties
 go to the language that sorts first; rows that repeat are judged each for itself; with
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import release
+from .exchange import materialise
+
 DICTIONARY_BYTES = 110_000
-PER_LANGUAGE = 160
-TEXT_BYTES = 6_000
+PIECE = 6_000  # characters
 BLOCK = 4_096
-MAX_LANGUAGES = 200
+LANGUAGES = 100  # whose dictionaries a task holds at a time
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -49,57 +54,103 @@ def _compressors(names: tuple[str, ...], dictionaries: tuple[bytes, ...], level:
     return out
 
 
-def judge(text: str | None, names: tuple[str, ...], compressors: list) -> tuple[str, float, bool]:
-    """Language, score and whether the margin is wide enough."""
+def sizes(text: str | None, compressors: list) -> list[int] | None:
+    """Bytes of a whole text under each dictionary; None for a text without letters."""
     plain = normal(text) if text else ""
-    if not names or not any(map(str.isalpha, plain)):
-        return "und", 0.0, False
+    if not any(map(str.isalpha, plain)):
+        return None
     raw = f" {plain} ".encode()
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = [sum(len(c.compress(b)) for b in blocks) for c in compressors]
-    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
-    if len(order) == 1:
-        return names[order[0]], 1.0, True
-    least, second = sizes[order[0]], sizes[order[1]]
+    return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
+
+
+def best_two(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The smallest two of (bytes, language), ties by name."""
+    return sorted(found)[:2]
+
+
+def verdict(best: list[tuple[int, str]]) -> tuple[str, float, bool]:
+    """Language, score and whether the margin is wide enough, from the smallest two."""
+    if not best:
+        return "und", 0.0, False
+    if len(best) == 1:
+        return best[0][1], 1.0, True
+    (least, name), (second, _) = best
     margin = second - least
-    return names[order[0]], 1 / (1 + math.exp(-min(margin, 200) / 4)), margin >= max(2, 0.02 * least)
+    return name, 1 / (1 + math.exp(-min(margin, 200) / 4)), margin >= max(2, 0.02 * least)
 
 
+_PASS = "doc_id long, text string, held_out boolean, best array<struct<size: long, name: string>>"
+_BEST = pa.list_(pa.struct([("size", pa.int64()), ("name", pa.string())]))
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
 
-def _predict(batches, names: tuple[str, ...], dictionaries: tuple[bytes, ...], level: int):
+def _predict(batches, names: tuple[str, ...], dictionaries: tuple[bytes, ...], level: int, last: bool):
+    """The best two languages so far of each text; after the last block of languages, the verdict."""
     compressors = _compressors(names, dictionaries, level)
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            got = [judge(t, names, compressors) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), *(pa.array([g[i] for g in got], _OUT.field(i + 2).type) for i in range(3))], schema=_OUT)
-
-
-def learn(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary for each language of the rows (doc_id, text, lang)."""
-    # longer texts are taken only where a language lacks others, and then cut: a dictionary is no place for one text
-    long = F.octet_length("text") > text_bytes
-    usable = labelled.where("lang is not null and text is not null").select("doc_id", "lang", long.alias("long"), F.substring("text", 1, text_bytes).alias("text"))
-    first = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
-    # Spark keeps per_language rows of each partition before the shuffle
-    rows = usable.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).orderBy("lang", "k").select("lang", "text").limit(MAX_LANGUAGES * per_language).collect()
+            before = part.column("best").to_pylist() if "best" in part.schema.names else [None] * part.num_rows
+            got = []
+            for text, old in zip(part.column("text").to_pylist(), before, strict=True):
+                found = sizes(text, compressors)
+                got.append([] if found is None else best_two([*((x["size"], x["name"]) for x in old or []), *zip(found, names, strict=True)]))
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("held_out")]
+            if last:
+                out = [verdict(b) for b in got]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([g[i] for g in out], _OUT.field(i + 2).type) for i in range(3))], schema=_OUT)
+            else:
+                best = pa.array([[{"size": s, "name": n} for s, n in b] for b in got], _BEST)
+                yield pa.RecordBatch.from_arrays([columns[0], part.column("text"), columns[1], best], names=["doc_id", "text", "held_out", "best"])
+        release()
+
+
+def pieces(labelled: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(lang, doc_id, text, n): rows to learn from, with the number of pieces of each."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return usable.select("lang", "doc_id", "text", F.ceil(F.length("text") / F.lit(piece)).cast("int").alias("n"))
+
+
+def languages(rows: DataFrame) -> dict[str, int]:
+    """Characters of each language that there is something to learn of."""
+    counted = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("size")).collect()  # a row per language
+    return {r["lang"]: r["size"] for r in counted}
+
+
+def learn(rows: DataFrame, found: dict[str, int], dictionary_bytes: int = DICTIONARY_BYTES, piece: int = PIECE) -> dict[str, bytes]:
+    """Raw-content dictionaries of the given languages, from `pieces`; a language sends at most about four times its dictionary to the order."""
+    span = 1 << 64
+    h = lambda p: F.xxhash64("doc_id", p)
+    most = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(span, span * 4 * dictionary_bytes // max(n, 1)) - span // 2 - 1)) for k, n in found.items()))
+    # only the numbers of pieces are listed; text is cut for those that are taken
+    own = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: h(p) <= F.col("most"))
+    cut = rows.where(F.col("lang").isin(list(found))).withColumn("most", most).select("lang", "doc_id", "text", F.explode(own).alias("p"))
+    cut = cut.select("lang", "doc_id", "p", F.substring("text", F.col("p") * piece + 1, F.lit(piece)).alias("text"), h(F.col("p")).alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "p", "text")  # some hundred kilobytes of a language
+    upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    taken = cut.withColumn("upto", upto - F.octet_length("text")).where(F.col("upto") < dictionary_bytes).orderBy("lang", "h", "doc_id", "p", "text").select("lang", "text").collect()
     out: dict[str, bytes] = {}
-    for row in rows:
+    for row in taken:
         raw = f" {normal(row['text'])} ".encode()
-        if len(out.get(row["lang"], b"")) + len(raw) <= dictionary_bytes:
+        if raw.strip() and len(out.get(row["lang"], b"")) + len(raw) <= dictionary_bytes:
             out[row["lang"]] = out.get(row["lang"], b"") + raw
-    if len(out) > MAX_LANGUAGES - 1:
-        raise ValueError(f"more than {MAX_LANGUAGES - 1} languages")
-    return {k: v for k, v in out.items() if v.strip()}
+    return out
 
 
 def identify(docs: DataFrame, folds: int = 5, level: int = 3) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted); learns where ``crc32(doc_id as text) % folds`` is not 0."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0, F.lit(False))
-    rows = docs.select("doc_id", "text", held.alias("held_out"))
-    known = learn(docs.select("doc_id", "text", "lang", held.alias("held_out")).where("not held_out and doc_id is not null"))
-    names = tuple(sorted(known))
-    predict = functools.partial(_predict, names=names, dictionaries=tuple(known[n] for n in names), level=level)
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    rows = pieces(docs.select("doc_id", "text", "lang", held.alias("held_out")).where("not held_out and doc_id is not null"))
+    found = sorted(languages(rows).items())
+    blocks = [dict(found[i : i + LANGUAGES]) for i in range(0, len(found), LANGUAGES)] or [{}]
+    out = docs.select("doc_id", "text", held.alias("held_out"))
+    for k, block in enumerate(blocks):
+        known = learn(rows, block) if block else {}
+        names, last = tuple(sorted(known)), k == len(blocks) - 1
+        predict = functools.partial(_predict, names=names, dictionaries=tuple(known[n] for n in names), level=level, last=last)
+        ddl = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean" if last else _PASS
+        out = out.mapInArrow(predict, ddl)
+        if not last:
+            out = materialise(out, "languages")
+    return out
