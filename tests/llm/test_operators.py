@@ -509,6 +509,57 @@ def test_site_quality(spark):
     assert kept.get((0, 0), 0) <= 0.1 * total[0, 0]
 
 
+def test_site_quality_equals_a_plain_version(spark, hard, docs, monkeypatch):
+    """Hierarchical rates, strengths and posteriors by plain Python, from the fitted weights."""
+    import pyarrow as pa
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels = labels.unionByName(labels.limit(20).withColumn("quality", labels["quality"] * 0))  # repeated and conflicting
+    more = spark.createDataFrame([(7000 + i, f"plain words {i} here", None if i % 2 else "", "") for i in range(9)], "doc_id long, text string, source string, lang string")
+    df = docs.select("doc_id", "text", "source", "lang").unionByName(hard.select("doc_id", "text", "source", "lang")).unionByName(more)
+    weights = site_quality.fit(df, labels)
+    monkeypatch.setattr(site_quality, "fit", lambda *a: weights)
+    got = site_quality.classify(df, labels).collect()
+    data = [tuple(r) for r in df.collect()]
+    cells = [np.unique(site_quality._features(pa.table({"text": pa.array([t], pa.string())}))[1]) for _, t, _, _ in data]
+    w = weights.astype(np.float32)
+    evidence = [[float(np.clip(w[c, k].astype(float).sum() + w[site_quality.CELLS, k], -12, 12)) for k in (0, 1)] for c in cells]
+    prior = weights[site_quality.CELLS + 1]
+    chance = [[1 / (1 + math.exp(-(e[k] + prior[k]))) for k in (0, 1)] for e in evidence]
+    good = defaultdict(lambda: 1.0)
+    for k in (0, 1):
+        paths, hosts = defaultdict(list), defaultdict(list)
+        for (_, _, source, lang), p in zip(data, chance, strict=True):
+            paths[source, lang].append(p[k])
+            hosts[source].append(p[k])
+        n, mean = len(data), sum(p[k] for p in chance) / len(data)
+        rate = {s: sum(v) / len(v) for s, v in paths.items()}
+        of_host = {s: sum(v) / len(v) for s, v in hosts.items()}
+        within = sum((x - rate[s]) ** 2 for s, v in paths.items() for x in v) / (n - len(paths))
+        held = sum(len(v) * (rate[s] - of_host[s[0]]) ** 2 for s, v in paths.items())
+        tau = (held - (len(paths) - len(hosts)) * within) / (n - sum(len(v) ** 2 / len(hosts[s[0]]) for s, v in paths.items()))
+        path = min(max(within / tau, 1.0), 1e6) if tau > 0 else 1e6
+        held = sum(len(v) * (of_host[s] - mean) ** 2 for s, v in hosts.items())
+        tau = (held - (len(hosts) - 1) * within) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+        host = min(max(within / tau, 1.0), 1e6) if tau > 0 else 1e6
+        shrunk_host = {s: (sum(v) + host * mean) / (len(v) + host) for s, v in hosts.items()}
+        for i, (_, _, source, lang) in enumerate(data):
+            v = paths[source, lang]
+            r = min(max((sum(v) + path * shrunk_host[source]) / (len(v) + path), 1e-4), 1 - 1e-4)
+            good[i] *= 1 - 1 / (1 + math.exp(-(evidence[i][k] + math.log(r / (1 - r)))))
+    key = lambda d, host, path, p: (repr(d), repr(host), repr(path), round(p, 4))
+    assert Counter(key(r["doc_id"], r["host"], r["path"], r["p_good"]) for r in got) == Counter(key(d, source, lang, good[i]) for i, (d, _, source, lang) in enumerate(data))
+    assert all(r["kept"] == (r["p_good"] >= 0.5) for r in got)
+
+
+def test_site_quality_keeps_columns_of_any_name(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    df = docs.withColumn("kept", docs["doc_id"]).withColumn("host_key", docs["source"]).withColumn("host", docs["source"])
+    out = site_quality.keep_good(df, labels)
+    assert out.columns == df.columns
+    assert 0 < out.where("kept = doc_id and host_key = source").count() == out.count() <= docs.count()
+
+
 def test_site_quality_without_labels(spark, hard):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert site_quality.keep_good(hard, none).count() == hard.count()

@@ -1,25 +1,31 @@
 """Quality classifier with site priors, by hierarchical empirical Bayes.
 
-Two heads, low quality and toxic, each give a document's evidence: the summed log
-ratios of its features (hashed words, word beginnings and binned style measures) that
-differ between the labelled classes beyond chance.  The chance of each head is then
-averaged over all documents by (host, path) and by host through grouped sums, and
-shrunk: a path toward its host, a host toward the whole corpus, each as if it had
-seen `strength` more documents of the level above.  Evidence and the logit of the
-shrunk path rate add up to the posterior that decides.
+Two heads, low quality and toxic, each give a document's evidence: the summed ridge
+logistic weights of its features (hashed words, word beginnings and binned style
+measures) that differ between the labelled classes beyond chance.  The chance of each head
+is then averaged over all documents by (host, path) and by host through grouped sums, and
+shrunk: a path toward its host, a host toward the whole corpus, each as if it had seen so
+many more documents of the level above as the data say.  That strength is the variance
+of chances within paths over the variance of rates between them, beyond what the former
+explains, and is estimated by moments for each head and level.  Evidence and the logit of
+the shrunk path rate add up to the posterior that decides.
 
 In `documents`, the host is ``source`` and the path level is ``lang``.  Only the model is
-fitted on a bounded sample: the `sample` labelled ids with the smallest hashes.
+fitted on a bounded sample: the `sample` labelled ids with the smallest hashes.  Features
+are computed once for each row and stored with it; rows of a site with a large share of
+all meet its rates in a bounded broadcast, others join by site.
 
 Defined results: null and empty texts have the evidence of their style bins alone;
-null hosts and paths form a site of their own; labels that repeat count once, as the
-worst; with no usable labels everything is kept; rows that repeat are judged alike;
-empty tables give no rows; other columns are ignored, or kept by `keep_good`.
+null hosts and paths form a site of their own, apart from empty names; labels that repeat
+count once, as the worst; with no usable labels everything is kept; rows that repeat are
+judged alike; ties of the posterior at one half are kept; empty tables give no rows;
+other columns are ignored, or kept by `keep_good`.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +35,11 @@ from pyspark.sql import functions as F
 from .arrays import Words, mix, slices, unique_sorted, words_of
 from .exchange import materialise
 from .sampling import smallest
+from .skew import heavy_keys, lookup
 
 SAMPLE = 20_000
 CELLS = 1 << 18
-STRENGTH = 50.0
+STRENGTHS = (1.0, 1e6)  # the least and the most that shrinking may count as
 CLIP = 12.0
 Z_LEAST, SEEN_LEAST = 6.0, 8
 _LETTER = np.zeros(256, dtype=np.uint8)
@@ -195,48 +202,86 @@ def evidence(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFr
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(functools.partial(_evidence, weights=shared, columns=columns), f"{ddl}, low_evidence double, toxic_evidence double")
 
 
-def site_rates(rows: DataFrame, prior: tuple[float, float], strength: float = STRENGTH) -> DataFrame:
-    """Shrunk rate of both heads for every (host, path), of rows (host, path, *_evidence)."""
-    heads = ("low", "toxic")
-    p = [1 / (1 + F.exp(-(F.col(f"{h}_evidence") + F.lit(float(b))))) for h, b in zip(heads, prior, strict=True)]
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(h) for h, x in zip(heads, p, strict=True)))
-    paths = materialise(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *(F.sum(h).alias(f"host_{h}") for h in heads))
-    whole = paths.agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in heads)).first()
+HEADS = ("low", "toxic")
+_KEYS = ["host_key", "path_key"]
+
+
+def strengths(paths: DataFrame) -> dict[str, tuple[float, float]]:
+    """By head: how many documents of the level above a host and a path count besides their own.
+
+    From rows (host_key, path_key, n, and per head the sum and the sum of squares of
+    chances): the variance within paths over that between paths of a host, and between
+    hosts, by the usual moments of a one-way layout with unequal sizes.
+    """
+    hosts = paths.groupBy("host_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"), *(F.sum(c).alias(c) for h in HEADS for c in (h, f"{h}_sq")), *(F.sum(F.col(h) * F.col(h) / F.col("n")).alias(f"{h}_paths") for h in HEADS))
+    row = hosts.agg(
+        F.sum("n").alias("n"),
+        F.sum("k").alias("paths"),
+        F.count(F.lit(1)).alias("hosts"),
+        F.sum(F.col("nn") / F.col("n")).alias("path_nn"),
+        F.sum(F.col("n") * F.col("n")).alias("host_nn"),
+        *(F.sum(c).alias(c) for h in HEADS for c in (h, f"{h}_sq", f"{h}_paths")),
+        *(F.sum(F.col(h) * F.col(h) / F.col("n")).alias(f"{h}_hosts") for h in HEADS),
+    ).first()
+    if not row["n"]:
+        return {h: (STRENGTHS[1], STRENGTHS[1]) for h in HEADS}
+    n, low, high = row["n"], *STRENGTHS
+
+    def ratio(within: float, between: float, groups: int, spread: float) -> float:
+        """within / tau**2, where tau**2 is the variance between the groups."""
+        tau = (between - groups * within) / spread if spread > 0 else 0.0
+        return min(max(within / tau, low), high) if tau > 0 else high
+
+    out = {}
+    for h in HEADS:
+        within = max(row[f"{h}_sq"] - row[f"{h}_paths"], 0.0) / max(n - row["paths"], 1)
+        path = ratio(within, row[f"{h}_paths"] - row[f"{h}_hosts"], row["paths"] - row["hosts"], n - row["path_nn"])
+        host = ratio(within, row[f"{h}_hosts"] - row[h] * row[h] / n, row["hosts"] - 1, n - row["host_nn"] / n)
+        out[h] = (host, path)
+    return out
+
+
+def site_rates(rows: DataFrame, prior: tuple[float, float]) -> DataFrame:
+    """Shrunk rate of both heads for every (host_key, path_key), of rows (these, *_evidence)."""
+    p = {h: 1 / (1 + F.exp(-(F.col(f"{h}_evidence") + F.lit(float(b))))) for h, b in zip(HEADS, prior, strict=True)}
+    sums = [f for h, x in p.items() for f in (F.sum(x).alias(h), F.sum(x * x).alias(f"{h}_sq"))]
+    paths = materialise(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *sums), "paths")
+    strong = strengths(paths)
+    hosts = paths.groupBy("host_key").agg(F.sum("n").alias("host_n"), *(F.sum(h).alias(f"host_{h}") for h in HEADS))
+    whole = paths.agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in HEADS)).first()
     n = whole["n"] or 1
-    s = F.lit(strength)
-    hosts = hosts.select("host", "host_n", *(((F.col(f"host_{h}") + s * F.lit((whole[h] or 0.0) / n)) / (F.col("host_n") + s)).alias(f"host_{h}_rate") for h in heads))
-    rates = paths.join(hosts, "host").select("host", "path", *(f"host_{h}_rate" for h in heads), *(((F.col(h) + s * F.col(f"host_{h}_rate")) / (F.col("n") + s)).alias(f"path_{h}_rate") for h in heads))
+    shrunk = lambda total, size, s, above: (total + F.lit(s) * above) / (size + F.lit(s))
+    hosts = hosts.select("host_key", *(shrunk(F.col(f"host_{h}"), F.col("host_n"), strong[h][0], F.lit((whole[h] or 0.0) / n)).alias(f"host_{h}_rate") for h in HEADS))
+    rates = lookup(paths, hosts, ["host_key"], "inner", heavy_keys(paths, ["host_key"]))
+    rates = rates.select(*_KEYS, *(f"host_{h}_rate" for h in HEADS), *(shrunk(F.col(h), F.col("n"), strong[h][1], F.col(f"host_{h}_rate")).alias(f"path_{h}_rate") for h in HEADS))
     return materialise(rates, "sites")
 
 
-def _posterior(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """Rows with the chance of each head and the decision; sites join by size, no hint."""
-    out = rows.join(sites, ["host", "path"])
-    for h in ("low", "toxic"):
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int, columns: list[str]) -> DataFrame:
+    """`columns` of docs with evidence, site rates, the chance of each head and the decision."""
+    weights = fit(docs, labels, sample)
+    keyed = docs.select("*", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip((host, path), _KEYS, strict=True)))
+    rows = materialise(evidence(keyed, weights, [*columns, *_KEYS]), "evidence")
+    sites = site_rates(rows.select(*_KEYS, *(f"{h}_evidence" for h in HEADS)), tuple(weights[CELLS + 1]))
+    out = lookup(rows, sites, _KEYS, "inner", heavy_keys(rows.select(*_KEYS), _KEYS))
+    for h in HEADS:
         rate = F.least(F.greatest(F.col(f"path_{h}_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"{h}_evidence") + F.log(rate / (1 - rate))))))
     return out.withColumn("p_good", (1 - F.col("p_low")) * (1 - F.col("p_toxic"))).withColumn("kept", F.col("p_good") >= 0.5)
 
 
-def _site(host: str, path: str):
-    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "host"), (path, "path"))]
-
-
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, host, path, evidence, site rates, p_low, p_toxic, p_good, kept) of every row of docs."""
-    weights = fit(docs, labels, sample)
-    rows = materialise(evidence(docs.select("doc_id", "text", *_site(host, path)), weights, ["doc_id", "host", "path"]), "evidence")
-    return _posterior(rows, site_rates(rows, tuple(weights[CELLS + 1])))
+    out = _judged(docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")), labels, "host", "path", sample, ["doc_id"])
+    named = [F.when(F.col(k) != "", F.substr(k, F.lit(2))).alias(c) for c, k in zip(("host", "path"), _KEYS, strict=True)]
+    return out.select("doc_id", *named, *(c for c in out.columns if c not in ("doc_id", *_KEYS)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """Rows of `docs` that the classifier keeps, with its columns; texts are not shuffled."""
-    weights = fit(docs, labels, sample)
-    clash = {"host", "path", "low_evidence", "toxic_evidence"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    rows = evidence(docs.select("*", *_site(host, path)), weights, [*docs.columns, "host", "path"])
-    narrow = materialise(rows.select("host", "path", "low_evidence", "toxic_evidence"), "evidence")
-    sites = site_rates(narrow, tuple(weights[CELLS + 1]))
-    return _posterior(rows, sites).where("kept").select(*docs.columns)
+    """Rows of `docs` that the classifier keeps, with its columns."""
+    clash = {*_KEYS, *(f"{h}_evidence" for h in HEADS), "p_good", "kept", *(f"p_{h}" for h in HEADS), *(f"{a}_{h}_rate" for h in HEADS for a in ("host", "path"))} & set(docs.columns)
+    if clash:  # names of ours are put aside
+        aside = {c: f"{c}_{uuid.uuid4().hex}" for c in clash}
+        host, path = aside.get(host, host), aside.get(path, path)
+        return keep_good(docs.withColumnsRenamed(aside), labels, host, path, sample).withColumnsRenamed({v: k for k, v in aside.items()})
+    return _judged(docs, labels, host, path, sample, docs.columns).where("kept").select(*docs.columns)
