@@ -313,6 +313,41 @@ def test_training_order(spark, corpus):
     assert (training_order.read_slots(root, manifest, 5, 20, length=64) == block[5:25]).all()
 
 
+def test_training_order_equals_a_plain_permutation(spark, docs):
+    """Slots, shards and contents of one input split against a plain cut, a plain Feistel network and a sort; a second run replaces the first."""
+    table = exchange.materialise(docs.select("doc_id", "text").coalesce(1), "one-split")
+    root, key, length, per_shard = exchange.scratch(spark, "order"), 99, 128, 16
+    for _ in range(2):
+        got = sorted(training_order.materialise_order(table, root, key=key, length=length, per_shard=per_shard).collect(), key=lambda r: r["slot"])
+    encode = encoder(default_tokenizer())
+    data = pairs(table)
+    stream = [int(x) for _, t in data for x in [*encode(t), 0]]
+    cut = [stream[i : i + length] for i in range(0, len(stream), length)]
+    n = -(-(sum(len((t or "").encode()) for _, t in data) + len(data)) // length)
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def mixed(h):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ (h >> shift)) * by) % 2**64
+        return h ^ (h >> 31)
+
+    def place(x):
+        while True:
+            a, b = x >> half, x & mask
+            for r in range(6):
+                a, b = b, a ^ (mixed(b ^ mixed(key * 6 + r)) & mask)
+            x = (a << half) | b
+            if x < n:
+                return x
+
+    order = sorted((place(i), i) for i in range(len(cut)))
+    assert [(r["place"], r["shard"]) for r in got] == [(p, p // per_shard) for p, _ in order]
+    manifest = [(r["shard"], r["records"], r["first_slot"]) for r in spark.read.parquet(f"{root}/manifest.parquet").collect()]
+    block = training_order.read_slots(root, manifest, 0, len(got), length=length)
+    assert block.tolist() == [cut[i] + [0] * (length - len(cut[i])) for _, i in order]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
 def test_permutation(n):
     p = training_order.permute(np.arange(n), n, 11)
@@ -444,6 +479,21 @@ def test_context_tree(hard, depth):
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 2)) for r in got) == want
 
 
+def test_context_tree_in_salted_buckets(hard, docs, monkeypatch):
+    more = docs.select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    want = Counter((r["doc_id"], r["n_known"], round(r["score"], 2)) for r in context_tree.score(more).collect())
+    monkeypatch.setattr(context_tree, "SALTED_GROUPS", 5)
+    assert Counter((r["doc_id"], r["n_known"], round(r["score"], 2)) for r in context_tree.score(more).collect()) == want
+
+
+def test_columns_of_clashing_names_are_ignored(spark, docs):
+    df = docs.withColumns({"g": docs["doc_id"], "learn": docs["source"], "bucket": docs["source"], "shard": docs["text"], "pos": docs["doc_id"], "vals": docs["text"]})
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    plain = docs.select("doc_id", "text")
+    assert rows(context_tree.score(df).select("doc_id", "n_known")) == rows(context_tree.score(plain).select("doc_id", "n_known"))
+    assert rows(decontamination.digest(decontamination.find(df, items))) == rows(decontamination.digest(decontamination.find(plain, items)))
+
+
 def test_context_tree_of_nothing(hard):
     assert context_tree.score(hard.where("false")).collect() == []
 

@@ -12,9 +12,15 @@ Texts are tokenised once: exact counts before the permutation would need a secon
 or a stored copy of all ids.  A record is two bytes an id for vocabularies of up to
 65,536.
 
-Defined results: null and empty texts give only the end id; repeated rows are kept;
-an empty table gives no shards; other columns are ignored.  ``docs`` has to read the
-same twice (a table or a materialised frame).
+The sequences of a table, and with them the order, are those of its input splits: tokens
+run on within a split, and its last sequence is padded.  Reading the table again with the
+same files and ``maxPartitionBytes`` gives the same shards; what is written stays as it is.
+
+Defined results: null and empty texts give only the end id; repeated rows are kept, each
+in its place; no two sequences have the same place, so there are no ties; an empty table
+gives no shards; other columns are ignored.  A run at the same root replaces shard by
+shard and then the manifest, which is written last, so a run that broke off can be
+repeated there.  ``docs`` has to read the same twice (a table or a materialised frame).
 """
 
 from __future__ import annotations
@@ -25,7 +31,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,23 +80,16 @@ def _streams(batches, path: str):
             yield doc, np.append(encode(text), END).astype(encode.kind)
 
 
-def _bound(batches, length: int):
-    """Sequences that an input split can have at most."""
-    from pyspark import TaskContext
-
-    total = sum(batch.num_rows + (pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0) for batch in batches)
-    if total:
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([-(-total // length)], pa.int64())})
-
-
 _RECORD = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
-def _sequences(batches, path: str, length: int, bases: dict[int, tuple[int, int]], n: int, key: int, per_shard: int):
+def _sequences(batches, path: str, length: int, bases, n: int, key: int, per_shard: int):
     """Records of one partition; memory holds a few hundred at a time."""
     from pyspark import TaskContext
 
-    number, stop = bases.get(TaskContext.get().partitionId(), (0, 0))
+    parts, ends = bases.value
+    at = int(np.searchsorted(parts, TaskContext.get().partitionId()))
+    number, stop = (int(ends[at]), int(ends[at + 1])) if at < len(parts) and parts[at] == TaskContext.get().partitionId() else (0, 0)
     rows: list[tuple[list, bytes]] = []
     docs, buffer, have = [], [], 0
 
@@ -160,11 +158,11 @@ def materialise_order(docs: DataFrame, root: str, key: int = 1, length: int = LE
     """
     path = tokenizer or default_tokenizer()
     source = docs.select("doc_id", "text")
-    bounds = {r["part"]: r["n"] for r in source.mapInArrow(functools.partial(_bound, length=length), "part int, n long").collect()}  # one row per input split
-    bases, n = {}, 0
-    for part in sorted(bounds):
-        bases[part] = (n, n + bounds[part])
-        n += bounds[part]
+    size = F.ceil((F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)) + F.count(F.lit(1))) / F.lit(length)).cast("long")
+    bounds = source.groupBy(F.spark_partition_id().alias("part")).agg(size.alias("n")).orderBy("part").collect()  # one row per input split
+    ends = np.concatenate([[0], np.cumsum([r["n"] for r in bounds], dtype=np.int64)])
+    n = int(ends[-1])
+    bases = docs.sparkSession.sparkContext.broadcast((np.array([r["part"] for r in bounds], dtype=np.int64), ends))  # sixteen bytes per input split
     made = functools.partial(_sequences, path=path, length=length, bases=bases, n=n, key=key, per_shard=per_shard)
     records = source.mapInArrow(made, "shard long, place long, n_tokens int, doc_ids array<long>, ids binary")
     stride = length * np.dtype(encoder(path).kind).itemsize
@@ -173,7 +171,7 @@ def materialise_order(docs: DataFrame, root: str, key: int = 1, length: int = LE
     written = materialise(records.groupBy("shard").applyInArrow(one(_write, root=root, stride=stride), schema=_DDL), "shards")
     counts = written.groupBy("shard").agg(F.count(F.lit(1)).alias("records"))
     before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row per shard
-    counts.withColumn("first_slot", F.coalesce(before, F.lit(0))).coalesce(1).write.parquet(f"{root}/manifest.parquet")
+    counts.withColumn("first_slot", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest.parquet")
     manifest = docs.sparkSession.read.schema("shard long, records long, first_slot long").parquet(f"{root}/manifest.parquet")
     return written.join(manifest, "shard").select((F.col("first_slot") + F.col("rank")).alias("slot"), "shard", "position", "place", "n_tokens", "doc_ids", "ids_crc32")
 
