@@ -38,7 +38,7 @@ DEPTH = 5
 END = 10
 _END_KEY = np.uint64(0x5851F42D4C957F2D)  # the end, among word hashes
 _WORD_WIDTH = 7
-GROUP_BYTES = 16_000_000
+GROUP_BYTES, BUCKET_BYTES = 16_000_000, 6_000_000
 SLICE_BYTES = 2_000_000  # of a group that is held as arrays at a time
 SALTED_GROUPS = 512  # groups whose blobs one call on a bucket takes
 
@@ -312,7 +312,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be within 2 and 7")
-    plan = plan or ex.Plan(docs, group_bytes=GROUP_BYTES)
+    plan = plan or ex.Plan(docs, group_bytes=GROUP_BYTES, bucket_bytes=BUCKET_BYTES)
     bits = plan.bits
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out
     grouped = plan.grouped(docs, F.coalesce(~fold, F.lit(False)).alias("learn"), F.coalesce(fold, F.lit(False)).alias("held_out"))

@@ -73,11 +73,11 @@ def stored_groups(grouped: DataFrame, parts: int, name: str) -> DataFrame:
 class Plan:
     """Sizes for one corpus: how many document groups, key buckets and partitions."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", group_bytes: int | None = None) -> None:
+    def __init__(self, docs: DataFrame, text: str = "text", group_bytes: int | None = None, bucket_bytes: int | None = None) -> None:
         row = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
         self.bytes, self.rows = int(row["b"]), int(row["n"])
         group = group_bytes or min(max(math.sqrt(GROUP_SCALE * self.bytes), GROUP_LEAST), GROUP_MOST)
-        bucket = min(max(math.sqrt(BUCKET_SCALE * self.bytes), BUCKET_LEAST), BUCKET_MOST)
+        bucket = bucket_bytes or min(max(math.sqrt(BUCKET_SCALE * self.bytes), BUCKET_LEAST), BUCKET_MOST)
         self.groups = max(64, math.ceil(self.bytes / group))
         self.bits = max(6, math.ceil(math.log2(max(1, self.bytes / bucket))))
         self.parts = min(max(12, math.ceil(self.bytes / PART_BYTES)), PARTS_MOST)

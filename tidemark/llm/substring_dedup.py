@@ -4,7 +4,7 @@ Reference blocks are the non-overlapping runs of ``window // 2`` words at the
 multiples of that length.  Any repeat of ``window`` words holds at least one whole
 reference block of each document that has it, so probing the index of blocks with
 every rolling run finds every place where a repeat can be.  Only those places are
-extended: the hash of the full window around a hit goes to its bucket, which
+extended: a hash of 128 bits of the full window around a hit goes to its bucket, which
 answers whether a document with a smaller id has it, and the union of such windows
 is the maximal repeated range that is removed.
 
@@ -27,20 +27,24 @@ from .arrays import Words, fast_join, spread, within_docs, words_of
 
 WINDOW = 50
 _NO_ID = np.iinfo(np.int64).max
+_SECOND = 0xD6E8FEB86659FD93  # odd: the base of the second polynomial
 _WIDTH = 5  # bytes of a block's fingerprint besides its bucket; its two lowest bits are flags
 
 
 class _Runs:
-    """Distinct run fingerprints of one group, in order, and where each occurs."""
+    """Distinct run fingerprints of one group, in order, and where each occurs; `second` are further bits of each."""
 
-    def __init__(self, hashes: np.ndarray, at: np.ndarray) -> None:
-        order = np.argsort(hashes[at], kind="stable")
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> None:
+        order = np.argsort(hashes[at], kind="stable") if second is None else np.lexsort((second[at], hashes[at]))
         self.at = at[order]
         ordered = hashes[self.at]
         new = np.ones(len(ordered), dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]
+        if second is not None:
+            new[1:] |= second[self.at][1:] != second[self.at][:-1]
         self.heads = np.flatnonzero(new)
         self.keys = ordered[self.heads]
+        self.more = None if second is None else second[self.at][self.heads]
         self.number = np.cumsum(new) - 1
 
     def reduce(self, op: np.ufunc, values: np.ndarray) -> np.ndarray:
@@ -114,7 +118,8 @@ def _candidates(docs: pa.Table, replies: pa.Table, window: int, bits: int) -> tu
     n = len(hashes)
     near = total[np.arange(n) + window - block + 1 if n else np.zeros(0, dtype=int)] - total[:n] > 0 if n else np.zeros(0, dtype=bool)
     whole, ok = words.windows(window)
-    found = _Runs(whole, np.flatnonzero(ok & near))
+    second, _ = words.windows(window, base=_SECOND)
+    found = _Runs(whole, np.flatnonzero(ok & near), second)
     least = found.reduce(np.minimum, _ids(docs)[words.doc])
     return words, found, least
 
@@ -124,17 +129,19 @@ def _send_windows(docs: pa.Table, replies: pa.Table, window: int, bits: int) ->
         return ex.BLOB_SCHEMA.empty_table()
     g = docs.column("g")[0].as_py()
     _, found, least = _candidates(docs, replies, window, bits)
-    rows = [(bucket, g, ex.shorten(keys, bits, 8), np.ascontiguousarray(ids).tobytes()) for bucket, _, keys, ids in ex.pack(g, found.keys, bits, least)]
+    vals = np.stack([least, found.more.view(np.int64)], axis=1) if len(found.keys) else least
+    rows = [(bucket, g, ex.shorten(keys, bits, 8), np.ascontiguousarray(v).tobytes()) for bucket, _, keys, v in ex.pack(g, found.keys, bits, vals)]
     return ex.blob_table(rows, ex.BLOB_SCHEMA)
 
 
 def _merge_windows(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
-    index, distinct, groups, offsets = ex.merged(table, 8)
-    ids = np.frombuffer(b"".join(table.column("vals").to_pylist()), dtype=np.int64)
-    least = np.full(len(distinct), _NO_ID)
-    np.minimum.at(least, index, ids)
-    answer = least[index] < ids
+    raws, groups = table.column("keys").to_pylist(), table.column("g").to_pylist()
+    offsets = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raws])])
+    ids, second = np.frombuffer(b"".join(table.column("vals").to_pylist()), dtype=np.int64).reshape(-1, 2).T
+    runs = _Runs(ex.lengthen(b"".join(raws), 8), np.arange(len(ids)), second)
+    answer = np.zeros(len(ids), dtype=bool)
+    answer[runs.at] = runs.reduce(np.minimum, ids)[runs.number] < ids[runs.at]
     rows = [(g, bucket, 2, np.packbits(answer[a:b]).tobytes()) for g, a, b in zip(groups, offsets[:-1], offsets[1:], strict=True) if answer[a:b].any()]
     return ex.blob_table(rows, ex.REPLY_SCHEMA)
 
