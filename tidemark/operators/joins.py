@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import null_if_blank
+
 
 def assert_unique(df: DataFrame, keys: list[str]) -> None:
     """Raise if a key occurs twice; nulls count as a key."""
@@ -40,7 +42,7 @@ def scope_expand(events: DataFrame, places: DataFrame) -> DataFrame:
 
 def distinct_text(column: str, sep: str = " | ") -> Column:
     """Distinct non-blank values in order, joined; null if there are none."""
-    value = F.when(F.trim(F.col(column)) != "", F.col(column))
+    value = null_if_blank(F.col(column))
     return F.nullif(F.array_join(F.array_sort(F.collect_set(value)), sep), F.lit(""))
 
 
