@@ -168,18 +168,6 @@ def spread(starts_flag: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[: len(starts_flag)] > 0
 
 
-def join_words(words: Words, doc: int, keep: np.ndarray | None = None) -> bytes:
-    """Words of one document, joined by one space."""
-    lo, hi = words.first[doc], words.first[doc + 1]
-    raw = words.data
-    if keep is None or keep[lo:hi].all():
-        chosen = range(lo, hi)
-    else:
-        chosen = (lo + np.flatnonzero(keep[lo:hi])).tolist()
-    s, e = words.start, words.end
-    return b" ".join([raw[s[i] : e[i]].tobytes() for i in chosen])
-
-
 def fast_join(words: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
     """All documents' words joined by one space: one buffer, and its offsets."""
     length = words.end - words.start
