@@ -23,7 +23,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.
+
+    Null and empty texts are judged by their site and style alone; rows that repeat are
+    judged alike; with no usable labels everything stays; an empty table gives none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _documents(site_quality.keep_good(_documents(docs), labels))
 
@@ -53,19 +57,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none and stay; rows that repeat are judged alike; with no
+    benchmark rows everything stays; an empty table gives none.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _documents(decontamination.mark(_documents(docs), benchmark).where("n_hit = 0"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars follows."""
+    """Documents with personal data replaced; n_chars follows.
+
+    Null texts stay null, with a null n_chars, and empty ones empty; rows that repeat are
+    redacted alike; an empty table gives none.
+    """
     out = pii.redact(_documents(docs))
     return _documents(out.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    A null or empty text is one piece that holds the end id alone; rows that repeat are
+    packed each for itself; an empty table gives none.
+    """
     return packing.pack(docs)
 
 

@@ -27,6 +27,13 @@ def test_pipeline(spark):
         after = out.collect()
         if name != "packing":
             assert out.columns == corpus_pipeline.COLUMNS
+        if name == "quality_classifier":
+            labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+            kept = {r["doc_id"] for r in after}
+            good, bad = ([d for d, _ in before if d in labels and (labels[d] == (1, 0)) == want] for want in (True, False))
+            assert set(map(tuple, out.collect())) <= set(map(tuple, spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()))
+            assert sum(d in kept for d in good) >= 0.97 * len(good)
+            assert sum(d in kept for d in bad) <= 0.5 * len(bad)  # of some fifty labels; test_site_quality has more
         if name == "ngram_jaccard_join":
             assert {r["doc_id"] for r in after} == {c for _, _, c in brute.components(before, 5, 80)}
         if name == "benchmark_decontamination":
@@ -65,3 +72,18 @@ def test_pipeline_of_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = exchange.materialise(stage(spark, out, SMALL), "test-empty")
         assert out.count() == 0, name
+
+
+def test_pipeline_of_hard_rows(spark):
+    """Nulls in any column, empty and long texts and repeated rows go through every stage."""
+    import corpus_pipeline
+    from tests.llm import brute
+    from tidemark.llm import exchange
+
+    rows = [r[:5] for r in brute.hard_rows()] + [(None, None, None, None, None), (77, "x" * 200_000, None, "s", 1)]
+    out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        out = exchange.materialise(stage(spark, out, SMALL), "test-hard")
+        counts.append(out.count())
+    assert counts[0] > counts[1] > 0 and counts[2] <= counts[1] and counts[3] == counts[2] and counts[4] >= counts[3]
