@@ -393,7 +393,10 @@ def test_consistency_factor_and_chi_square():
         assert robust_outliers.consistency(share) * inner.var(axis=0).mean() == pytest.approx(1, rel=0.02)
 
 
-def test_robust_outliers_equal_a_plain_version(spark, hard):
+@pytest.mark.parametrize("floor", [20_000, 5])
+def test_robust_outliers_equal_a_plain_version(spark, hard, monkeypatch, floor):
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    monkeypatch.setattr(skew, "HEAVY", 6)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     hard = hard.select("doc_id", "text", "lang", "source")
     df = docs.select("doc_id", "text", "lang", "source").unionByName(hard.where("doc_id is not null").withColumn("doc_id", hard["doc_id"] + 100_000)).distinct()
@@ -559,10 +562,14 @@ def test_site_quality(spark):
     assert kept.get((0, 0), 0) <= 0.1 * total[0, 0]
 
 
-def test_site_quality_equals_a_plain_version(spark, hard, docs, monkeypatch):
+@pytest.mark.parametrize("floor", [20_000, 5])
+def test_site_quality_equals_a_plain_version(spark, hard, docs, monkeypatch, floor):
     """Hierarchical rates, strengths and posteriors by plain Python, from the fitted weights."""
     import pyarrow as pa
 
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    monkeypatch.setattr(skew, "HEAVY", 6)
+
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     labels = labels.unionByName(labels.limit(20).withColumn("quality", labels["quality"] * 0))  # repeated and conflicting
     more = spark.createDataFrame([(7000 + i, f"plain words {i} here", None if i % 2 else "", "") for i in range(9)], "doc_id long, text string, source string, lang string")

@@ -52,12 +52,13 @@ def statistics(docs: DataFrame, *columns: str) -> DataFrame:
     rows = docs.select("doc_id", *columns, text.alias("t"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("lines", lines).withColumn("n", F.size("w"))
-    # 3-word windows as part of a hash with the place in the lower bits: plain numbers, which sort fast; equal neighbours may repeat
-    windows = F.expr(f"sort_array(transform(slice(w, 1, greatest(n - 2, 0)), (x, i) -> (xxhash64(x, w[i + 1], w[i + 2]) & {~_PLACE}L) | i))")
-    rows = rows.withColumn("p", windows)
+    rows = rows.withColumn("h", F.expr("transform(slice(w, 1, greatest(n - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))"))
+    # where windows repeat, part of their hash with the place in the lower bits: plain numbers, which sort fast; equal neighbours may repeat
+    places = f"sort_array(transform(h, (x, i) -> (x & {~_PLACE}L) | i))"
+    rows = rows.withColumn("p", F.expr(f"IF(size(array_distinct(h)) < size(h), {places}, CAST(array() AS array<bigint>))"))
     rows = rows.withColumn("p", F.expr("filter(p, (x, k) -> (k > 0 AND shiftright(p[k - 1], 30) = shiftright(x, 30)) OR (k + 1 < size(p) AND shiftright(p[k + 1], 30) = shiftright(x, 30)))"))
     # whole hashes decide, of those few
-    rows = rows.withColumn("s", F.expr(f"sort_array(transform(transform(p, x -> CAST(x & {_PLACE}L AS INT)), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))"))
+    rows = rows.withColumn("s", F.expr(f"sort_array(transform(transform(p, x -> CAST(x & {_PLACE}L AS INT)), i -> struct(h[i] AS h, i AS i)))"))
     rows = rows.withColumn("r", F.expr("array_sort(filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)).i)"))
     # words covered by windows of three: each new place adds three, less what the one before covers
     covered = F.expr("aggregate(r, named_struct('end', CAST(-1 AS INT), 'sum', 0L), (a, i) -> named_struct('end', i + 2, 'sum', a.sum + (i + 2 - greatest(a.end, i - 1))), a -> a.sum)")
