@@ -121,34 +121,35 @@ _PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 _ESTIMATE = [*(f"m{i}" for i in range(D)), *(f"l{i}_{j}" for i, j in _PAIRS)]
 
 
-def _distance(at=F.col) -> Column:
-    """Squared distance from x*, location m* and factor l*_*, by forward substitution."""
-    solved: list[Column] = []
-    total = F.lit(0.0)
+def _number(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
+def _distance(whole: Row | None = None) -> Column:
+    """Squared distance from x*, location m* and factor l*_* (columns, or numbers of a row), by forward substitution."""
+    at = (lambda c: c) if whole is None else lambda c: _number(whole[c])
+    solved: list[str] = []
     for i in range(D):
-        z = F.col(f"x{i}") - at(f"m{i}")
-        for j in range(i):
-            z = z - at(f"l{i}_{j}") * solved[j]
-        solved.append(z / at(f"l{i}_{i}"))
-        total = total + solved[i] * solved[i]
-    return total
+        z = f"x{i} - {at(f'm{i}')}" + "".join(f" - {at(f'l{i}_{j}')} * {solved[j]}" for j in range(i))
+        solved.append(f"(({z}) / {at(f'l{i}_{i}')})")
+    return F.expr(" + ".join(f"{z} * {z}" for z in solved))
 
 
 def _factor(groups: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l*_* of c*_*, one column after the other (a row per group)."""
+    made = []
     for i, j in _PAIRS:
-        value = F.col(f"c{i}_{j}")
-        for k in range(j):
-            value = value - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        groups = groups.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}_{j}"))
-    return groups
+        value = f"c{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        made.append((f"sqrt(greatest({value}, 1e-9D))" if i == j else f"({value}) / l{j}_{j}") + f" AS l{i}_{j}")
+    return groups.selectExpr("*", *made)
 
 
-def _shrunk(groups: DataFrame, n: str, whole: Row | None, prior: float) -> DataFrame:
-    """m* and c*_* of every group as if `prior` more documents had those of all."""
+def _shrunk(groups: DataFrame, keys: list[str], whole: Row | None, prior: float) -> DataFrame:
+    """m* and c*_* of every group of n as if `prior` more documents had those of all, and their factor."""
+    names = [*(f"m{i}" for i in range(D)), *(f"c{i}_{j}" for i, j in _PAIRS)]
     if whole is not None:
-        weight = F.col(n) / (F.col(n) + F.lit(prior))
-        groups = groups.withColumns({c: weight * F.col(c) + (1 - weight) * F.lit(float(whole[c])) for c in (*(f"m{i}" for i in range(D)), *(f"c{i}_{j}" for i, j in _PAIRS))})
+        weight = f"(n / (n + {_number(prior)}))"
+        groups = groups.selectExpr(*keys, *(f"{weight} * {c} + (1 - {weight}) * {_number(whole[c])} AS {c}" for c in names))
     return _factor(groups)
 
 
@@ -167,27 +168,28 @@ def _start(cells: DataFrame, keys: list[str], whole: Row | None, prior: float) -
     spread = _middle(apart, [*keys, "i"]).withColumnRenamed("middle", "spread")
     sizes = cells.groupBy(*keys, "i").agg(F.sum("n").alias("n"))
     each = middle.join(spread, [*keys, "i"]).join(sizes, [*keys, "i"])
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c))) / 100
+    pick = lambda c, i: F.expr(f"max(CASE WHEN i = {i} THEN {c} END) / 100")
     groups = each.groupBy(*keys).agg(F.max("n").alias("n"), *(pick("middle", i).alias(f"m{i}") for i in range(D)), *(pick("spread", i).alias(f"d{i}") for i in range(D)))
-    groups = groups.withColumns({f"c{i}_{j}": F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in _PAIRS})
-    return _shrunk(groups, "n", whole, prior)
+    groups = groups.selectExpr(*keys, "n", *(f"m{i}" for i in range(D)), *(f"pow(1.4826D * d{i}, 2) + {_number(FLOORS[i] ** 2)} AS c{i}_{j}" if i == j else f"0.0D AS c{i}_{j}" for i, j in _PAIRS))
+    return _shrunk(groups, keys, whole, prior)
 
 
 def _step(rows: DataFrame, keys: list[str], share: float, within: float | None, whole: Row | None, prior: float) -> DataFrame:
     """New estimates from the closest `share` of each group of rows (keys, x*, dist), or from those `within` a distance."""
-    sums = {f"m{i}": F.sum(f"x{i}") for i in range(D)} | {f"c{i}_{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in _PAIRS}
-    place = lambda v: F.floor(16 * F.log2(F.greatest(v, F.lit(1e-9)))).cast("int")
-    cells = rows.groupBy(*keys, place(F.col("dist")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items()))
+    sums = [f"m{i}" for i in range(D)] + [f"c{i}_{j}" for i, j in _PAIRS]
+    of = [f"x{i}" for i in range(D)] + [f"x{i} * x{j}" for i, j in _PAIRS]
+    place = lambda v: F.expr(f"CAST(floor(16 * log2(greatest({v}, 1e-9D))) AS INT)")
+    cells = rows.groupBy(*keys, place("dist").alias("bin")).agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"sum({x}) AS {c}") for c, x in zip(sums, of, strict=True)))
     by = Window.partitionBy(*keys)  # of some hundred bins
     before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.row_number().over(by.orderBy("bin")) == 1
     ranked = cells.withColumns({"before": before, "all": F.sum("n").over(by), "first": first})
-    inner = F.col("before") < share * F.col("all") if within is None else F.col("first") | (F.col("bin") <= place(F.lit(within)))
+    inner = F.col("before") < share * F.col("all") if within is None else F.col("first") | (F.col("bin") <= place(_number(within)))
     groups = ranked.where(inner).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
-    scale = consistency(share if within is None else chi_square(within, D))
-    groups = groups.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in range(D)})
-    groups = groups.withColumns({f"c{i}_{j}": scale * (F.col(f"c{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS})
-    return _shrunk(groups, "n", whole, prior)
+    scale = _number(consistency(share if within is None else chi_square(within, D)))
+    moments = [f"{scale} * (c{i}_{j} / n - m{i} * m{j} / n / n) + {_number(FLOORS[i] ** 2 if i == j else 0.0)} AS c{i}_{j}" for i, j in _PAIRS]
+    groups = groups.selectExpr(*keys, "n", *moments, *(f"m{i} / n AS m{i}" for i in range(D)))
+    return _shrunk(groups, keys, whole, prior)
 
 
 def _plan(share: float, steps: int) -> list[tuple[float, float | None]]:
@@ -202,8 +204,7 @@ def estimate(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int
     if whole is None or whole["m0"] is None:
         return _start(cells, keys, None, prior).select(*keys, *_ESTIMATE), None
     for how in _plan(share, steps):
-        at = lambda c: F.lit(float(whole[c]))  # noqa: E731, B023
-        whole = _step(rows.withColumn("dist", _distance(at)), [], *how, None, prior).first()
+        whole = _step(rows.withColumn("dist", _distance(whole)), [], *how, None, prior).first()
     groups = materialise(_start(cells, keys, whole, prior).select(*keys, *_ESTIMATE), "mcd")
     for how in _plan(share, steps):
         near = lookup(rows, groups, keys, "inner", heavy).withColumn("dist", _distance())
