@@ -74,10 +74,18 @@ SQL: dict[str, str] = {
         ), phrase AS (
             SELECT DISTINCT item_id, w[i : i + 9] AS p
             FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
+        ), place AS (
+            SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS j FROM d
+        ), anchor AS (
+            SELECT item_id, p, arg_min(k, coalesce(c, 0)) AS r
+            FROM (SELECT item_id, p, unnest(p) AS x, unnest(generate_series(1, len(p))) AS k FROM phrase)
+            LEFT JOIN (SELECT x, count(*) AS c FROM place GROUP BY x) USING (x) GROUP BY item_id, p
+        ), attempt AS (
+            SELECT doc_id, item_id, p, j - r + 1 + o AS i
+            FROM place JOIN anchor ON x = p[r] JOIN (SELECT unnest(generate_series(-2, 2)) AS o) ON o = 0 OR r > 1
         ), near AS (
-            SELECT DISTINCT doc_id, item_id
-            FROM (SELECT doc_id, w, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM d) JOIN phrase ON x = p[1]
-            WHERE i + len(p) - 1 <= len(w)
+            SELECT DISTINCT doc_id, item_id FROM attempt JOIN d USING (doc_id)
+            WHERE i >= 1 AND i + len(p) - 1 <= len(w) AND w[i] = p[1]
               AND len(list_filter(generate_series(2, len(p)), lambda k: NOT list_contains(w[greatest(i + k - 3, 1) : i + k + 1], p[k]))) = 0
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
