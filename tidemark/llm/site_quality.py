@@ -11,9 +11,8 @@ explains, and is estimated by moments for each head and level.  Evidence and the
 the shrunk path rate add up to the posterior that decides.
 
 In `documents`, the host is ``source`` and the path level is ``lang``.  Only the model is
-fitted on a bounded sample: the `sample` labelled ids with the smallest hashes.  Features
-are computed once for each row and stored with it; rows of a site with a large share of
-all meet its rates in a bounded broadcast, others join by site.
+fitted on a bounded sample: the `sample` labelled ids with the smallest hashes.  Rows of a
+site with a large share of all meet its rates in a bounded broadcast, others join by site.
 
 Defined results: null and empty texts have the evidence of their style bins alone;
 null hosts and paths form a site of their own, apart from empty names; labels that repeat
@@ -257,13 +256,12 @@ def site_rates(rows: DataFrame, prior: tuple[float, float]) -> DataFrame:
     return materialise(rates, "sites")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int, columns: list[str]) -> DataFrame:
-    """`columns` of docs with evidence, site rates, the chance of each head and the decision."""
-    weights = fit(docs, labels, sample)
-    keyed = docs.select("*", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip((host, path), _KEYS, strict=True)))
-    rows = materialise(evidence(keyed, weights, [*columns, *_KEYS]), "evidence")
-    sites = site_rates(rows.select(*_KEYS, *(f"{h}_evidence" for h in HEADS)), tuple(weights[CELLS + 1]))
-    out = lookup(rows, sites, _KEYS, "inner", heavy_keys(rows.select(*_KEYS), _KEYS))
+def _keyed(docs: DataFrame, host: str, path: str) -> DataFrame:
+    return docs.select("*", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip((host, path), _KEYS, strict=True)))
+
+
+def _posterior(out: DataFrame) -> DataFrame:
+    """Adds the chance of each head and the decision to rows with evidence and site rates."""
     for h in HEADS:
         rate = F.least(F.greatest(F.col(f"path_{h}_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
         out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"{h}_evidence") + F.log(rate / (1 - rate))))))
@@ -272,16 +270,28 @@ def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: in
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, host, path, evidence, site rates, p_low, p_toxic, p_good, kept) of every row of docs."""
-    out = _judged(docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")), labels, "host", "path", sample, ["doc_id"])
+    weights = fit(docs, labels, sample)
+    rows = materialise(evidence(_keyed(docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")), "host", "path"), weights, ["doc_id", *_KEYS]), "evidence")
+    sites = site_rates(rows, tuple(weights[CELLS + 1]))
+    out = _posterior(lookup(rows, sites, _KEYS, "inner", heavy_keys(rows, _KEYS)))
     named = [F.when(F.col(k) != "", F.substr(k, F.lit(2))).alias(c) for c, k in zip(("host", "path"), _KEYS, strict=True)]
     return out.select("doc_id", *named, *(c for c in out.columns if c not in ("doc_id", *_KEYS)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """Rows of `docs` that the classifier keeps, with its columns."""
+    """Rows of `docs` that the classifier keeps, with its columns.
+
+    Evidence is computed a second time for the decision, as storing whole texts with it
+    would hold a copy of the input on disk.  `docs` is a stored table.
+    """
     clash = {*_KEYS, *(f"{h}_evidence" for h in HEADS), "p_good", "kept", *(f"p_{h}" for h in HEADS), *(f"{a}_{h}_rate" for h in HEADS for a in ("host", "path"))} & set(docs.columns)
     if clash:  # names of ours are put aside
         aside = {c: f"{c}_{uuid.uuid4().hex}" for c in clash}
         host, path = aside.get(host, host), aside.get(path, path)
         return keep_good(docs.withColumnsRenamed(aside), labels, host, path, sample).withColumnsRenamed({v: k for k, v in aside.items()})
-    return _judged(docs, labels, host, path, sample, docs.columns).where("kept").select(*docs.columns)
+    weights, keyed = fit(docs, labels, sample), _keyed(docs, host, path)
+    narrow = materialise(evidence(keyed, weights, _KEYS), "evidence")
+    sites = site_rates(narrow, tuple(weights[CELLS + 1])).select(*_KEYS, *(f"path_{h}_rate" for h in HEADS))
+    rated = lookup(keyed, sites, _KEYS, "inner", heavy_keys(narrow, _KEYS))
+    rows = evidence(rated, weights, [*docs.columns, *(f"path_{h}_rate" for h in HEADS)])
+    return _posterior(rows).where("kept").select(*docs.columns)
