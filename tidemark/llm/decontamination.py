@@ -9,8 +9,8 @@ near if its first term is at the start and each other one within `slack` words o
 place, in the same document; what is near does not depend on how texts fall into shards.
 
 Test items go through in blocks of bounded size.  `find` stores the index once and looks
-each block up in a job of its own, which writes its matches only; they are put together
-by document in the end.  `mark` keeps rows in place: it tokenises and searches its own
+each block up in a job of its own (the first one as the index is made), which writes its
+matches only; they are put together by document in the end.  `mark` keeps rows in place: it tokenises and searches its own
 texts for each block in turn, and stores them between two blocks.  So a task holds one
 block at a time, and the corpus is never shuffled.
 
@@ -153,50 +153,56 @@ class _Bounds:
         self.first = first
 
 
-_INDEX = "shard long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
-_INDEX_SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("terms", "counts", "positions"))])
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = [("pos", pa.int32()), ("ranges", _RANGES), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]
+_FOUND_DDL = "pos: int, ranges: array<struct<start: long, end: long>>, items: array<string>, near: array<string>"
+_INDEX = f"shard long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary, found array<struct<{_FOUND_DDL}>>"
+_INDEX_SCHEMA = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("terms", "counts", "positions")), ("found", pa.list_(pa.struct(_FOUND)))])
+_MATCH = f"shard long, found array<struct<{_FOUND_DDL}>>"
+
+
+def _found(shard: dict, tests: Tests, slack: int) -> list[dict]:
+    """Of each document with a match: its place in the shard, hit ranges of words, and ids of exact and near items."""
+    first = shard["first"]
+    window, start, exact = _matches(shard, tests, slack)
+    if not len(window):
+        return []
+    covered = _covered(first, tests, window[exact], start[exact])
+    doc = np.searchsorted(first, start, side="right") - 1
+    sets: dict[int, tuple[set, set]] = {}
+    for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist(), strict=True)):
+        names = tests.item[tests.item_first[w] : tests.item_first[w + 1]]
+        own = sets.setdefault(d, (set(), set()))
+        own[1].update(names)
+        if e:
+            own[0].update(names)
+    out = []
+    for d, (own, near) in sorted(sets.items()):
+        edge = np.diff(np.concatenate([[0], covered[first[d] : first[d + 1]].view(np.int8), [0]]))
+        ranges = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        out.append({"pos": d, "ranges": ranges, "items": sorted(own), "near": sorted(near)})
+    return out
 
 
-def _shards(batches):
+def _shards(batches, tests, slack: int):
+    """Index rows, one at a time, with what the first block of test items finds in them."""
     shard_id = TaskContext.get().partitionId() << 33
     for table in (part for batch in batches for part in slices(batch)):
         shard = _postings(table)
-        row = [shard_id, table.column("doc_id").to_pylist(), np.diff(shard["first"]), shard["term"].astype(np.uint64).tobytes(), shard["count"].astype(np.uint32).tobytes(), shard["position"].tobytes()]
+        row = [shard_id, table.column("doc_id").to_pylist(), np.diff(shard["first"]), shard["term"].astype(np.uint64).tobytes(), shard["count"].astype(np.uint32).tobytes(), shard["position"].tobytes(), _found(shard, tests.value, slack)]
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, _INDEX_SCHEMA, strict=True)], schema=_INDEX_SCHEMA)
         shard_id += 1
 
 
-_MATCH = "shard long, pos int, ranges array<struct<start: long, end: long>>, items array<string>, near array<string>"
-_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_MATCH_SCHEMA = pa.schema([("shard", pa.int64()), ("pos", pa.int32()), ("ranges", _RANGES), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
-
-
 def _search(batches, tests, slack: int):
-    """Of each document with a match in this block of test items: hit ranges of words, and ids of exact and near items."""
-    tests = tests.value
+    """What a further block of test items finds in index rows."""
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
             first = np.concatenate([[0], np.cumsum(np.array(get("n_words"), dtype=np.int64))]).astype(np.int64)
             shard = {"first": first, "term": np.frombuffer(get("terms"), np.uint64), "count": np.frombuffer(get("counts"), np.uint32).astype(np.int64), "position": np.frombuffer(get("positions"), np.uint32)}
-            window, start, exact = _matches(shard, tests, slack)
-            if not len(window):
-                continue
-            covered = _covered(first, tests, window[exact], start[exact])
-            doc = np.searchsorted(first, start, side="right") - 1
-            sets: dict[int, tuple[set, set]] = {}
-            for d, w, e in set(zip(doc.tolist(), window.tolist(), exact.tolist(), strict=True)):
-                names = tests.item[tests.item_first[w] : tests.item_first[w + 1]]
-                own = sets.setdefault(d, (set(), set()))
-                own[1].update(names)
-                if e:
-                    own[0].update(names)
-            out = []
-            for d, (own, near) in sorted(sets.items()):
-                edge = np.diff(np.concatenate([[0], covered[first[d] : first[d + 1]].view(np.int8), [0]]))
-                ranges = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-                out.append((get("shard"), d, ranges, sorted(own), sorted(near)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _MATCH_SCHEMA, strict=True)], schema=_MATCH_SCHEMA)
+            if found := _found(shard, tests.value, slack):
+                yield pa.RecordBatch.from_arrays([pa.array([get("shard")], pa.int64()), pa.array([found], _INDEX_SCHEMA.field("found").type)], names=["shard", "found"])
         release()
 
 
@@ -213,9 +219,9 @@ def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Tests]]:
     return blocks, each()
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Index shards of all whole texts and all their terms, stored in the shared folder."""
-    return materialise(docs.select("doc_id", "text").mapInArrow(_shards, _INDEX), "index")
+def build_index(docs: DataFrame, tests, slack: int) -> DataFrame:
+    """Index shards of all whole texts and all their terms, stored in the shared folder; the first block of items is looked up on the way."""
+    return materialise(docs.select("doc_id", "text").mapInArrow(functools.partial(_shards, tests=tests, slack=slack), _INDEX), "index")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = 2) -> DataFrame:
@@ -224,13 +230,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int
     ``items`` have an exact window, ``near_items`` one within the slack (exact ones
     included); ``ranges`` are the hit words of a document as half-open ranges of places.
     """
-    index = build_index(docs)
-    found = None
+    index, parts = None, []
     for tests in _blocks(benchmark, window)[1]:
         shared = docs.sparkSession.sparkContext.broadcast(tests)  # of one bounded block
-        part = materialise(index.select(*_INDEX_SCHEMA.names).mapInArrow(functools.partial(_search, tests=shared, slack=slack), _MATCH), "matches")
+        if index is None:
+            index = build_index(docs, shared, slack)
+            parts.append(index.select("shard", "found"))
+        else:
+            parts.append(materialise(index.drop("found").mapInArrow(functools.partial(_search, tests=shared, slack=slack), _MATCH), "matches"))
         shared.unpersist()
-        found = part if found is None else found.unionByName(part)
+    found = functools.reduce(DataFrame.unionByName, parts).select("shard", F.inline("found"))
     every = found.groupBy("shard", "pos").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a row per document and block
     # ranges of several blocks may overlap: those that begin within what is covered only lengthen it
     joined = F.expr("""aggregate(array_sort(ranges), CAST(array() AS array<struct<start: bigint, end: bigint>>), (a, r) -> CASE
