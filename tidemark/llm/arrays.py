@@ -139,7 +139,11 @@ def words_of(column, table: np.ndarray = SPACE, lower: bool = False) -> Words:
     data, offsets = text_buffer(column)
     if lower:
         data = LOWER[data]
-    inside = ~table[data]
+    return words_inside(data, offsets, ~table[data])
+
+
+def words_inside(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """Words as the maximal runs of bytes inside, within each document."""
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]

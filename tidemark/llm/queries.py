@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, site_quality, substring_dedup, training_order
+from . import bottom_sketches, context_tree, decontamination, exchange, language_id, ngram_join, packing, pii, robust_outliers, site_quality, spelling_variants, substring_dedup, target_resampling, training_order
 from .sql import SQL
 
 
@@ -55,6 +55,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5)
+
+
+def op12_bottom_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_sketches.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_training_order, op2_substring_dedup, op3_packing, op4_site_quality, op5_language_id, op6_robust_outliers, op7_ngram_join, op8_context_tree, op9_decontamination, op10_pii, pipeline]
+    found = [op1_training_order, op2_substring_dedup, op3_packing, op4_site_quality, op5_language_id, op6_robust_outliers, op7_ngram_join, op8_context_tree, op9_decontamination, op10_pii, op11_target_resampling, op12_bottom_sketches, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in found}
 
 
