@@ -142,7 +142,7 @@ def test_bottom_sketches_of_short_texts(spark):
 
 def test_bottom_sketches_of_large_groups(spark, monkeypatch):
     """Near copies by the hundred, pairs that only others connect, and texts that share most words without a link."""
-    monkeypatch.setattr(bottom_sketches, "BLOCK", 8)
+    monkeypatch.setattr(bottom_sketches, "TILE", 16)
     monkeypatch.setattr(bottom_sketches, "LOAD", 2000)
     monkeypatch.setattr(skew, "FLOOR", 50)
     draw = random.Random(7)

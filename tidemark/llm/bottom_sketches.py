@@ -7,10 +7,11 @@ values of their union, and so on some run of them (`run_lengths` and `longest_ru
 the lengths for which a link shares no list with a chance below `MISS`; sets that fit their
 sketch always share one).  Every list first generates pairs with its least document only.
 Pairs whose union sketch estimates too small an overlap are dropped, the others are compared
-on their full sets, and what links becomes one component.  Lists that then still hold
-several components generate the pairs between those, in blocks, which are estimated and
-verified in turn: the best pair of two components first, the others only where it fails.
-So copies never make a row for each pair of them, and no candidate is capped.
+on their full sets, and what links becomes one component.  Documents of lists that then
+still hold several components meet in tiles of bounded size, where the same estimate and
+the same comparison find the links between components; tiles meet if they share a list and
+return spanning links.  So no step makes a row for each pair of copies, and no candidate is
+capped.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of
 fewer words than `n` has its whole word sequence as one shingle; each row is judged by its
@@ -34,14 +35,15 @@ from . import bitmap
 from . import exchange as ex
 from .arrays import mix, slices
 from .components import components
-from .ngram_join import _sets, _signatures
+from .ngram_join import _sets, _signatures, _spanning, linked
 from .skew import heavy_keys, lookup
 
 SKETCH = 64
 RUN = 3
 MISS = 1e-9  # accepted chance of overlooking one link
 LOAD = 2_000_000  # set values that members of one comparison task have
-BLOCK = 128  # documents of a block of an inverted list
+TILE = 256  # documents of a tile
+COLUMNS = 2048  # values of a column block
 _PAD = np.array([-1, -2], dtype=np.int64).view(np.uint64)  # fill short sketches of either side
 
 
@@ -97,7 +99,7 @@ def _padded(raws: list[bytes], k: int, pad: int) -> np.ndarray:
 
 
 def _list_keys(batches, k: int, percent: int, most: int):
-    """(list, node, place, n): runs of consecutive retained values as inverted-list keys."""
+    """(list, node, n): runs of consecutive retained values as inverted-list keys."""
     for batch in batches:
         node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
         values = _padded(batch.column("sketch").to_pylist(), k, 0)
@@ -110,8 +112,8 @@ def _list_keys(batches, k: int, percent: int, most: int):
                 run = mix(run ^ values[:, j : k - r + 1 + j])
             uses = np.array([r in by_size[int(s)] for s in held], dtype=bool)
             row, place = np.nonzero(uses[:, None] & (np.arange(run.shape[1])[None, :] <= (held - r)[:, None]))
-            parts.append((run[row, place].view(np.int64), node[row], place.astype(np.int32), n[row]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "node", "place", "n"])
+            parts.append((run[row, place].view(np.int64), node[row], n[row]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "node", "n"])
 
 
 def overlaps(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def _estimate(batches, k: int, percent: int, least: int):
         sure = (a_n <= k) & (b_n <= k)
         links = np.where(sure, 100 * common >= percent * (a_n + b_n - common), (near >= least) & (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)))
         at = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(near[at]), pa.array(sure[at])], names=["a", "b", "near", "sure"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(sure[at])], names=["a", "b", "sure"])
 
 
 def _full_sets(batches, n: int, flags: Broadcast):
@@ -173,7 +175,7 @@ def _pair_sketches(pairs: DataFrame, classes: DataFrame, k: int, percent: int, l
     a, b = (classes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch")) for s in "ab")
     left = ex.materialise(pairs.join(a, "a"), "sketched")
     whole = lookup(left, b, ["b"], "inner", heavy_keys(left, ["b"]))
-    out = ex.materialise(whole.mapInArrow(functools.partial(_estimate, k=k, percent=percent, least=least), "a long, b long, near long, sure boolean"), name)
+    out = ex.materialise(whole.mapInArrow(functools.partial(_estimate, k=k, percent=percent, least=least), "a long, b long, sure boolean"), name)
     ex.discard(left)
     return out
 
@@ -200,29 +202,146 @@ def _labelled(rows: DataFrame, edges: DataFrame, node: str, label: str) -> DataF
     return lookup(rows, found, [node], "left", heavy_keys(rows, [node])).withColumn(label, F.coalesce(label, node))
 
 
-def _cross_pairs(lists: DataFrame, percent: int, slack: int) -> DataFrame:
-    """Pairs of different components within a list, without those of its least document.
+_SEEN_SCHEMA = pa.schema([("t1", pa.string()), ("t2", pa.string()), ("node", pa.int64()), ("side", pa.int32())])
 
-    `lists` has (list, node, place, n, component, least).  A list of many documents is cut
-    into blocks, each pair of which is a join key of its own.
-    """
-    rows = lists.where("node <> least")
-    sizes = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).where("lo < hi")
-    rows = ex.materialise(lookup(rows, sizes.select("list", "blocks"), ["list"], "inner", heavy_keys(rows, ["list"])).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "several")
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # the first block of a pair keeps its documents on the left, the second on the right
-    one_ = met.where("own <= other").select("list", F.col("own").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"{c}_1") for c in ("node", "place", "n", "component")))
-    two_ = met.where("other <= own").select("list", F.col("other").alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}_2") for c in ("node", "place", "n", "component")))
-    ordered = (F.col("i") < F.col("j")) | (F.col("node_1") < F.col("node_2"))
-    near = (F.lit(100) * F.least("n_1", "n_2") >= F.lit(percent) * F.greatest("n_1", "n_2")) & (F.abs(F.col("place_1") - F.col("place_2")) <= slack)
-    pairs = one_.join(two_, ["list", "i", "j"]).where(ordered & near & (F.col("component_1") != F.col("component_2")))
-    return pairs.select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
+
+def _sides(table: pa.Table):
+    """Of every family of a bin, or of a pair of tiles: its rows, and those that meet as left and right."""
+    family, side, node = (table.column(c).to_numpy() for c in ("family", "side", "node"))
+    order = np.lexsort((node, family))
+    for part in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        left, right = part[side[part] != 2], part[side[part] != 1]
+        if len(left) and len(right):
+            yield part, left, right
+
+
+def _likely(table: pa.Table, percent: int, least: int) -> pa.Table:
+    """Documents of two tiles that have a likely partner of another component, by how many marks of the sketches agree."""
+    n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
+    marks = [np.frombuffer(x, dtype=np.uint32) for x in table.column("marks").to_pylist()]
+    chosen: set[int] = set()
+    for _, left, right in _sides(table):
+        i, j = np.nonzero(_allowed(shared([marks[q] for q in left], [marks[q] for q in right]), n, component, left, right, percent, least))
+        chosen.update(left[np.unique(i)].tolist(), right[np.unique(j)].tolist())
+    return table.select(["t1", "t2", "node", "side"]).take(pa.array(sorted(chosen), pa.int64())).cast(_SEEN_SCHEMA)
+
+
+def _allowed(common: np.ndarray, n: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Pairs of different components with sizes near enough and enough common values in their sketches."""
+    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    return (component[left][:, None] != component[right][None, :]) & (100 * small >= percent * large) & (common >= np.minimum(least, -(-percent * large // 100)))
 
 
-def _unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs of different components, with the components."""
-    rows = _labelled(_labelled(pairs, edges, "a", "ca"), edges, "b", "cb")
-    return rows.where("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
+def _meet(table: pa.Table, k: int, percent: int, least: int) -> pa.Table:
+    """Spanning links between components, within the families of a bin or between the two tiles of a pair.
+
+    Overlaps of sketches come from their values' incidence, the union sketch decides which
+    pairs go on, and the documents of those are compared on their full sets.
+    """
+    n, component, node = (table.column(c).to_numpy() for c in ("n", "component", "node"))
+    raws, sets = table.column("sketch").to_pylist(), table.column("grams").to_pylist()
+    values = lambda rows: [np.frombuffer(raws[q], dtype=np.int64) for q in rows]
+    full = lambda rows: [np.frombuffer(sets[q], dtype=np.int64) for q in rows]
+    edges: list[tuple[int, int]] = []
+    for part, left, right in _sides(table):
+        i, j = np.nonzero(_allowed(shared(values(left), values(right)), n, component, left, right, percent, least))
+        keep = np.ones(len(i), dtype=bool)
+        for lo in range(0, len(i), 4096):
+            x, y = left[i[lo : lo + 4096]], right[j[lo : lo + 4096]]
+            near, both = overlaps(_padded([raws[q] for q in x], k, 0), _padded([raws[q] for q in y], k, 1), k)
+            sure = (n[x] <= k) & (n[y] <= k)
+            keep[lo : lo + 4096] = np.where(sure, 100 * both >= percent * (n[x] + n[y] - both), near >= least)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        own, other = np.unique(i), np.unique(j)
+        ok = linked(full(left[own]), full(right[other]), n[left[own]], n[right[other]], percent)
+        met = ok[np.searchsorted(own, i), np.searchsorted(other, j)]
+        place = {int(x): q for q, x in enumerate(part)}
+        edges += _spanning(node[part], np.array([(place[int(x)], place[int(y)]) for x, y in zip(left[i[met]], right[j[met]], strict=True)]).reshape(-1, 2))
+    return ex.blob_table(edges, _EDGE_SCHEMA)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of left has in common with each of right."""
+    every, row = np.concatenate([*left, *right]), np.repeat(np.arange(len(left) + len(right)), [len(x) for x in [*left, *right]])
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    number = np.cumsum(new) - 1
+    often = np.bincount(number) > 1  # a value of one document adds nothing
+    column = np.where(often[number], (np.cumsum(often) - 1)[number], -1)
+    row, column = row[column >= 0], column[column >= 0]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        block = np.zeros((len(left) + len(right), COLUMNS), dtype=np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _tiles(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, family, component, n, step, tile, pure, single): documents of lists with several components, dealt to tiles.
+
+    Lists that share documents make a family.  A tile has documents of one family and of
+    like size; those of a large component have tiles of their own, which need not be
+    compared among each other.  A small family is whole (`single`).
+    """
+    firsts = lists.groupBy("list").agg(F.min("node").alias("first"))
+    joined = lookup(lists, firsts, ["list"], "inner", heavy_keys(lists, ["list"]))
+    families = components(joined.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).select("node", F.col("component").alias("family"))
+    nodes = ex.materialise(lists.select("node", "component", "n").distinct().join(families, "node"), "members")
+    width = math.log(100 / percent) * (1 + 1e-9)  # documents that link differ by one step at most
+    of_family = nodes.groupBy("family").agg(((F.count(F.lit(1)) <= TILE) & (F.sum("n") <= LOAD)).alias("single"))
+    sized = ex.materialise(lookup(nodes, of_family, ["family"], "inner", heavy_keys(nodes, ["family"])).withColumn("step", F.floor(F.log("n") / F.lit(width)).cast("int")), "members")
+    large = sized.where("not single")
+    own = large.groupBy("family", "component").agg((F.count(F.lit(1)) >= TILE).alias("pure"))
+    large = ex.materialise(lookup(large, own, ["family", "component"], "inner", heavy_keys(large, ["family", "component"])).withColumn("kind", F.when(F.col("pure"), F.col("component")).otherwise(F.lit(-1))), "members")
+    cell = ["family", "kind", "step"]
+    cells = large.groupBy(*cell).agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE), F.sum("n") / F.lit(LOAD))).cast("int").alias("tiles"))
+    placed = lookup(large, cells, cell, "inner", heavy_keys(large, cell))
+    fields = ["node", "family", "component", "n", "step", "single"]
+    tile = F.concat_ws(":", *cell, F.pmod(F.xxhash64("node"), "tiles"))
+    out = placed.select(*fields, tile.alias("tile"), "pure").unionByName(sized.where("single").select(*fields, F.lit(None).cast("string").alias("tile"), F.lit(False).alias("pure")))
+    return ex.materialise(out, "tiles")
+
+
+def _cross_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, least: int) -> DataFrame | None:
+    """Stored links between components that lists hold together; none if no list does.
+
+    `lists` has (list, node, n, component).  Lists of two documents are decided already.
+    Tiles meet if they share a list and their sizes are near, so that no row is made for
+    a pair of documents; full sets follow only where sketches have likely partners.
+    """
+    counted = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2").select("list")
+    several = ex.materialise(lookup(lists, counted, ["list"], "inner", heavy_keys(lists, ["list"])), "several")
+    if several.isEmpty():
+        return None
+    places = _tiles(several, percent)
+    bins = max(1, math.ceil(places.where("single").count() / TILE))
+    spots = ex.materialise(several.select("list", "node").join(places.where("not single").select("node", "tile", "step"), "node").select("list", "tile", "step").distinct(), "spots")
+    one_, two_ = (spots.select("list", F.col("tile").alias(f"t{i}"), F.col("step").alias(f"s{i}")) for i in (1, 2))
+    pure = places.where("pure").select("tile").distinct()
+    pairs = one_.join(two_, "list").where("t1 <= t2 and abs(s1 - s2) <= 1").select("t1", "t2").distinct()
+    pairs = ex.materialise(pairs.join(pure.select(F.col("tile").alias("t1"), F.col("tile").alias("t2")), ["t1", "t2"], "left_anti"), "pairs")
+    same = F.col("t1") == F.col("t2")
+    roles = pairs.select(F.col("t1").alias("tile"), "t1", "t2", F.when(same, 0).otherwise(1).alias("side")).unionByName(pairs.where(~same).select(F.col("t2").alias("tile"), "t1", "t2", F.lit(2).alias("side")))
+    about = ["family", "node", "n", "component"]
+    marks = classes.select("node", "sketch").mapInArrow(_marks, "node long, marks binary")
+    asked = roles.join(places.select("tile", *about), "tile").drop("tile").join(marks, "node")
+    likely = ex.materialise(asked.groupBy("t1", "t2").applyInArrow(ex.one(_likely, percent=percent, least=least), schema="t1 string, t2 string, node long, side int"), "likely")
+    binned = F.pmod(F.xxhash64("family"), F.lit(bins)).cast("string")
+    rows = places.where("single").select(binned.alias("t1"), binned.alias("t2"), "node", F.lit(0).alias("side")).unionByName(likely)
+    shipped = rows.join(places.select(*about), "node").join(classes.select("node", "sketch"), "node").join(sets.select("node", "grams"), "node")
+    return ex.materialise(shipped.groupBy("t1", "t2").applyInArrow(ex.one(_meet, k=k, percent=percent, least=least), schema="a long, b long"), "links")
+
+
+def _marks(batches):
+    """Four bytes of each retained value."""
+    for batch in batches:
+        short = [np.frombuffer(x, dtype=np.uint64).astype(np.uint32).tobytes() for x in batch.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], names=["node", "marks"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -242,7 +361,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int
     rows = ex.materialise(described.select("doc_id", "n_shingles", "sig"), "rows")
     ex.discard(described)
 
-    keys = classes.select("node", "n", "sketch").mapInArrow(functools.partial(_list_keys, k=sketch, percent=percent, most=most), "list long, node long, place int, n long")
+    keys = classes.select("node", "n", "sketch").mapInArrow(functools.partial(_list_keys, k=sketch, percent=percent, most=most), "list long, node long, n long")
     postings = ex.materialise(keys, "postings")
     firsts = postings.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
     lists = ex.materialise(lookup(postings, firsts.select("list", "least"), ["list"], "inner", heavy_keys(postings, ["list"])), "lists")
@@ -255,14 +374,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int
 
     star = lists.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     edges = _verified(_pair_sketches(star, classes, sketch, percent, least, "star"), sets, percent)
-    cross = _pair_sketches(_cross_pairs(_labelled(lists, edges, "node", "component"), percent, sketch - least), classes, sketch, percent, least, "cross")
-    for one_by_one in (True, False):
-        if not cross.isEmpty():
-            cross = ex.materialise(_unlinked(cross, edges), "open")
-            best = F.max_by(F.struct("a", "b", "near", "sure"), F.struct("near", "a", "b")).alias("best")
-            tried = cross.groupBy("ca", "cb").agg(best).select("best.*") if one_by_one else cross
-            edges = ex.materialise(edges.unionByName(_verified(tried, sets, percent)), "edges")
-            cross = cross.drop("ca", "cb")
+    more = _cross_links(_labelled(lists, edges, "node", "component"), classes, sets, sketch, percent, least)
+    if more is not None:
+        edges = edges.unionByName(more)
     for table in (lists, wanted, sets):
         ex.discard(table)
 
