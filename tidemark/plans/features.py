@@ -108,7 +108,7 @@ TYPES = (
     | dict.fromkeys([TARGET, *SALES, *STORE_DAY, *OIL], "double")
     | dict.fromkeys(["is_weekend", "onpromotion", "is_holiday", "holiday_transferred"], "boolean")
 )
-#: Holidays of a disaster, whose fields are not known ahead.
+#: Fixed value: holidays whose note names a disaster, so that their fields are not known ahead.
 DISASTER = r"(?i)terremoto|earthquake|manabi"
 
 
@@ -123,7 +123,7 @@ def narrow(column: str, kind: str) -> Column:
 def agreed(column: str, label: str) -> Column:
     """The one value of a group; rows that disagree, or mix null with a value, are an error."""
     differ = (F.min(column) != F.max(column)) | ((F.count(column) > 0) & (F.count(column) < F.count(F.lit(1))))
-    return F.when(F.coalesce(differ, F.lit(False)), F.raise_error(F.lit(f"conflicting {column} values within a {label}")).cast("double")).otherwise(F.max(column).cast("double"))
+    return F.when(F.coalesce(differ, F.lit(False)), F.raise_error(F.lit(f"{column} is not the same in all rows of one {label}")).cast("double")).otherwise(F.max(column).cast("double"))
 
 
 def bounded_items(rows: DataFrame, most: int | None) -> DataFrame:

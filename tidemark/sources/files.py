@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bounds of a published table's row groups.
+ROW_GROUP_BYTES, ROW_GROUP_ROWS = 128 << 20, 250_000
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares, or in a local one on a single machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -66,18 +70,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def footers(spark: SparkSession, path: str) -> dict:
-    """Rows, columns, row groups and types of a Parquet table, from footers alone."""
-    df = spark.read.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    rows = groups = 0
-    for name in df.inputFiles():
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
-        rows, groups = rows + reader.getRecordCount(), groups + reader.getRowGroups().size()
-        reader.close()
-    return {"rows": rows, "columns": len(df.columns), "row_groups": groups, "types": {f.name: f.dataType.simpleString() for f in df.schema}}
-
-
 def reconciled(df: DataFrame, rows: int) -> DataFrame:
     """`df`, after a count that has to agree with what a footer or an earlier count says."""
     seen = df.count()
@@ -104,13 +96,6 @@ def require_files(spark: SparkSession, path: str, names: list[str]) -> None:
         raise FileNotFoundError(f"{path} lacks {', '.join(sorted(missing))}")
 
 
-def fingerprint(spark: SparkSession, path: str) -> list[tuple]:
-    """(name, bytes, changed, sha256) of every file: equal before and after if nothing touched them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = found.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
-    return [tuple(r) for r in rows]  # a row per file
-
-
 def plain(value):
     """JSON form of driver-side scalars."""
     if isinstance(value, date | datetime):
@@ -133,36 +118,40 @@ def read_json(spark: SparkSession, path: str, require: dict | None = None) -> di
     return found
 
 
-def write_json(spark: SparkSession, document: dict, path: str, overwrite: bool = False) -> dict:
-    """Stable JSON, staged, read back and moved into place; not over another one unasked.
-
-    Evidence is aggregates: a list of more than a hundred entries is taken for raw rows and refused.
-    """
-
-    def check(value) -> None:
-        if isinstance(value, dict):
-            for v in value.values():
-                check(v)
-        elif isinstance(value, list | tuple):
-            if len(value) > 100:
-                raise ValueError("evidence holds aggregates, not rows")
-            for v in value:
-                check(v)
-
-    check(document)
-    if exists(spark, path) and not overwrite:
-        raise FileExistsError(path)
+def _staged_json(spark: SparkSession, document: dict, path: str) -> tuple[str, dict]:
+    """A document written beside its place and read back: where it is staged, and what it holds."""
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     text = json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False, default=plain)
     try:
         _written(spark, text, staged)
         if read_json(spark, staged) != json.loads(text):
             raise ValueError("what was read back is not what was written")
-        _replace(spark, staged, path)
     except BaseException:
         _delete(spark, staged)
         raise
-    return json.loads(text)
+    return staged, json.loads(text)
+
+
+def aggregates_only(document, most: int = 100) -> None:
+    """Raise if evidence holds raw rows: a list of more than `most` entries is taken for them."""
+    if isinstance(document, list | tuple) and len(document) > most:
+        raise ValueError("evidence holds aggregates, not rows")
+    for v in document.values() if isinstance(document, dict) else document if isinstance(document, list | tuple) else ():
+        aggregates_only(v, most)
+
+
+def write_json(spark: SparkSession, document: dict, path: str, overwrite: bool = False, evidence: bool = False) -> dict:
+    """Stable JSON, staged, read back and moved into place; not over another one unasked.
+
+    With `evidence` the document has to pass `aggregates_only` before anything is written.
+    """
+    if evidence:
+        aggregates_only(document)
+    if exists(spark, path) and not overwrite:
+        raise FileExistsError(path)
+    staged, held = _staged_json(spark, document, path)
+    _place(spark, {staged: path})
+    return held
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -170,41 +159,99 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
-def _replace(spark: SparkSession, staged: str, path: str) -> None:
-    """Move a staged folder into place; what was there is moved aside first, and back if that fails."""
-    files, to = _hadoop(spark, path)
+def _place(spark: SparkSession, moves: dict[str, str]) -> None:
+    """Move staged folders to their places, all or none: old ones are moved aside first, and back if a move fails."""
     made = spark._jvm.org.apache.hadoop.fs.Path
-    aside = made(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-    old = files.exists(to)
-    if old and not files.rename(to, aside):
-        raise OSError(f"{path} could not be moved aside")
-    if not files.rename(made(staged), to):
-        if old:
-            files.rename(aside, to)
-        raise OSError(f"{staged} could not be moved to {path}")
-    if old:
-        files.delete(aside, True)
-
-
-def publish(df: DataFrame, path: str, overwrite: bool = False, extra: dict | None = None, check=None) -> dict:
+    done: list[tuple] = []
+    try:
+        for staged, path in moves.items():
+            files, to = _hadoop(spark, path)
+            aside = made(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}") if files.exists(to) else None
+            if aside is not None and not files.rename(to, aside):
+                raise OSError(f"{path} could not be moved aside")
+            done.append((files, to, aside))
+            if not files.rename(made(staged), to):
+                raise OSError(f"{staged} could not be moved to {path}")
+    except BaseException:
+        for files, to, aside in reversed(done):
+            files.delete(to, True)
+            if aside is not None:
+                files.rename(aside, to)
+        for staged in moves:
+            _delete(spark, staged)
+        raise
+    for files, _, aside in done:
+        if aside is not None:
+            files.delete(aside, True)
+
+
+def write_bounded(df: DataFrame, path: str) -> None:
+    """zstd Parquet with bounded row groups and files, at a new path."""
+    df.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", 50_000_000).option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(path)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.mkdirs(at)
+
+
+def _named(spark: SparkSession, path: str, prefix: str) -> list:
+    """Paths of the files of a folder whose names begin with a prefix."""
+    files, at = _hadoop(spark, path)
+    return [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith(prefix)]
+
+
+def remove_named(spark: SparkSession, path: str, prefix: str) -> None:
+    files, _ = _hadoop(spark, path)
+    for p in _named(spark, path, prefix):
+        files.delete(p, True)
+
+
+def move_into(spark: SparkSession, folder: str, to: str, prefix: str) -> int:
+    """Move the part files of a folder into another one under names of their own, and drop the folder; their number."""
+    files, _ = _hadoop(spark, to)
+    parts = _named(spark, folder, "part-")
+    for p in parts:
+        if not files.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to, prefix + p.getName())):
+            raise OSError(f"{p} could not be moved to {to}")
+    _delete(spark, folder)
+    return len(parts)
+
+
+def place_with(spark: SparkSession, table: str, path: str, documents: dict[str, dict]) -> None:
+    """Move a finished table and its documents into place together."""
+    moves = {table: path.rstrip("/")}
+    try:
+        for at, document in documents.items():
+            moves[_staged_json(spark, document, at)[0]] = at
+    except BaseException:
+        for staged in list(moves)[1:]:
+            _delete(spark, staged)
+        raise
+    _place(spark, moves)
+
+
+def publish(df: DataFrame, path: str, overwrite: bool = False, extra: dict | None = None, check=None, beside=None) -> dict:
     """Write zstd Parquet with a manifest; never an empty table, never over data unasked.
 
     The table is written to a staging path beside its place, where it is counted and
     hashed as it is written, read back and compared, and `check` (of the frame that was
-    read) may raise.  Only then it moves into place, and after it the manifest, which
-    readers take as the sign of a good table.  On an error the staging path is deleted,
-    and table and manifest stay as they were.
+    read) may raise.  Its manifest is staged as well, and so are the documents that
+    `beside` makes of it (by path).  Only when all of them lie there they move into place
+    together; on an error nothing of them is left, and what was there stays.  Row groups
+    are bounded by `ROW_GROUP_BYTES`, files by their rows.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
     if exists(spark, path) and not overwrite:
         raise FileExistsError(f"{path} exists")
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    moves = {f"{path}.staged-{uuid.uuid4().hex}": path}
     try:
+        staged = next(iter(moves))
         seen = Observation()
         row_hash = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
         measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), row_hash.alias("hash"))
-        measured.write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", 50_000_000).parquet(staged)
+        write_bounded(measured, staged)
         wrote = seen.get
         if not wrote["rows"]:
             raise ValueError("nothing to publish")
@@ -214,8 +261,11 @@ def publish(df: DataFrame, path: str, overwrite: bool = False, extra: dict | Non
             raise ValueError("what was read back is not what was written")
         facts = check(back) if check else None
         manifest = {"rows": wrote["rows"], "row_hash": str(wrote["hash"]), "columns": [[f.name, f.dataType.simpleString()] for f in df.schema]} | (extra or {}) | ({"checked": facts} if facts else {})
-        _replace(spark, staged, path)
+        for at, document in ({f"{path}.manifest": manifest} | (beside(manifest) if beside else {})).items():
+            moves[_staged_json(spark, document, at)[0]] = at
     except BaseException:
-        _delete(spark, staged)
+        for staged in moves:
+            _delete(spark, staged)
         raise
-    return write_json(spark, manifest, f"{path}.manifest", overwrite=True)
+    _place(spark, moves)
+    return read_json(spark, f"{path}.manifest")
