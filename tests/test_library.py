@@ -5,7 +5,7 @@ import pytest
 from tidemark.operators import joins, sequences
 from tidemark.plans import build, features, folds
 from tidemark.plans.folds import Fold, check
-from tidemark.sources import files
+from tidemark.sources import files, footers
 from tidemark.streaming import metrics
 
 
@@ -21,9 +21,16 @@ def test_fold_contract():
 
 
 def test_many_to_one_rejects_double_keys(spark):
-    dim = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    with pytest.raises(ValueError, match="not unique"):
-        joins.many_to_one(dim.select("k"), dim, ["k"])
+    """Within the query itself, whether the key is met or not, and whatever columns are read."""
+    dim = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    base = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    for rows in (base, base.where("k = 2")):
+        with pytest.raises(Exception, match="not unique"):
+            joins.many_to_one(rows, dim, ["k"]).count()
+    out = joins.many_to_one(base, dim.where("v <> 'b'"), ["k"], matched="met")
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "a", True), (2, "c", True), (2, "c", True), (None, None, False)]))
+    with pytest.raises(Exception, match="not unique"):
+        joins.many_to_one(base, dim.where("k is null").union(dim.where("k is null")), ["k"]).collect()
 
 
 def test_publish(spark, tmp_path):
@@ -84,20 +91,16 @@ def test_inventory_and_expected_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.bin").write_bytes(b"")
     assert {r["name"]: r["bytes"] for r in files.inventory(spark, str(tmp_path)).collect()} == {"a.bin": 3, "b.bin": 0}
-    assert files.fingerprint(spark, str(tmp_path))[0][3].startswith("ba7816bf")
     files.require_files(spark, str(tmp_path), ["a.bin", "in/b.bin"])
     with pytest.raises(FileNotFoundError, match="c.bin"):
         files.require_files(spark, str(tmp_path), ["a.bin", "c.bin"])
-    before = files.fingerprint(spark, str(tmp_path))
-    (tmp_path / "a.bin").write_bytes(b"abd")
-    assert files.fingerprint(spark, str(tmp_path)) != before
 
 
 def test_schema_footers_and_reconciliation(spark, tmp_path):
     path = "/root/testdata/sf0.001/nation.parquet"
     df = spark.read.parquet(path)
     assert [(r["position"], r["column"], r["type"]) for r in files.schema_table(df).collect()] == [(0, "n_nationkey", "int"), (1, "n_name", "string"), (2, "n_regionkey", "int")]
-    facts = files.footers(spark, path)
+    facts = footers.facts(spark, path)
     assert (facts["rows"], facts["columns"], facts["row_groups"]) == (25, 3, 1)
     assert files.reconciled(df, facts["rows"]).count() == 25
     with pytest.raises(ValueError, match="25 rows"):
@@ -111,7 +114,7 @@ def test_evidence_is_aggregates(spark, tmp_path):
     with pytest.raises(FileExistsError):
         files.write_json(spark, document, path)
     with pytest.raises(ValueError, match="aggregates"):
-        files.write_json(spark, {"rows": list(range(101))}, path, overwrite=True)
+        files.write_json(spark, {"rows": {"all": [list(range(101))]}}, path, overwrite=True, evidence=True)
     assert files.read_json(spark, path, {"a": "Öl"})["a"] == "Öl"
 
 
@@ -165,8 +168,8 @@ def test_model_table_bounds_items(spark):
         (lambda rows: [r for r in rows if not (r[2] == 12 and r[0] <= ORIGIN)], "without static attributes"),
         (lambda rows: [(*r[:5], None, *r[6:]) if r[2] == 12 else r for r in rows], "static attributes are null"),
         (lambda rows: [*rows, rows[240]], "repeated grain"),
-        (lambda rows: [(*r[:12], 1.0 if r[2] == 12 else r[12], *r[13:]) for r in rows], "conflicting transactions"),
-        (lambda rows: [(*r[:13], None if r[2] == 12 else r[13], *r[14:]) for r in rows], "conflicting dcoilwtico"),
+        (lambda rows: [(*r[:12], 1.0 if r[2] == 12 else r[12], *r[13:]) for r in rows], "transactions is not the same"),
+        (lambda rows: [(*r[:13], None if r[2] == 12 else r[13], *r[14:]) for r in rows], "dcoilwtico is not the same"),
         (lambda rows: [(r[0], r[1] * 40_000, *r[2:]) for r in rows], "does not fit smallint"),
     ],
 )
@@ -201,9 +204,95 @@ def test_build(spark, tmp_path):
         build.run(spark, config)
 
 
+def test_build_of_many_origins_and_files(spark, tmp_path, monkeypatch):
+    """150 origins and source files end with a whole document; a document that fails leaves everything as it was."""
+    source = str(tmp_path / "base")
+    spark.createDataFrame(base_rows(200, (1,), (10,)), BASE).repartition(150).write.parquet(source)
+    origins = tuple(date(2020, 2, 1) + timedelta(days=k) for k in range(150))
+    config = build.Build(source, str(tmp_path / "out"), str(tmp_path / "out.json"), origins, ((1,),), overwrite=True)
+    monkeypatch.setattr(build.features, "model_table", lambda base, *a: base.limit(3))
+    monkeypatch.setattr(build.features, "check_contract", lambda back: {"rows": 3})
+    monkeypatch.setattr(build, "targets", lambda base, config: 3)
+    document = build.run(spark, config)
+    assert (len(document["origins"]), document["source"]["files"]) == (150, len(list((tmp_path / "base").glob("part-*"))))
+    old = [str(p) for p in sorted((tmp_path / "out").iterdir())]
+    place = files._hadoop
+    calls = []
+
+    def refuse(spark, path):  # the last move fails
+        calls.append(path)
+        if path == config.manifest and len([c for c in calls if c == path]) > 1:
+            raise OSError("no room")
+        return place(spark, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "_hadoop", refuse)
+        with pytest.raises(OSError, match="no room"):
+            files._place(spark, {files._staged_json(spark, {"a": 1}, str(tmp_path / "out"))[0]: str(tmp_path / "out"), files._staged_json(spark, {"a": 1}, config.manifest)[0]: config.manifest} | {"x": config.manifest})
+    assert [str(p) for p in sorted((tmp_path / "out").iterdir())] == old
+    assert files.read_json(spark, config.manifest) == document
+
+
+def test_build_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    source, work = str(tmp_path / "base"), str(tmp_path / "work")
+    spark.createDataFrame(base_rows(), BASE).repartition(2).write.parquet(source)
+    origins = (ORIGIN, ORIGIN + timedelta(days=3))
+    whole = build.Build(source, str(tmp_path / "one"), str(tmp_path / "one.json"), origins, ((1,), (2,)))
+    build.run(spark, whole)
+    config = build.Build(source, str(tmp_path / "out"), str(tmp_path / "out.json"), origins, ((1,), (2,)))
+    plain, calls = features.model_table, []
+
+    def breaks(base, found, *rest):
+        calls.append((sorted(r["store_nbr"] for r in base.select("store_nbr").distinct().collect()), list(found)))
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return plain(base, found, *rest)
+
+    monkeypatch.setattr(build.features, "model_table", breaks)
+    with pytest.raises(RuntimeError, match="killed"):
+        build.run_in_cells(spark, config, work)
+    assert build.finished(spark, work).count() == 2 and not files.exists(spark, config.output)
+    # an attempt that moved files without reaching the ledger leaves nothing
+    (tmp_path / "work" / "table" / "batch1-part-x.parquet").write_bytes(b"half a file")
+    document = build.run_in_cells(spark, config, work)
+    assert calls == [([1], list(origins)), ([2], list(origins)), ([2], list(origins))]
+    assert (document["cells"], document["rows"]) == (4, 2 * 16 * 6 - 0)
+    rows = lambda at: sorted(map(str, spark.read.parquet(at).collect()))
+    assert rows(config.output) == rows(whole.output)
+    other = build.Build(source, str(tmp_path / "new"), str(tmp_path / "new.json"), origins, ((1,), (2,)), max_items=1)
+    with pytest.raises(ValueError, match="other settings"):
+        build.run_in_cells(spark, other, work)
+
+
+def test_comparison_in_order(spark, tmp_path):
+    rows = [(i, i % 7 if i % 5 else None, f"v{i % 11}") for i in range(1000)]
+    write = lambda part, name: spark.createDataFrame(part, "a long, b long, c string").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def table(name, rows, cuts):
+        at = tmp_path / name
+        at.mkdir()
+        for k, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            write(rows[lo:hi], f"{name}_{k}")
+            next((tmp_path / f"{name}_{k}").glob("part-*.parquet")).rename(at / f"part-{k:05d}.parquet")
+        return spark.read.parquet(str(at))
+
+    source = table("s", rows, [300, 600])
+    same = joins.compared_in_order(source, table("c", rows, [10, 11, 990]))
+    assert {tuple(r)[1:] for r in same.collect()} == {(1000, 0, None, 0, 0)}
+    swapped = [*rows[:400], rows[401], rows[400], *rows[402:-1]]
+    got = {r["column"]: tuple(r)[1:] for r in joins.compared_in_order(source, table("w", swapped, [700])).collect()}
+    assert got["a"] == (999, 2, 400, 1, 0) and got["b"][1:3] == (2, 400)
+
+
+def test_publish_a_wide_table(spark, tmp_path):
+    df = spark.range(5).selectExpr("id", *(f"id + {k} AS c{k}" for k in range(149)))
+    assert len(files.publish(df, str(tmp_path / "t"))["columns"]) == 150
+    assert len(files.read_json(spark, str(tmp_path / "t.manifest"))["columns"]) == 150
+
+
 @pytest.mark.parametrize(
     ("change", "message"),
-    [({"origins": ()}, "no origins"), ({"origins": (ORIGIN, ORIGIN)}, "unique"), ({"store_batches": ((1,), ())}, "empty"), ({"store_batches": ((1,), (1,))}, "more than one batch"), ({"max_items": 0}, "positive"), ({"manifest": "/root/testdata/sf0.001/nation.parquet"}, "different paths")],
+    [({"origins": ()}, "no origins"), ({"origins": (ORIGIN, ORIGIN)}, "unique"), ({"store_batches": ((1,), ())}, "empty"), ({"store_batches": ((1,), (1,))}, "more than one batch"), ({"max_items": 0}, "positive"), ({"manifest": "/root/testdata/sf0.001/nation.parquet"}, "different paths"), ({"output": "/root/testdata/sf0.001/nation.parquet/x"}, "none within"), ({"origins": (), "max_items": 0}, "positive; .*no origins")],
 )
 def test_build_config(spark, change, message):
     good = {"source": "/root/testdata/sf0.001/nation.parquet", "output": "/tmp/o", "manifest": "/tmp/m", "origins": (ORIGIN,), "store_batches": ((1,),)}
@@ -212,6 +301,8 @@ def test_build_config(spark, change, message):
         build.Build(**(good | change)).check(spark)
     with pytest.raises(FileNotFoundError):
         build.Build(**(good | {"source": "/nowhere"})).check(spark)
+    with pytest.raises(FileExistsError, match="region"):
+        build.Build(**(good | {"output": "/root/testdata/sf0.001/region.parquet"})).check(spark)
 
 
 def test_preservation(spark, tmp_path):
@@ -259,6 +350,7 @@ def test_sample_does_not_depend_on_the_split(spark):
 def test_chosen_keys_raise(spark):
     totals = spark.createDataFrame([(1, 5.0), (2, 4.0), (3, 4.0)], "k int, t double")
     assert {r["k"] for r in sequences.chosen(totals, "k", "t", 1, [3]).collect()} == {1, 3}
-    for n, asked, message in ((0, [], "within 1"), (11, [], "within 1"), (1, [9], "does not occur"), (1, [1, 1], "twice")):
+    assert {r["k"] for r in sequences.chosen(totals, "k", "t", 1, [3, 3, 1]).collect()} == {1, 3}
+    for n, asked, message in ((0, [], "within 1"), (11, [], "within 1"), (1, [9], "does not occur")):
         with pytest.raises(ValueError, match=message):
             sequences.chosen(totals, "k", "t", n, asked)

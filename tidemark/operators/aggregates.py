@@ -43,35 +43,76 @@ def status_sums(flag: str, n: str) -> list[Column]:
     return [total(F.col(flag)).alias("n_true"), total(~F.col(flag)).alias("n_false"), missing.alias("n_missing"), F.round(100 * missing / F.sum(n), 6).alias("pct_missing")]
 
 
-def cumulative(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, upto, total): how often each value occurs, and how many are at most as large; nulls are left out.
+#: Learned ranges: so many coarse ones, each cut into as many fine ones.
+COARSE = 32
 
-    Values are put in order within buckets of a sixteenth of an octave, and bucket
-    totals (70,000 at most, as doubles have so many) among each other, so that no task
-    orders all of them.
+
+def ranged(counted: DataFrame, value: str, coarse: int = COARSE) -> DataFrame:
+    """`counted` with `_b`, the number of the range that its value lies in.
+
+    Ranges are learned from the data, so that each has about as many rows as any other
+    unless one value fills it; a value is compared with the coarse bounds, and then with
+    the fine ones between two of them.  NaN lies above all numbers, as in every order.
     """
+    points = [i / coarse**2 for i in range(1, coarse**2)]
+    # one row; not a number is no point of a range
+    edges = counted.where(~F.isnan(F.col(value).cast("double"))).agg(F.percentile_approx(value, points, 20 * coarse**2).alias("_edges"))
+    met = counted.crossJoin(F.broadcast(edges))
     v = F.col(value)
-    counted = df.where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    bucket = (F.signum("value") * (F.floor(16 * F.log2(F.greatest(F.abs("value"), F.lit(1e-300)))) + 16_000)).cast("int")
-    counted = counted.withColumn("_b", bucket)
-    sums = counted.groupBy("_b").agg(F.sum("n").alias("_n"))
-    order = Window.orderBy("_b")  # a row per bucket
-    sums = sums.select("_b", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    inside = F.sum("n").over(Window.partitionBy("_b").orderBy("value"))
-    return counted.join(F.broadcast(sums), "_b").select("value", "n", (F.col("_before") + inside).alias("upto"), "total")
-
-
-def quantiles(df: DataFrame, value: str, points: list[float]) -> DataFrame:
-    """(q, value): exact quantiles with linear interpolation between neighbours."""
-    rows = cumulative(df, value)
-    at = [(F.col("total") - 1) * F.lit(float(q)) for q in points]
-    pick = lambda p: F.min(F.when(F.col("upto") > p, F.col("value")))
-    row = rows.agg(*(pick(F.floor(p)).alias(f"a{i}") for i, p in enumerate(at)), *(pick(F.ceil(p)).alias(f"b{i}") for i, p in enumerate(at)), F.max("total").alias("n"))
-    cells = []
+    outer = F.expr(f"size(filter(sequence(1, {coarse - 1}), i -> _edges[i * {coarse} - 1] <= `{value}`))")
+    inner = F.expr(f"size(filter(sequence(0, {coarse - 2}), i -> _edges[_o * {coarse} + i] <= `{value}`))")
+    number = F.when(v.isNull() | F.col("_edges").isNull(), 0).otherwise(F.col("_o") * coarse + F.col("_i"))
+    return met.withColumn("_o", outer).withColumn("_i", inner).withColumn("_b", number.cast("int")).drop("_o", "_i", "_edges")
+
+
+def cumulative(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """(*keys, value, n, upto, total): how often each value of a group occurs, and how many are at most as large; nulls are left out.
+
+    Values are put in order within learned ranges of each group, and the sums of these
+    (fewer than `COARSE` squared) among each other, so that no task orders a whole group,
+    however large it is and however close its values are.
+    """
+    keys = list(keys)
+    counted = ranged(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value")
+    sums = counted.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
+    group = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_b", (F.sum("_n").over(group.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_b").orderBy("value"))
+    ordered = counted.withColumn("_inside", inside)
+    if keys:
+        same = [ordered[k].eqNullSafe(sums[k]) for k in keys]
+        met = ordered.join(sums.withColumnRenamed("_b", "_c"), [*same, ordered["_b"] == F.col("_c")])
+        return met.select(*(ordered[k] for k in keys), "value", "n", (F.col("_before") + F.col("_inside")).alias("upto"), "total")
+    return ordered.join(F.broadcast(sums), "_b").select("value", "n", (F.col("_before") + F.col("_inside")).alias("upto"), "total")
+
+
+def _picked(rows: DataFrame, points: list[float], keys: list[str]) -> DataFrame:
+    """(*keys, n, then for each point the value below and above its place)."""
+    picks = []
     for i, q in enumerate(points):
-        place = (F.col("n") - 1) * F.lit(float(q))
-        cells.append(F.struct(F.lit(float(q)).alias("q"), (F.col(f"a{i}") + (place - F.floor(place)) * (F.col(f"b{i}") - F.col(f"a{i}"))).alias("value")))
-    return row.select(F.inline(F.array(*cells)))
+        place = (F.col("total") - 1) * F.lit(float(q))
+        picks += [F.min(F.when(F.col("upto") > f(place), F.col("value"))).alias(f"{side}{i}") for side, f in (("a", F.floor), ("b", F.ceil))]
+    return rows.groupBy(*keys).agg(F.max("total").alias("n"), *picks)
+
+
+def _between(i: int, q: float) -> Column:
+    """The value at a point, from its two neighbours; equal ones need no arithmetic, which infinite ones would not survive."""
+    place = (F.col("n") - 1) * F.lit(float(q))
+    a, b = F.col(f"a{i}"), F.col(f"b{i}")
+    return F.when(a == b, a.cast("double")).otherwise(a + (place - F.floor(place)) * (b - a))
+
+
+def quantiles(df: DataFrame, value: str, points: list[float], keys: list[str] = ()) -> DataFrame:
+    """(*keys, q, value): exact quantiles with linear interpolation between neighbours, of each group."""
+    keys = list(keys)
+    cells = [F.struct(F.lit(float(q)).alias("q"), _between(i, q).alias("value")) for i, q in enumerate(points)]
+    return _picked(cumulative(df, value, keys), points, keys).select(*keys, F.inline(F.array(*cells)))
+
+
+def with_median(summary: DataFrame, df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """A summary by keys with the exact median of each group, of which no task holds all values."""
+    middle = _picked(cumulative(df, value, keys), [0.5], keys).select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.round(_between(0, 0.5), 6).alias(name))
+    return summary.join(middle, [summary[k].eqNullSafe(middle[f"_m_{k}"]) for k in keys], "left").drop(*(f"_m_{k}" for k in keys))
 
 
 def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -83,6 +124,18 @@ def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     return ranked.agg(share(F.lit(1)).alias("top_1"), share(F.lit(10)).alias("top_10"), share(F.greatest(F.ceil(F.col("total") * 0.2), F.lit(1))).alias("top_fifth"))
 
 
+#: What `describe` gives, in its order.
+DESCRIBED = ["mean", "median", "std", "least", "most"]
+
+
+def variance_from_sums(n: Column, total: Column, squares: Column) -> Column:
+    """Sample variance from a count, a sum and a sum of squares, not below 0 where rounding would have it so; null below two values.
+
+    Partial sums of any split add up, so it needs no second pass over the values.
+    """
+    return F.when(n > 1, F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0)))
+
+
 def describe(column: str) -> list[Column]:
     v = F.col(column)
     return [F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")]
@@ -110,7 +163,7 @@ def scope_check(facts: DataFrame, places: DataFrame, day: str, scope: str, place
 
 
 def rule_report(df: DataFrame, named: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
-    """(rule, n, explained, unresolved, example): rows each rule marks, those that its second condition explains, and the smallest key of one that it does not."""
+    """(rule, n, explained, unresolved, example): rows each rule marks, those that its second condition explains, and the smallest key of one that it does not; `rule_examples` has more of these."""
     sums = []
     for i, (mask, reason) in enumerate(named.values()):
         hit = F.coalesce(mask, F.lit(False))
@@ -121,6 +174,32 @@ def rule_report(df: DataFrame, named: dict[str, tuple[Column, Column]], key: str
     return row.select(F.inline(F.array(*cells)))
 
 
+def rule_examples(df: DataFrame, named: dict[str, tuple[Column, Column]], key: list[str], most: int = 5) -> DataFrame:
+    """(rule, place, *key): the first `most` rows, by key, that a rule marks and its second condition does not explain.
+
+    Each task keeps its own first rows before they meet.
+    """
+    held = [F.when(F.coalesce(mask, F.lit(False)) & ~F.coalesce(reason, F.lit(False)), F.lit(rule)) for rule, (mask, reason) in named.items()]
+    rows = df.select(*key, F.explode(F.array_compact(F.array(*held))).alias("rule"))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy(*key))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("rule", "place", *key)
+
+
+def covered(buckets: DataFrame, n: str, rows: DataFrame) -> DataFrame:
+    """Counts by bucket, after a check within the query that the buckets hold every row once."""
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    met = buckets.withColumn("_sum", F.sum(n).over(Window.partitionBy())).crossJoin(F.broadcast(total))  # a row per bucket, one row
+    return met.withColumn(n, F.when(F.col("_sum") == F.col("_all"), F.col(n)).otherwise(F.raise_error(F.lit("the buckets do not hold every row once")).cast("long"))).drop("_sum", "_all")
+
+
+def scope_levels(facts: DataFrame, places: DataFrame, day: str, place: str, levels: list[str]) -> DataFrame:
+    """(day, level, scope, represented, expected, consistent): places with facts against all places, overall and by each level of scope."""
+    of = lambda df: df.select(*([day] if day in df.columns else []), F.col(place).alias("place"), F.inline(F.array(F.struct(F.lit("all").alias("level"), F.lit("all").alias("scope")), *(F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("scope")) for c in levels))))
+    expected = of(places.select(place, *levels)).groupBy("level", "scope").agg(F.count_distinct("place").alias("expected"))
+    seen = of(facts.select(day, place).distinct().join(places.select(place, *levels), place)).groupBy(day, "level", "scope").agg(F.count_distinct("place").alias("represented"))
+    return seen.join(expected, ["level", "scope"]).select(day, "level", "scope", "represented", "expected", (F.col("represented") == F.col("expected")).alias("consistent"))
+
+
 def repeated_rows(df: DataFrame) -> DataFrame:
     """(duplicate_rows, repeated): rows beyond the first of rows equal in every column, and how many kinds of them repeat."""
     return duplicate_counts(df, df.columns).withColumnRenamed("duplicate_keys", "repeated")

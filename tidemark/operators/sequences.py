@@ -18,13 +18,54 @@ def longest(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def in_blocks(df: DataFrame, keys: list[str], day: str, back: int, days: int | None = None) -> DataFrame:
+    """Rows with `_block`, a stretch of days of their series, and `_own`: false for copies of the `back` days before it.
+
+    A frame of at most `back` days lies within the block of its row, so a window over
+    (keys, `_block`) needs no whole series in one task.  Blocks are at least eight times as
+    long as what is copied into them.
+    """
+    size = days or max(64, 8 * back)
+    at = F.unix_date(day)
+    first, last = F.floor(at / size), F.floor((at + back) / size)
+    return df.withColumn("_block", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_block") == F.floor(at / size))
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """The rows of `in_blocks` themselves, without what was copied."""
+    return df.where("_own").drop("_block", "_own")
+
+
 def complete(fn, value: str, width: int, keys: list[str], day: str, last: int = -1) -> Column:
-    """`fn` over the `width` days that end `-last` days ago, null unless each has one non-null row."""
+    """`fn` over the `width` days that end `-last` days ago, null unless each has one non-null row.
+
+    For long series the rows come from `in_blocks`, with `_block` among the keys.
+    """
     frame = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(last - width + 1, last)
     full = (F.count(F.lit(1)).over(frame) == width) & (F.count(value).over(frame) == width)
     return F.when(full, fn(value).over(frame))
 
 
+def nearest_known(df: DataFrame, keys: list[str], day: str, value: str, days: int = 256) -> DataFrame:
+    """Rows with `previous`, `next`: the nearest non-null values before and after each row of its series, and their days.
+
+    Known values are carried within blocks of days, and from block to block through one
+    row for each block, so a series may be of any length and a gap of any width.  Rows of
+    one day see each other's values neither before nor after.
+    """
+    at = F.floor(F.unix_date(day) / days)
+    rows = df.withColumns({"_block": at, "_known": F.when(F.col(value).isNotNull(), F.struct(F.col(day).alias("day"), F.col(value).alias("value")))})
+    block = Window.partitionBy(*keys, "_block").orderBy(F.unix_date(day))
+    inside = {"_before": F.last("_known", ignorenulls=True).over(block.rangeBetween(Window.unboundedPreceding, -1)), "_after": F.first("_known", ignorenulls=True).over(block.rangeBetween(1, Window.unboundedFollowing))}
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.unix_date(day))).alias("_last"), F.min_by("_known", F.when(F.col("_known").isNotNull(), F.unix_date(day))).alias("_first"))
+    series = Window.partitionBy(*keys).orderBy("_block")  # a row per block
+    carried = {"_from": F.last("_last", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1)), "_to": F.first("_first", ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing))}
+    carried = ends.withColumns(carried).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_b"), "_from", "_to")
+    met = rows.withColumns(inside).join(carried, [*(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_block") == F.col("_b")])
+    before, after = F.coalesce("_before", "_from"), F.coalesce("_after", "_to")
+    return met.select(*df.columns, before["value"].alias("previous"), before["day"].alias("previous_day"), after["value"].alias("next"), after["day"].alias("next_day"))
+
+
 def peak(day: str, value: str, lowest: bool = False) -> Column:
     """Day of the largest (or smallest) value, the earliest of ties."""
     if lowest:
@@ -46,6 +87,11 @@ def largest(df: DataFrame, column: str, n: int, ties: list[str]) -> DataFrame:
     return df.where(F.col(column).isNotNull()).orderBy(F.col(column).desc(), *ties).limit(n)
 
 
+def smallest(df: DataFrame, column: str, n: int, ties: list[str]) -> DataFrame:
+    """The lowest n by a column, nulls left out, ties by the given columns."""
+    return df.where(F.col(column).isNotNull()).orderBy(F.col(column), *ties).limit(n)
+
+
 def order_breaks(df: DataFrame, index: str, keys: list[str], block: int = 100_000) -> DataFrame:
     """(rows, breaks): in how many rows the keys do not exceed those of the row before, by index.
 
@@ -67,11 +113,10 @@ def differenced(df: DataFrame, keys: list[str], day: str, value: str) -> DataFra
 
 
 def chosen(totals: DataFrame, key: str, value: str, n: int, asked: list = (), most: int = 10) -> DataFrame:
-    """The n largest keys and the ones asked for; n is 1 to `most`, and an unknown key is an error."""
+    """The n largest keys and the ones asked for, each once; n is 1 to `most`, and an unknown key is an error."""
     if not 1 <= n <= most:
         raise ValueError(f"n must be within 1 and {most}")
-    if len(set(asked)) != len(asked):
-        raise ValueError("keys are asked for twice")
+    asked = list(dict.fromkeys(asked))
     found = totals.where(F.col(key).isin(list(asked)))
     if found.count() != len(asked):
         raise ValueError("a key that is asked for does not occur")

@@ -151,20 +151,20 @@ def scope_expansion(spark, sf_dir):
     return joins.scope_expand(events, places).select("day", "place", "is_holiday", "notes", "n_events")
 
 
-@query(f"""WITH {PANEL} SELECT a.day, a.store, a.item, a.sales, b.sales AS lag_1, c.sales AS lag_7 FROM panel a
-LEFT JOIN panel b ON b.store = a.store AND b.item = a.item AND b.day = a.day - 1 LEFT JOIN panel c ON c.store = a.store AND c.item = a.item AND c.day = a.day - 7""")
+@query(f"""WITH {PANEL} SELECT day, store, item, sales, max(sales) OVER (w RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS lag_1, max(sales) OVER (w RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS lag_7
+FROM panel WINDOW w AS (PARTITION BY store, item ORDER BY day)""")
 def exact_lags(spark, sf_dir):
     return joins.exact_offset(panel(Tables(spark, sf_dir)), ["store", "item"], "day", "sales", [1, 7])
 
 
 @query(f"""
-WITH {PANEL}, c AS (SELECT row_number() OVER (ORDER BY sales DESC, day, store, item) AS case_id, * FROM panel QUALIFY case_id <= 20)
-SELECT case_id::INT AS case_id, c.store, c.item, p.day, p.sales, (p.day - c.day)::INT AS relative_day FROM c JOIN panel p ON p.store = c.store AND p.item = c.item AND p.day BETWEEN c.day - 7 AND c.day + 7""")
+WITH {PANEL.replace("panel AS (", "panel AS MATERIALIZED (")}, c AS (SELECT row_number() OVER () AS case_id, * FROM (FROM panel ORDER BY sales DESC, day, store, item LIMIT 20))
+SELECT case_id::INT AS case_id, c.store, c.item, p.day, p.sales, (p.day - c.day)::INT AS relative_day FROM c JOIN (SELECT *, unnest(generate_series(-7, 7)) AS k FROM c) x USING (case_id) JOIN panel p ON p.store = c.store AND p.item = c.item AND p.day = c.day + x.k::INT""")
 def interval_context(spark, sf_dir):
     facts = panel(Tables(spark, sf_dir))
     top = sequences.largest(facts, "sales", 20, ["day", "store", "item"])
     cases = top.withColumn("case_id", F.row_number().over(Window.orderBy(F.col("sales").desc(), "day", "store", "item")))
-    return joins.around(F.broadcast(cases), facts, ["store", "item"], "day").select("case_id", "store", "item", "day", "sales", "relative_day")  # twenty rows
+    return joins.around(cases, facts, ["store", "item"], "day").select("case_id", "store", "item", "day", "sales", "relative_day")
 
 
 @query(f"""
@@ -261,7 +261,7 @@ def value_counts(spark, sf_dir):
     return counted.select("k", "n", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))  # one row per value
 
 
-_GRAINS = [(), ("y",), ("m",), ("day",), ("store",), ("item",), ("family",), ("store", "item")]
+_GRAINS = [(), ("y",), ("m",), ("day",), ("store",), ("item",), ("family",), ("store", "item"), ("store", "day")]
 
 
 @query(f"""WITH x AS (SELECT l_shipdate::DATE AS day, year(l_shipdate)::INT AS y, strftime(l_shipdate, '%Y-%m') AS m, n_regionkey AS store, p_brand AS item, p_type AS family, CASE WHEN l_shipdate < DATE '1996-01-01' THEN NULL ELSE l_discount >= 0.05 END AS promo
@@ -269,7 +269,7 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 SELECT grouping_id(y, m, day, store, item, family)::BIGINT AS grain, y, m, day, store, item, family, count(*) FILTER (promo) AS n_true, count(*) FILTER (NOT promo) AS n_false, count(*) FILTER (promo IS NULL) AS n_missing, round(100.0 * count(*) FILTER (promo IS NULL) / count(*), 6) AS pct_missing
 FROM x GROUP BY GROUPING SETS ({", ".join(f"({', '.join(g)})" for g in _GRAINS)})""")
 def status_by_grain(spark, sf_dir):
-    """Counts of true, false and missing overall and by year, month, date, store, item, family and store with item."""
+    """Counts of true, false and missing overall and by year, month, date, store, item, family, store with item and store with date."""
     t = Tables(spark, sf_dir)
     place = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("store"))
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"), F.col("p_type").alias("family"))
@@ -375,8 +375,9 @@ def longest_runs(spark, sf_dir):
 SELECT day, store, item, CASE WHEN n = 7 THEN round(m, 6) END AS mean_7, CASE WHEN n = 7 THEN round(s, 6) END AS std_7 FROM x""")
 def complete_windows(spark, sf_dir):
     keys = ["store", "item"]
-    rows = panel(Tables(spark, sf_dir))
-    return rows.select("day", *keys, F.round(sequences.complete(F.avg, "sales", 7, keys, "day"), 6).alias("mean_7"), F.round(sequences.complete(F.stddev_samp, "sales", 7, keys, "day"), 6).alias("std_7"))
+    rows, block = sequences.in_blocks(panel(Tables(spark, sf_dir)), keys, "day", 7), [*keys, "_block"]
+    out = rows.withColumns({"mean_7": F.round(sequences.complete(F.avg, "sales", 7, block, "day"), 6), "std_7": F.round(sequences.complete(F.stddev_samp, "sales", 7, block, "day"), 6)})
+    return sequences.own_rows(out).select("day", *keys, "mean_7", "std_7")
 
 
 @query(f"""WITH {PANEL} SELECT store, item, (SELECT day FROM panel q WHERE q.store = p.store AND q.item = p.item ORDER BY sales DESC, day LIMIT 1) AS peak, (SELECT day FROM panel q WHERE q.store = p.store AND q.item = p.item ORDER BY sales, day LIMIT 1) AS low, arg_max(sales, day) AS latest FROM panel p GROUP BY ALL""")
@@ -505,7 +506,8 @@ def naive_forecast_errors(spark, sf_dir):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, count(*) AS n FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY ALL""")
 def modulus_sample(spark, sf_dir):
     """The sampling operator itself: one row in a hundred, by key."""
-    return Tables(spark, sf_dir).lineitem.where(F.pmod("l_orderkey", F.lit(100)) == 0).groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+    rows = Tables(spark, sf_dir).lineitem.where(F.pmod("l_orderkey", F.lit(100)) == 0)
+    return agg.with_median(rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), rows, ["l_returnflag"], "l_extendedprice")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate BETWEEN DATE '1997-03-01' AND DATE '1997-03-07' AND l_suppkey IN (1, 2, 3, 5, 8)""")
@@ -545,7 +547,7 @@ def case_studies(spark, sf_dir):
     often = sequences.largest(often, "n", 10, ["store", "item"]).select(*keys)
     cases = facts.join(F.broadcast(top.union(often).distinct()), keys)  # thirty at most
     cases = cases.withColumn("case_id", F.row_number().over(Window.orderBy(F.col("sales").desc(), "day", "store", "item")))
-    near = joins.around(F.broadcast(cases), facts, ["store", "item"], "day")  # thirty rows at most
+    near = joins.around(cases, facts, ["store", "item"], "day")
     about = near.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_days"),
         F.round(F.avg(F.when(F.col("relative_day") < 0, F.col("sales"))), 6).alias("before_mean"),

@@ -15,7 +15,7 @@ from tidemark.operators import aggregates as agg
 from tidemark.operators import joins, sequences
 from tidemark.plans import catalog, features, folds
 from tidemark.plans.catalog import DAILY, PANEL, PRICE, Tables, daily, panel, price, query
-from tidemark.sources import files
+from tidemark.sources import files, footers
 from tidemark.streaming import metrics
 
 _ORIGINS = [date(1996, 9, 30), date(1997, 3, 31), date(1998, 6, 30)]
@@ -107,15 +107,16 @@ def approved_folds(spark, sf_dir):
 # sources
 
 
-@query("SELECT column_index::INT - 1 AS position, column_name AS \"column\" FROM duckdb_columns() WHERE table_name = 'orders'")
+@query("""SELECT column_index::INT - 1 AS position, column_name AS "column", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, is_nullable AS nullable FROM duckdb_columns() WHERE table_name = 'orders'""")
 def schema_columns(spark, sf_dir):
-    return files.schema_table(Tables(spark, sf_dir).orders).select("position", "column")
+    """Position, name, type and nullability, by the schema alone."""
+    return files.schema_table(Tables(spark, sf_dir).orders)
 
 
 @query("SELECT 'lineitem' AS name, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'lineitem') AS n_columns UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM duckdb_columns() WHERE table_name = 'orders')")
 def footer_facts(spark, sf_dir):
     """Rows and columns by the footers, without reading data."""
-    found = [(n, files.footers(spark, f"{sf_dir}/{n}.parquet")) for n in ("lineitem", "orders")]
+    found = [(n, footers.facts(spark, f"{sf_dir}/{n}.parquet")) for n in ("lineitem", "orders")]
     return spark.createDataFrame([(n, f["rows"], f["columns"]) for n, f in found], "name string, n_rows long, n_columns long")
 
 
@@ -234,7 +235,8 @@ SELECT store, count(*) AS n, round(avg(change), 6) AS mean, round(median(change)
 def daily_changes(spark, sf_dir):
     """First differences of value and date; only changes from one day to the next count."""
     rows = sequences.differenced(panel(Tables(spark, sf_dir)), ["store", "item"], "day", "sales").where("gap = 1")
-    return rows.groupBy("store").agg(F.count(F.lit(1)).alias("n"), *agg.describe("change"))
+    own = rows.groupBy("store").agg(F.count(F.lit(1)).alias("n"), *(c for c, n in zip(agg.describe("change"), agg.DESCRIBED, strict=True) if n != "median"))
+    return agg.with_median(own, rows, ["store"], "change")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT s_suppkey AS k FROM supplier),
@@ -261,7 +263,8 @@ def global_gaps(spark, sf_dir):
 r AS (SELECT store, item, k, count(*) AS days FROM g GROUP BY ALL) SELECT store, count(*) AS gaps, round(avg(days), 6) AS mean, round(median(days), 6) AS median, max(days) AS longest FROM r GROUP BY ALL""")
 def gap_statistics(spark, sf_dir):
     runs = catalog.missing_runs(spark, sf_dir)
-    return runs.groupBy("store").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.avg("days"), 6).alias("mean"), F.round(F.median("days"), 6).alias("median"), F.max("days").alias("longest"))
+    own = runs.groupBy("store").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.avg("days"), 6).alias("mean"), F.max("days").alias("longest"))
+    return agg.with_median(own, runs, ["store"], "days")
 
 
 @query(f"""WITH {PANEL}, h AS (SELECT store, item, day, day - row_number() OVER (PARTITION BY store, item ORDER BY day)::INT AS k FROM panel WHERE sales > 20), i AS (SELECT store, item, min(day) AS start, max(day) AS "end", count(*) AS days FROM h GROUP BY store, item, k)
