@@ -122,9 +122,13 @@ def _send_counts(table: pa.Table, bits: int, depth: int) -> pa.Table:
     table = table.filter(table.column("learn"))
     if not table.num_rows:
         return ex.BLOB_SCHEMA.empty_table()
-    grams, words = _distinct(table, depth)
-    rows = [r[:4] for r in _gram_blobs(*grams, g, bits, depth)]
-    rows += _word_blobs(*words, g, bits)
+    copies = table.column("copies").to_numpy()
+    grams, words = [], []
+    for c in np.unique(copies).tolist():  # rows that stand for several count as often
+        for out, (keys, n) in zip((grams, words), _distinct(table.filter(pa.array(copies == c)), depth), strict=True):
+            out.append((keys, n * c))
+    rows = [r[:4] for r in _gram_blobs(*_added(grams), g, bits, depth)]
+    rows += _word_blobs(*_added(words), g, bits)
     return ex.blob_table(rows, ex.BLOB_SCHEMA)
 
 
@@ -273,8 +277,8 @@ def _answer(asked: pa.Table, model: pa.Table, bits: int, depth: int, top) -> pa.
     return ex.blob_table([(g, bucket, 1, values[a:b].tobytes()) for g, a, b in zip(groups, offsets[:-1], offsets[1:], strict=True)], ex.REPLY_SCHEMA)
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
-_SCORES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double, copies long"
+_SCORES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64())])
 
 
 def _score(docs: pa.Table, replies: pa.Table, bits: int, depth: int, tokens: int, vocabulary: int) -> pa.Table:
@@ -302,7 +306,7 @@ def _score(docs: pa.Table, replies: pa.Table, bits: int, depth: int, tokens: int
         chances = np.add.reduceat(chance[np.searchsorted(asked, keys)], bounds[:-1])
         for column, values in zip(columns, (hi - lo + 1, known[hi] - known[lo] + int(end > 0), np.diff(bounds), base, chances), strict=True):
             column.append(values)
-    return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("held_out"), *(np.concatenate(c) for c in columns)], schema=_SCORES_SCHEMA)
+    return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("held_out"), *(np.concatenate(c) for c in columns), docs.column("copies")], schema=_SCORES_SCHEMA)
 
 
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, plan: ex.Plan | None = None) -> DataFrame:
@@ -329,5 +333,6 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH
     salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     replies = asked.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(ex.two(_answer, bits=bits, depth=depth, top=shared), schema=ex.REPLY)
     scored = grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(ex.two(_score, bits=bits, depth=depth, tokens=sizes["n"], vocabulary=sizes["v"]), schema=_SCORES)
-    return scored.withColumn("train_tokens", F.lit(sizes["n"]).cast("long")).withColumn("bits_per_byte", -F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes"))
+    per_byte = (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte")
+    return ex.expanded(scored).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sizes["n"]).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", per_byte)
 

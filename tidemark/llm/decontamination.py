@@ -208,12 +208,13 @@ def _search(batches, tests, slack: int):
 
 def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Tests]]:
     """Number of bounded blocks of test items, and one after the other."""
+    benchmark = benchmark.select("item_id", "text").distinct()  # items that repeat are one
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
 
     def each() -> Iterator[Tests]:
         for k in range(blocks):
-            rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
+            rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
             yield Tests([r["item_id"] for r in rows], [r["text"] for r in rows], window)
 
     return blocks, each()
@@ -254,7 +255,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("near", empty).alias("near_items"), "ranges")
 
 
-def _mark(batches, tests, bits: str, last: bool):
+def _mark(batches, tests, bits: str, name: str, last: bool):
     """Rows with the hit words of the blocks so far, as bits; after the last one, with their number."""
     for table in (part for batch in batches for part in slices(batch)):
         shard = _postings(table)
@@ -267,22 +268,26 @@ def _mark(batches, tests, bits: str, last: bool):
                 own |= np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=len(own)).astype(bool)
             table = table.drop_columns([bits])
         if last:
-            table = table.append_column("n_hit", pa.array(within_docs(covered, _Bounds(first))))
+            table = table.append_column(name, pa.array(within_docs(covered, _Bounds(first))))
         else:
             table = table.append_column(bits, pa.array([np.packbits(covered[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()))
         yield from table.to_batches()
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with ``n_hit``; each task indexes and searches its own texts, so rows stay in place."""
-    if "n_hit" in docs.columns:
-        raise ValueError("docs already has a column n_hit")
+    """`docs` with a last column ``n_hit``; each task indexes and searches its own texts, so rows stay in place.
+
+    Columns of docs stay as they are; if one of them has that name, in any case, the last
+    one is ``n_hit_1``, or the first such name that is free.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(c for k in range(len(taken) + 1) if (c := f"n_hit_{k}" if k else "n_hit") not in taken)
     blocks, each = _blocks(benchmark, window)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     bits, out = f"bits_{uuid.uuid4().hex}", docs
     for k, tests in enumerate(each):
         shared, last = docs.sparkSession.sparkContext.broadcast(tests), k == blocks - 1
-        out = out.mapInArrow(functools.partial(_mark, tests=shared, bits=bits, last=last), f"{fields}, {'n_hit long' if last else f'{bits} binary'}")
+        out = out.mapInArrow(functools.partial(_mark, tests=shared, bits=bits, name=name, last=last), f"{fields}, {f'{name} long' if last else f'{bits} binary'}")
         if not last:
             out = materialise(out, "marked")
             shared.unpersist()

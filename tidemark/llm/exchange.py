@@ -28,6 +28,8 @@ from .arrays import release
 GROUP_SCALE, GROUP_LEAST, GROUP_MOST = 2_000, 250_000, 48_000_000
 BUCKET_SCALE, BUCKET_LEAST, BUCKET_MOST = 72_000, 1_000_000, 96_000_000
 PART_BYTES, PARTS_MOST = 8_000_000, 50_000
+#: Equal rows are counted instead of kept where there are more of them than this, and than a group has rows.
+REPEATS_LEAST = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,11 +84,35 @@ class Plan:
         self.bits = max(6, math.ceil(math.log2(max(1, self.bytes / bucket))))
         self.parts = min(max(12, math.ceil(self.bytes / PART_BYTES)), PARTS_MOST)
 
+    def reduced(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, text, ...) with `copies`: rows equal in all columns that would fill a group are one row.
+
+        Fewer rows than there are groups are that often repeated, so their hashes may be
+        broadcast; each of them is counted before it is shuffled.  All other rows stand
+        for themselves.
+        """
+        h = F.xxhash64("doc_id", "text").alias("_h")
+        many = rows.select(h).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(REPEATS_LEAST, self.rows / self.groups))
+        many = materialise(many.select("_h"), "repeats")
+        single = rows.withColumn("copies", F.lit(1).cast("long"))
+        if many.isEmpty():
+            return single
+        keyed = rows.select("*", h)
+        light = keyed.join(F.broadcast(many), "_h", "left_anti").select(*rows.columns, F.lit(1).cast("long").alias("copies"))
+        heavy = keyed.join(F.broadcast(many), "_h", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+        return light.unionByName(materialise(heavy, "repeated"))
+
     def grouped(self, docs: DataFrame, *columns) -> DataFrame:
-        """Documents with their group; the same rows always fall in the same group."""
-        chosen = docs.select("doc_id", "text", *columns)
+        """Documents with `copies` and their group, which follows from id and text; `expanded` undoes `copies`."""
+        rows = self.reduced(docs.select("doc_id", "text", *columns))
         g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.groups)).cast("int").alias("g")
-        return chosen.select(g, "*").repartition(self.parts, "g")
+        return rows.select(g, "*").repartition(self.parts, "g")
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """Each row as often as its `copies` say."""
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return rows.withColumn("_copy", again).drop("_copy", "copies")
 
 
 BLOB = "bucket int, g int, keys binary, vals binary"

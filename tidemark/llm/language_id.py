@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrays import release
 from .exchange import materialise
+from .sampling import SPAN
 
 DICTIONARY_BYTES = 110_000
 PIECE = 6_000  # characters
@@ -107,9 +108,9 @@ def _predict(batches, names: tuple[str, ...], dictionaries: tuple[bytes, ...], l
 
 
 def pieces(labelled: DataFrame, piece: int = PIECE) -> DataFrame:
-    """(lang, doc_id, text, n): rows to learn from, with the number of pieces of each."""
+    """(lang, doc_id, th, text, n): rows to learn from, with a hash of the text and the number of pieces of each."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    return usable.select("lang", "doc_id", "text", F.ceil(F.length("text") / F.lit(piece)).cast("int").alias("n"))
+    return usable.select("lang", "doc_id", F.xxhash64("text").alias("th"), "text", F.ceil(F.length("text") / F.lit(piece)).cast("int").alias("n"))
 
 
 def languages(rows: DataFrame) -> dict[str, int]:
@@ -118,23 +119,39 @@ def languages(rows: DataFrame) -> dict[str, int]:
     return {r["lang"]: r["size"] for r in counted}
 
 
-def learn(rows: DataFrame, found: dict[str, int], dictionary_bytes: int = DICTIONARY_BYTES, piece: int = PIECE) -> dict[str, bytes]:
-    """Raw-content dictionaries of the given languages, from `pieces`; a language sends at most about four times its dictionary to the order."""
-    span = 1 << 64
-    h = lambda p: F.xxhash64("doc_id", p)
-    most = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(span, span * 4 * dictionary_bytes // max(n, 1)) - span // 2 - 1)) for k, n in found.items()))
+def _taken(rows: DataFrame, bounds: dict[str, int], dictionary_bytes: int, piece: int) -> list:
+    """Pieces of the given languages whose hash lies below a language's bound, up to a dictionary of each; equal pieces count once."""
+    h = lambda p: F.xxhash64("doc_id", "th", p)
+    most = F.coalesce(*(F.when(F.col("lang") == k, F.lit(m - SPAN // 2 - 1)) for k, m in bounds.items()))
     # only the numbers of pieces are listed; text is cut for those that are taken
     own = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: h(p) <= F.col("most"))
-    cut = rows.where(F.col("lang").isin(list(found))).withColumn("most", most).select("lang", "doc_id", "text", F.explode(own).alias("p"))
-    cut = cut.select("lang", "doc_id", "p", F.substring("text", F.col("p") * piece + 1, F.lit(piece)).alias("text"), h(F.col("p")).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "p", "text")  # some hundred kilobytes of a language
+    cut = rows.where(F.col("lang").isin(list(bounds))).withColumn("most", most).select("lang", "doc_id", "th", "text", F.explode(own).alias("p"))
+    cut = cut.select("lang", h(F.col("p")).alias("h"), F.substring("text", F.col("p") * piece + 1, F.lit(piece)).alias("text"))
+    cut = cut.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat, before their shuffle
+    order = Window.partitionBy("lang").orderBy("h")  # some hundred kilobytes of a language
     upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    taken = cut.withColumn("upto", upto - F.octet_length("text")).where(F.col("upto") < dictionary_bytes).orderBy("lang", "h", "doc_id", "p", "text").select("lang", "text").collect()
+    return cut.withColumn("upto", upto - F.octet_length("text")).where(F.col("upto") < dictionary_bytes).orderBy("lang", "h").select("lang", "text").collect()
+
+
+def learn(rows: DataFrame, found: dict[str, int], dictionary_bytes: int = DICTIONARY_BYTES, piece: int = PIECE) -> dict[str, bytes]:
+    """Raw-content dictionaries of the given languages, from `pieces`; a language sends at most about four times its dictionary to the order.
+
+    A language that gets less than its dictionary holds is asked for again with a wider
+    bound, until it is full or all its pieces were taken: so one that mostly repeats
+    itself still has one.
+    """
+    bounds = {k: min(SPAN, SPAN * 4 * dictionary_bytes // max(n, 1)) for k, n in found.items()}
     out: dict[str, bytes] = {}
-    for row in taken:
-        raw = f" {normal(row['text'])} ".encode()
-        if raw.strip() and len(out.get(row["lang"], b"")) + len(raw) <= dictionary_bytes:
-            out[row["lang"]] = out.get(row["lang"], b"") + raw
+    while bounds:
+        got = dict.fromkeys(bounds, b"")
+        filled = dict.fromkeys(bounds, 0)
+        for row in _taken(rows, bounds, dictionary_bytes, piece):
+            raw = f" {normal(row['text'])} ".encode()
+            filled[row["lang"]] += len(row["text"].encode())
+            if raw.strip() and len(got[row["lang"]]) + len(raw) <= dictionary_bytes:
+                got[row["lang"]] += raw
+        out |= {k: v for k, v in got.items() if v}
+        bounds = {k: min(SPAN, 16 * m) for k, m in bounds.items() if m < SPAN and filled[k] < dictionary_bytes}
     return out
 
 

@@ -15,7 +15,7 @@ a row for each pair of a group, and no link between classes is lost.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 text of fewer words than ``n`` has its whole word sequence as one n-gram; rows that
-repeat are one class; rows with a null ``doc_id`` take part only through their
+repeat are one class, and rows of one id with other texts are judged each for itself; rows with a null ``doc_id`` take part only through their
 class, whose smallest non-null id is used (null if it has none); an empty table
 gives no rows; other columns are ignored.
 """
@@ -73,15 +73,14 @@ def _describe(batches, n: int):
 
 
 def _representatives(docs: pa.Table, marks: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of the rows that stand for a class: hashes, bounds, document ids."""
+    """Sets of the rows that stand for a class: hashes, bounds, and the numbers of the classes."""
     key, bounds, _ = _sets(docs, n)
-    wanted = {(d, s) for d, s, k in zip(marks.column("doc_id").to_pylist(), marks.column("vals").to_pylist(), marks.column("kind").to_pylist(), strict=True) if k == 0}
+    wanted = {(d, s): c for d, s, c, k in zip(*(marks.column(x).to_pylist() for x in ("doc_id", "vals", "node", "kind")), strict=True) if k == 0}
     chosen, ids = [], []
     for i, (d, s) in enumerate(zip(docs.column("doc_id").to_pylist(), _signatures(key, bounds), strict=True)):
         if (d, s) in wanted:
-            wanted.discard((d, s))
             chosen.append(i)
-            ids.append(d)
+            ids.append(wanted.pop((d, s)))
     lengths = np.diff(bounds)[chosen] if chosen else np.zeros(0, dtype=np.int64)
     keys = np.concatenate([key[bounds[i] : bounds[i + 1]] for i in chosen]) if chosen else key[:0]
     return keys, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), np.array(ids, dtype=np.int64)
@@ -324,23 +323,25 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, plan: ex.Pla
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     described = ex.materialise(texts.mapInArrow(functools.partial(_describe, n=n), "doc_id long, th long, n_shingles long, sig binary"), "sets")
     named = described.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    classes = ex.materialise(named.select("sig", "r.doc_id", "r.th").withColumn("g", _group(plan, F.col("th"))), "classes")
+    classes = ex.materialise(named.select("sig", "r.doc_id", "r.th").withColumns({"g": _group(plan, F.col("th")), "node": F.monotonically_increasing_id()}), "classes")
     # only rows with an id stand for a class
-    grouped = docs.select("g", "doc_id", "text") if stored else dealt(docs.select("doc_id", "text").where("doc_id is not null"), plan).repartition(plan.parts, "g")
-    marks = classes.select("g", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("sig").alias("vals"), "doc_id")
+    grouped = docs.select("g", "doc_id", "text") if stored else dealt(plan.reduced(docs.select("doc_id", "text").where("doc_id is not null")).drop("copies"), plan).repartition(plan.parts, "g")
+    marks = classes.select("g", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("sig").alias("vals"), "doc_id", "node")
     by_group = grouped.groupBy("g")
     blobs = by_group.cogroup(marks.groupBy("g")).applyInArrow(ex.two(_send_counts, n=n, bits=bits), schema=ex.BLOB)
-    replies = ex.answer(blobs, _merge_counts).withColumn("doc_id", F.lit(None).cast("long")).unionByName(marks)
+    replies = ex.answer(blobs, _merge_counts).withColumns({c: F.lit(None).cast("long") for c in ("doc_id", "node")}).unionByName(marks)
     alive = ex.materialise(by_group.cogroup(replies.groupBy("g")).applyInArrow(ex.two(_alive, n=n, bits=bits, percent=percent), schema=_ALIVE), "alive")
     postings = ex.materialise(alive.select("doc_id", "prefix", "grams").mapInArrow(_prefix_keys, "doc_id long, gram long"), "postings")
     first = postings.groupBy("gram").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
     shared = lookup(postings, first.select("gram", "b"), ["gram"], "inner", heavy_keys(postings, ["gram"]))
     families = components(shared.select(F.col("doc_id").alias("a"), "b")).withColumnsRenamed({"node": "doc_id", "component": "family"})
     edges = ex.materialise(_family_edges(alive, families, postings, percent), "links")
-    found = components(edges).withColumnsRenamed({"node": "doc_id"})
+    found = components(edges)
     for table in (alive, postings, families, edges):
         ex.discard(table)
-    reach = classes.join(found, "doc_id", "left").select("sig", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component"))
-    reach = ex.materialise(reach, "reach")
+    # classes are numbered, so that rows of one id with other texts are apart; the ids come back here
+    reach = ex.materialise(classes.join(found, "node", "left").select("sig", F.col("doc_id").alias("class_id"), F.coalesce("component", "node").alias("component")), "reach")
+    least = reach.groupBy("component").agg(F.min("class_id").alias("least"))
+    reach = ex.materialise(lookup(reach, least, ["component"], "inner", heavy_keys(reach, ["component"])).select("sig", "class_id", "least"), "reach")
     out = lookup(described, reach, ["sig"], "left", heavy_keys(described, ["sig"]))
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"))

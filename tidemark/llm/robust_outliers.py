@@ -213,7 +213,7 @@ def estimate(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int
 
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", level: float = LEVEL, prior: float = PRIOR) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
     keys = ["k_lang", "k_source"]
     named = docs.select("doc_id", "text", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in zip((lang, source), keys, strict=True)))
     rows = statistics(named, *keys).withColumn("base_failed", base_failed())
@@ -225,4 +225,4 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", level: fl
         out = out.withColumns({c: F.coalesce(c, F.lit(float(whole[c]))) for c in _ESTIMATE})
     cut = chi_square_value(1 - level, D)
     verdict = out.withColumn("distance", _distance())
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance")

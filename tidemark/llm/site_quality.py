@@ -157,6 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = smallest(known, sample, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` short rows at most
+    # of the rows of one id one counts, so that the sample is one of rows as well
+    rows = rows.groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("r")).select("r.text", "quality", "toxic")
     rows = materialise(rows.select("text", "quality", "toxic").mapInArrow(_cell_lists, _LISTS_DDL), "sampled")
     counts = materialise(rows.mapInArrow(_cell_counts, _CELLS_DDL).groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("low", "toxic", "clean"))), "cells")
     total = counts.where("cell = 255").first()

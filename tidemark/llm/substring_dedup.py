@@ -146,8 +146,8 @@ def _merge_windows(table: pa.Table) -> pa.Table:
     return ex.blob_table(rows, ex.REPLY_SCHEMA)
 
 
-_OUT = "doc_id long, n_words long, n_removed long, kept_text string"
-_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+_OUT = "doc_id long, n_words long, n_removed long, kept_text string, copies long"
+_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("copies", pa.int64())])
 
 
 def _remove(docs: pa.Table, replies: pa.Table, window: int, bits: int) -> pa.Table:
@@ -162,7 +162,7 @@ def _remove(docs: pa.Table, replies: pa.Table, window: int, bits: int) -> pa.Tab
     raw, bounds = fast_join(words, ~gone)
     kept = [raw[a : b - 1] if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return pa.table(
-        {"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": within_docs(gone, words), "kept_text": pa.array(kept, type=pa.binary()).cast(pa.string())},
+        {"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": within_docs(gone, words), "kept_text": pa.array(kept, type=pa.binary()).cast(pa.string()), "copies": docs.column("copies")},
         schema=_OUT_SCHEMA,
     )
 
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, plan: ex.Plan | None =
     by_group = grouped.groupBy("g")
     windows = by_group.cogroup(hits.groupBy("g")).applyInArrow(ex.two(_send_windows, window=window, bits=bits), schema=ex.BLOB)
     replies = hits.unionByName(ex.answer(windows, _merge_windows))
-    return by_group.cogroup(replies.groupBy("g")).applyInArrow(ex.two(_remove, window=window, bits=bits), schema=_OUT)
+    return ex.expanded(by_group.cogroup(replies.groupBy("g")).applyInArrow(ex.two(_remove, window=window, bits=bits), schema=_OUT))
 
 
 def digest(kept: DataFrame) -> DataFrame:
