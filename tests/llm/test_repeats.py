@@ -1,5 +1,6 @@
 """Tables of which one id, or one equal row, holds a third and more: against plain Python, with the largest group and the driver's rows."""
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -78,8 +79,10 @@ def test_site_quality_fits_on_one_row_of_an_id(spark, repeated, monkeypatch):
 
 def test_every_language_has_a_dictionary(spark, monkeypatch):
     """One whose rows all have one id, one that only repeats a row, and one of other texts."""
-    made = [(4, f"{brute.sentence(k, 30)} zed", "zz", "s", 1) for k in range(900)]
-    made += [(6, "ohne viele worte steht dieser satz immer wieder da", "yy", "s", 1)] * 900
+    one, two = [d for d in range(10) if zlib.crc32(str(d).encode()) % 5][:2]  # not held out
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits tell nothing of a language
+    made = [(one, brute.sentence(k, 30).translate(letters), "zz", "s", 1) for k in range(900)]
+    made += [(two, "ohne viele worte steht dieser satz immer wieder da", "yy", "s", 1)] * 900
     made += [(k, f"plain words number {k} of the third one", "xx", "s", 1) for k in range(100, 700)]
     df = spark.createDataFrame(made, DDL).repartition(5)
     for d in (3, 4, 5, 6, 7):  # also with ids whose hash lies elsewhere
@@ -88,7 +91,7 @@ def test_every_language_has_a_dictionary(spark, monkeypatch):
         known = language_id.learn(found, language_id.languages(found), dictionary_bytes=3_000)
         assert set(known) == {"xx", "yy", "zz"}
         assert all(len(v) <= 3_000 for v in known.values()) and min(len(known[k]) for k in ("xx", "zz")) > 1_000
-    assert language_id.identify(df).where("lang_pred = 'zz' and doc_id = 4").count() > 850
+    assert language_id.identify(df).where(f"lang_pred = 'zz' and doc_id = {one}").count() > 700
 
 
 def test_pii_strata_hold_each_candidate_once(spark, repeated, monkeypatch):

@@ -284,14 +284,16 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _tiles(lists: DataFrame, percent: int) -> DataFrame:
     """(node, family, component, n, step, tile, pure, single): documents of lists with several components, dealt to tiles.
 
-    Lists that share documents make a family.  A tile has documents of one family and of
+    Lists that share components make a family.  A tile has documents of one family and of
     like size; those of a large component have tiles of their own, which need not be
     compared among each other.  A small family is whole (`single`).
     """
-    firsts = lists.groupBy("list").agg(F.min("node").alias("first"))
-    joined = lookup(lists, firsts, ["list"], "inner", heavy_keys(lists, ["list"]))
-    families = components(joined.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).select("node", F.col("component").alias("family"))
-    nodes = ex.materialise(lists.select("node", "component", "n").distinct().join(families, "node"), "members")
+    held = ex.materialise(lists.select("list", "component").distinct(), "held")
+    firsts = held.groupBy("list").agg(F.min("component").alias("first"))
+    joined = lookup(held, firsts, ["list"], "inner", heavy_keys(held, ["list"]))
+    families = components(joined.where("component <> first").select(F.col("component").alias("a"), F.col("first").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    nodes = ex.materialise(lists.select("node", "component", "n").distinct(), "members")
+    nodes = ex.materialise(lookup(nodes, families, ["component"], "inner", heavy_keys(nodes, ["component"])), "members")
     width = math.log(100 / percent) * (1 + 1e-9)  # documents that link differ by one step at most
     of_family = nodes.groupBy("family").agg(((F.count(F.lit(1)) <= TILE) & (F.sum("n") <= LOAD)).alias("single"))
     sized = ex.materialise(lookup(nodes, of_family, ["family"], "inner", heavy_keys(nodes, ["family"])).withColumn("step", F.floor(F.log("n") / F.lit(width)).cast("int")), "members")
