@@ -12,14 +12,15 @@ from tidemark.operators.sequences import in_blocks, own_rows
 def unique(dim: DataFrame, keys: list[str]) -> DataFrame:
     """`dim` with one row for each key; a key that occurs twice is an error of the query that reads it, nulls count as a key.
 
-    The check is part of the aggregate that the join's shuffle needs anyway, and of the
-    key columns, so that no reader can prune it.
+    The check is a filter on the aggregate that the join's shuffle needs anyway, so it
+    adds neither a job nor a shuffle.  The partition number in it, of any value, keeps the
+    optimiser from dropping null keys before they are counted.  Only a reader that uses no
+    column of `dim` (nor an indicator) does not check it, as it does not read it at all.
     """
     values = [c for c in dim.columns if c not in keys]
     one = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in values))
-    broken = F.raise_error(F.lit(f"{keys} is not unique"))
-    first = F.when(F.col("_n") > 1, broken.cast(dim.schema[keys[0]].dataType)).otherwise(F.col(keys[0])).alias(keys[0])
-    return one.select(first, *keys[1:], *values)
+    broken = F.raise_error(F.lit(f"{keys} is not unique")).cast("boolean")
+    return one.where(F.when(F.col("_n") > 1, broken).otherwise(F.spark_partition_id() >= 0)).select(*keys, *values)
 
 
 def many_to_one(base: DataFrame, dim: DataFrame, keys: list[str], matched: str | None = None) -> DataFrame:

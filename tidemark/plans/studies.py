@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.operators import aggregates as agg
 from tidemark.operators import joins, sequences
-from tidemark.plans.catalog import DAILY, PANEL, PRICE, QUANTILES, QUERIES, STORE, Tables, daily, panel, price, query, store_day
+from tidemark.plans.catalog import DAILY, PANEL, QUANTILES, QUERIES, STORE, Tables, daily, panel, query, store_day
 from tidemark.sources import digests, footers
 from tidemark.streaming import metrics
 
@@ -73,11 +73,14 @@ def store_day_context(spark, sf_dir):
     return near.select("store", F.col("case_id.day").alias("day"), "relative_day", "visits", F.round(share, 6).alias("share"))
 
 
-@query(f"""WITH {PRICE}, k AS (SELECT * FROM price WHERE price IS NOT NULL), g AS (SELECT day FROM price WHERE price IS NULL)
-SELECT g.day, p.price AS previous, p.day AS previous_day, n.price AS "next", n.day AS next_day FROM g ASOF LEFT JOIN k p ON g.day > p.day ASOF LEFT JOIN k n ON g.day < n.day""")
+@query("""WITH d AS (SELECT o_orderdate::DATE AS day, CASE WHEN isodow(o_orderdate) < 6 THEN sum(round(o_totalprice * 100)::BIGINT)::BIGINT END AS cents FROM orders GROUP BY o_orderdate::DATE, isodow(o_orderdate)), k AS (SELECT * FROM d WHERE cents IS NOT NULL), g AS (SELECT day FROM d WHERE cents IS NULL)
+SELECT g.day, p.cents AS previous, p.day AS previous_day, n.cents AS "next", n.day AS next_day FROM g ASOF LEFT JOIN k p ON g.day > p.day ASOF LEFT JOIN k n ON g.day < n.day""")
 def gap_neighbours(spark, sf_dir):
-    """For every missing price the nearest known ones before and after it, however far."""
-    return sequences.nearest_known(price(Tables(spark, sf_dir)), [], "day", "price").where("price is null").drop("price")
+    """For every day without a total the nearest known ones before and after it, however far."""
+    day = F.to_date("o_orderdate")
+    totals = Tables(spark, sf_dir).orders.groupBy(day.alias("day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("t"))
+    rows = totals.select("day", F.when(~cal.is_weekend(F.col("day")), F.col("t")).alias("cents"))
+    return sequences.nearest_known(rows, [], "day", "cents").where("cents is null").drop("cents")
 
 
 @query(f"""WITH {PANEL}, k AS (SELECT * FROM panel WHERE sales > 30)
