@@ -41,7 +41,7 @@ from .skew import heavy_keys, lookup
 SKETCH = 64
 RUN = 3
 MISS = 1e-9  # accepted chance of overlooking one link
-LOAD = 2_000_000  # set values that members of one comparison task have
+LOAD = 400_000  # set values that members of one comparison task, or of a tile, have
 TILE = 256  # documents of a tile
 COLUMNS = 2048  # values of a column block
 _PAD = np.array([-1, -2], dtype=np.int64).view(np.uint64)  # fill short sketches of either side
@@ -321,7 +321,8 @@ def _cross_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int,
     if several.isEmpty():
         return None
     places = _tiles(several, percent)
-    bins = max(1, math.ceil(places.where("single").count() / TILE))
+    small = places.where("single").agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    bins = max(1, math.ceil(small["m"] / TILE), math.ceil(small["n"] / LOAD))
     spots = ex.materialise(several.select("list", "node").join(places.where("not single").select("node", "tile", "step"), "node").select("list", "tile", "step").distinct(), "spots")
     one_, two_ = (spots.select("list", F.col("tile").alias(f"t{i}"), F.col("step").alias(f"s{i}")) for i in (1, 2))
     pure = places.where("pure").select("tile").distinct()
