@@ -42,7 +42,7 @@ SKETCH = 64
 RUN = 3
 MISS = 1e-9  # accepted chance of overlooking one link
 LOAD = 400_000  # set values that members of one comparison task, or of a tile, have
-TILE = 256  # documents of a tile
+TILE = 1024  # documents of a tile
 COLUMNS = 2048  # values of a column block
 _PAD = np.array([-1, -2], dtype=np.int64).view(np.uint64)  # fill short sketches of either side
 
