@@ -323,7 +323,10 @@ def _cross_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int,
     places = _tiles(several, percent)
     small = places.where("single").agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     bins = max(1, math.ceil(small["m"] / TILE), math.ceil(small["n"] / LOAD))
-    spots = ex.materialise(several.select("list", "node").join(places.where("not single").select("node", "tile", "step"), "node").select("list", "tile", "step").distinct(), "spots")
+    of_node = several.groupBy("node").agg(F.collect_list("list").alias("lists"))  # at most RUN lists for each retained value
+    placed = of_node.join(places.where("not single").select("node", "tile", "step"), "node")
+    of_tile = placed.groupBy("tile", "step").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
+    spots = ex.materialise(of_tile.select(F.explode("lists").alias("list"), "tile", "step"), "spots")
     one_, two_ = (spots.select("list", F.col("tile").alias(f"t{i}"), F.col("step").alias(f"s{i}")) for i in (1, 2))
     pure = places.where("pure").select("tile").distinct()
     pairs = one_.join(two_, "list").where("t1 <= t2 and abs(s1 - s2) <= 1").select("t1", "t2").distinct()
