@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidemark.llm import bitmap, bottom_sketches, crc, exchange, skew, spelling_variants, target_resampling
+from tidemark.llm import bitmap, bottom_sketches, components, crc, exchange, skew, spelling_variants, target_resampling
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -168,6 +168,43 @@ def test_bottom_sketches_of_large_groups(spark, monkeypatch):
     assert rows(bottom_sketches.near_duplicates(df, 2, 80)) == near(made, 2, 80)
 
 
+def test_lists_of_one_document_meet_no_join(spark):
+    """Of 20,000 lists of one document nearly none is left, of lists of several documents none is lost."""
+    made = spark.range(20_000).selectExpr("xxhash64(id) AS list", "id AS node", "id AS n").unionByName(spark.range(600).selectExpr("xxhash64(id % 200, 1) AS list", "id AS node", "id AS n"))
+    postings = exchange.materialise(made, "postings")
+    firsts = exchange.materialise(postings.groupBy("list").count().where("count > 1").select("list"), "firsts")
+    left = bottom_sketches._of_several(postings, firsts)
+    assert left.join(firsts, "list", "left_semi").count() == 600
+    assert left.count() < 700
+
+
+@pytest.mark.parametrize("floor", [20_000, 50])
+def test_components_read_joined_edges_once(spark, monkeypatch, floor):
+    """Chains, hubs and cliques of any order of ids, and how many edges the rounds after the first one read."""
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    stored, draw = {}, random.Random(3)
+    plain = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: stored.setdefault(name, []).append(out := plain(df, name)) or out)
+    monkeypatch.setattr(components, "discard", lambda df: None)
+    edges = [(i, i + 1) for i in range(100)] + [(999, 1000 + i) for i in range(100)] + [(5000, 4000 + i) for i in range(60)] + [(2000 + i, 2000 + j) for i in range(40) for j in range(i)]
+    edges += [(6000 + draw.randrange(300), 6000 + draw.randrange(300)) for _ in range(250)] + [(3, 3), (None, 4), (50, 999)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert rows(components.components(df)) == Counter((x, find(x)) for x in root)
+    first, *later = [t.count() for t in stored["edges"]]
+    assert sum(later) < first / 4
+
+
 def test_limits_of_sketches():
     assert bottom_sketches.longest_run(80, 64) == 3
     assert list(bottom_sketches.run_lengths(5, 80)) == [2, 3] and list(bottom_sketches.run_lengths(6, 80)) == [3]

@@ -116,6 +116,22 @@ def _list_keys(batches, k: int, percent: int, most: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "node", "n"])
 
 
+def _of_several(postings: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Postings whose list may be one of `firsts`: most lists have one document and are dropped where they lie."""
+    turned = F.shiftleft("list", 32).bitwiseOR(F.shiftrightunsigned("list", 32))
+    probes = ex.materialise(firsts.select(F.explode(F.array("list", turned)).alias("h")), "probes")
+    out = postings.mapInArrow(functools.partial(_listed, flags=bitmap.build(probes)), postings.schema)
+    ex.discard(probes)
+    return out
+
+
+def _listed(batches, flags: Broadcast):
+    for batch in batches:
+        key = batch.column("list").to_numpy().view(np.uint64)
+        turned = (key << np.uint64(32)) | (key >> np.uint64(32))
+        yield batch.filter(pa.array(bitmap.maybe(flags.value, key) & bitmap.maybe(flags.value, turned)))
+
+
 def overlaps(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For rows of padded sketches: common values among the k least of the union, and all common ones."""
     both = np.sort(np.concatenate([left, right], axis=1), axis=1)
@@ -369,9 +385,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int
 
     keys = classes.select("node", "n", "sketch").mapInArrow(functools.partial(_list_keys, k=sketch, percent=percent, most=most), "list long, node long, n long")
     postings = ex.materialise(keys, "postings")
-    firsts = postings.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
-    lists = ex.materialise(lookup(postings, firsts.select("list", "least"), ["list"], "inner", heavy_keys(postings, ["list"])), "lists")
+    several = postings.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
+    firsts = ex.materialise(several.select("list", "least"), "firsts")
+    near = ex.materialise(_of_several(postings, firsts), "near")
     ex.discard(postings)
+    lists = ex.materialise(lookup(near, firsts, ["list"], "inner", heavy_keys(near, ["list"])), "lists")
+    for table in (near, firsts):
+        ex.discard(table)
 
     wanted = lists.select("node").distinct().join(classes.select("node", "doc_id", "th", "n"), "node")
     wanted = ex.materialise(wanted.withColumn("h", F.xxhash64("doc_id", "th")), "wanted")

@@ -37,7 +37,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     light, parts = left.where(whole), []
     if heavy is not None:
         known = materialise(right.join(F.broadcast(heavy), keys, "left_semi"), "heavy")
-        parts.append(left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(known), keys, how))
+        hot = left if how == "inner" else left.join(F.broadcast(heavy), keys, "left_semi")
+        parts.append(hot.join(F.broadcast(known), keys, how))
         light = light.join(F.broadcast(heavy), keys, "left_anti")
     parts.append(light.join(right, keys, how))
     if how == "left":
