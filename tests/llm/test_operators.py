@@ -255,6 +255,21 @@ def test_pii_of_a_text_of_megabytes(docs):
     assert time.time() - began < 60
 
 
+def test_pii_learns_from_all_candidates(spark):
+    """No candidate is left out at any weight of the corpus, and passes over the table equal one fit of all rows."""
+    made = [(i, f"call +1 (212) 555-{i:04d} or mail user{i % 7}@host{i % 40}.org, no. 12 of 10.0.{i % 300}.{i % 400}") for i in range(900)]
+    df = spark.createDataFrame(made + made[:300], "doc_id long, text string").repartition(5)
+    found = [(y, x) for _, text in made for s in [pii.candidates(text)] for y, x in zip(pii.weak_labels(text, s), pii.features(text, s), strict=True) if y >= 0]
+    trees = pii.train(df, sample=50)
+    assert trees.rows + trees.held == len(found) + sum(map(len, pii.examples().values()))
+    corpus = pii.gather(df, sample=10**9)
+    assert set(corpus.share.values()) == {1.0}
+    learned = [(r["y"], np.frombuffer(r["x"], dtype=np.float32).astype(float)) for r in corpus.table.where("not held").collect() for _ in range(r["n"])]
+    y, x = (np.array(c) for c in zip(*learned, strict=True))
+    plain, passes = pii.Trees(rounds=3).fit(x, y.astype(float)), pii.Trees(rounds=3).fit(x[:0], y[:0].astype(float), corpus=corpus)
+    assert plain.rows == passes.rows == len(y) and np.allclose(plain.chance(x), passes.chance(x), atol=1e-6)
+
+
 def test_pii_sample_shares():
     assert pii.quotas({(2, 1): 10, (3, 1): 10**9, (3, 0): 10**9}, 1010) == {(2, 1): 10, (3, 0): 500, (3, 1): 500}
     assert pii.quotas({}, 10) == {}

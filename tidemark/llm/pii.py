@@ -6,20 +6,22 @@ propose overlapping candidates: every digit group and every run of groups, every
 to end a number after a plus sign, every four parts of dotted numbers, what stands
 around an at sign (letters of any script, quotes, one label or more), and long mixed
 tokens.  Gradient-boosted trees on format and context features score them;
-they learn from a bounded sample of candidates, base spans against the rest, where
+they learn from all candidates, base spans against the rest, where
 candidates inside a dropped match that would pass alone, and addresses that would pass
 with plain letters, are left out.  What decides a label is no feature: numbers carry no
 check digit, digit count or octet, and tokens, which are labelled by an assignment before
 them, carry nothing of what stands before them, so that a token of like form is found
-without one.  Numbers have to hold their kind's rule besides (`_passes`).  Candidates are
-counted by kind and label first and drawn by hash from each of these strata, so that a
-frequent kind does not displace a rare one; built-in examples are always learned from
-too, so a small corpus needs no rule of its own.
+without one.  Numbers have to hold their kind's rule besides (`_passes`).  Equal
+rows count once, and candidates of equal features become one row with their number, which
+stays a Spark table; each level of a tree takes one pass over it for sums by feature and bin.
+Candidates of a kind and label share one weight (`quotas`), so that a frequent kind does not
+displace a rare one; built-in examples are always learned from too, so a small corpus needs
+no rule of its own.
 
 The threshold of a kind is the smallest score above which the estimated share of true
-ones reaches `precision` on held-out candidates, each weighted by what its stratum has in
-the corpus; of the negatives, as many count as hold the rule by chance (`CHANCE`: one number
-in ten passes Luhn, so for nine that fail one passes).  It is shrunk toward the threshold
+ones reaches `precision` on the held-out candidates, a third of all, each counted, with scores
+told apart to one in 65,536; of the negatives, as many count as hold the rule by chance
+(`CHANCE`: one number in ten passes Luhn, so for nine that fail one passes).  It is shrunk toward the threshold
 of all kinds by the number of held-out positives.  Chosen candidates that overlap no base
 span are added, the surest first.
 
@@ -40,14 +42,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix, release
-from .sampling import bound
+from .exchange import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SAMPLE = 20_000  # candidates that the trees learn from, at most
+SAMPLE = 20_000  # what the candidates of all kinds and labels weigh together, against one for each example
+CUTS = 24  # of a feature
+UNIT = 2.0**30  # sums of gradients are whole numbers of it, so no order of tasks changes them
+SCORES = 1 << 16  # steps of a score in the calibration
+TASKS = 64  # of one pass over the counted features, at most: each sends its sums to the driver
 PRECISION = 0.9
 CHANCE = (1.0, 0.25, 1 / 9, 0.25, 1.0)  # by kind: false ones that hold the rule, for each negative
 SHRINK = 20.0  # held-out positives that the threshold of all kinds counts as
@@ -182,7 +188,8 @@ def features(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
         rows.append(
             (kind, b - a if kind in (0, 4) else 0, sum(c.isalpha() for c in s), len(groups) if kind != 1 else 0, groups[0] if kind != 4 else 0, groups[-1] if kind not in (1, 4) else 0, max(groups) - min(groups) if kind != 1 else 0, separators, _class(before[-1:]), _class(text[b : b + 1]), s.count("(") + s.count(")"), s.count("-"), s.count("_"), len(set(s)) / (b - a), "=" in before or ":" in before, sum(c.isalpha() for c in before), bool(re.fullmatch("[0-9a-f]+", s)), *form, s.rpartition("@")[2].count(".") if kind == 0 else 0)
         )
-    return np.array(rows, dtype=np.float64).reshape(len(spans), N_FEATURES)
+    share, power = np.frexp(np.array(rows, dtype=np.float64).reshape(len(spans), N_FEATURES))
+    return np.ldexp(np.rint(share * 256) / 256, power)  # eight binary digits, so that a feature has few values
 
 
 N_FEATURES = 21
@@ -237,42 +244,50 @@ class Trees:
     depth: int = 3
     rate: float = 0.25
     start: float = 0.0
+    rows: int = 0  # candidates that were learned from
+    held: int = 0  # and those that decided the thresholds
     trees: list = field(default_factory=list)
     thresholds: dict = field(default_factory=dict)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 24))) for f in range(x.shape[1])]
-        p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, corpus: Candidates | None = None) -> Trees:
+        """Learn from the given rows and from all that are counted in `corpus`."""
+        weight, n = np.ones(len(y)) if weight is None else weight, np.ones(len(y))
+        cuts = _cuts(x, weight, corpus.values() if corpus else [])
+        at_start = corpus.weights() if corpus else (0.0, 0.0)
+        p = min(max(((weight * y).sum() + at_start[1]) / (weight.sum() + at_start[0]), 1e-3), 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
-        score = np.full(len(y), self.start)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), cuts, self.depth)
-            self.trees.append(tree)
-            score += self._values(tree, x)
+            splits: dict[int, tuple[int, float]] = {}
+            leaves: dict[int, float] = {}
+            for level in range(self.depth):
+                sums = _sums(self, x, y, n, weight, splits, level, cuts)
+                if corpus:
+                    sums += corpus.sums(self, splits, level, cuts)
+                if level == 0:
+                    self.rows = int(sums[0, 0, :, 2].sum())
+                for i, of_node in enumerate(sums, 1 << level):
+                    self._split(i, of_node, cuts, splits, leaves)
+            self.trees.append(_tree(1, splits, leaves))
         return self
 
-    def _grow(self, x, g, h, rows, cuts, depth):
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        leaf = self.rate * total_g / (total_h + 1.0)
-        if depth == 0 or len(rows) < 20:
-            return leaf
-        best = (1e-6, -1, 0.0)
+    def _split(self, i: int, sums: np.ndarray, cuts: list[np.ndarray], splits: dict, leaves: dict) -> None:
+        g, h = np.cumsum(sums[:, :, 0], axis=1) / UNIT, np.cumsum(sums[:, :, 1], axis=1) / UNIT
+        total_g, total_h, rows = g[0, -1], h[0, -1], sums[0, :, 2].sum()
+        leaf = lambda a, b: float(self.rate * a / (b + 1.0))
+        leaves.setdefault(i, leaf(total_g, total_h))
+        if rows < 20:
+            return
+        best = (1e-6, -1, 0)
         for f, c in enumerate(cuts):
-            if len(c) < 1:
-                continue
-            bins = np.searchsorted(c, x[rows, f], side="left")
-            left_g, left_h = np.cumsum(np.bincount(bins, g[rows], len(c) + 1))[:-1], np.cumsum(np.bincount(bins, h[rows], len(c) + 1))[:-1]
+            left_g, left_h = g[f, : len(c)], h[f, : len(c)]
             gain = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
             k = int(np.argmax(gain))
             if gain[k] > best[0]:
-                best = (float(gain[k]), f, float(c[k]))
-        if best[1] < 0:
-            return leaf
-        side = x[rows, best[1]] <= best[2]
-        if side.all() or not side.any():
-            return leaf
-        return (best[1], best[2], self._grow(x, g, h, rows[side], cuts, depth - 1), self._grow(x, g, h, rows[~side], cuts, depth - 1))
+                best = (float(gain[k]), f, k)
+        _, f, k = best
+        if f >= 0 and 0 < sums[f, : k + 1, 2].sum() < rows:
+            splits[i] = (f, float(cuts[f][k]))
+            leaves[2 * i], leaves[2 * i + 1] = leaf(g[f, k], h[f, k]), leaf(total_g - g[f, k], total_h - h[f, k])
 
     def _values(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -280,24 +295,131 @@ class Trees:
         f, cut, low, high = tree
         return np.where(x[:, f] <= cut, self._values(low, x), self._values(high, x))
 
-    def chance(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.start)
         for tree in self.trees:
             score += self._values(tree, x)
-        return 1 / (1 + np.exp(-score))
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float, weight: np.ndarray | None = None, by_chance: tuple[float, ...] = (1.0,) * len(KINDS)) -> Trees:
-        weight = np.ones(len(y)) if weight is None else weight
-        chance = self.chance(x)
-        false = np.where(y == 0, weight * np.array(by_chance)[x[:, 0].astype(int)], 0.0)
-        own = {k: x[:, 0] == k for k in range(len(KINDS))}
-        pooled = _smallest(chance, y * weight, false, precision)
-        for kind, at in own.items():
-            n = float(y[at].sum())
-            self.thresholds[kind] = (n * _smallest(chance[at], (y * weight)[at], false[at], precision) + SHRINK * pooled) / (n + SHRINK)
+        return score
+
+    def chance(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.score(x)))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float, by_chance: tuple[float, ...] = (1.0,) * len(KINDS), corpus: Candidates | None = None) -> Trees:
+        kind, chance, true, false = x[:, 0].astype(int), self.chance(x), (y == 1).astype(float), (y == 0).astype(float)
+        if corpus:
+            kind, chance, true, false = (np.concatenate(c) for c in zip((kind, chance, true, false), corpus.scores(self), strict=True))
+        self.held = int(true.sum() + false.sum())
+        false = false * np.array(by_chance)[kind]
+        pooled = _smallest(chance, true, false, precision)
+        for k in range(len(KINDS)):
+            at = kind == k
+            n = float(true[at].sum())
+            self.thresholds[k] = (n * _smallest(chance[at], true[at], false[at], precision) + SHRINK * pooled) / (n + SHRINK)
         return self
 
 
+def _cuts(x: np.ndarray, weight: np.ndarray, counted: list[tuple[int, float, float]]) -> list[np.ndarray]:
+    """Weighted quantiles of each feature, over given rows and (feature, value, weight) of others."""
+    more = np.array(counted, dtype=np.float64).reshape(-1, 3)
+    out = []
+    for f in range(x.shape[1]):
+        own = more[more[:, 0] == f]
+        values, place = np.unique(np.concatenate([x[:, f], own[:, 1]]), return_inverse=True)
+        share = np.cumsum(np.bincount(place, np.concatenate([weight, own[:, 2]])))
+        out.append(np.unique(values[np.minimum(np.searchsorted(share, np.linspace(0.02, 0.98, CUTS) * share[-1]), len(values) - 1)]))
+    return out
+
+
+def _sums(trees: Trees, x: np.ndarray, y: np.ndarray, n: np.ndarray, weight: np.ndarray, splits: dict, level: int, cuts: list[np.ndarray]) -> np.ndarray:
+    """Gradients, their slopes and numbers of rows, by node of the level, feature and bin, as whole numbers."""
+    node = np.ones(len(y), dtype=np.int64)
+    for i in sorted(splits):
+        f, cut = splits[i]
+        here = node == i
+        node[here] = 2 * i + (x[here, f] > cut)
+    p = 1 / (1 + np.exp(-trees.score(x)))
+    parts = [np.rint((y - p) * weight * n * UNIT), np.rint(p * (1 - p) * weight * n * UNIT), n]
+    here = node >= 1 << level
+    node, x, parts = node[here] - (1 << level), x[here], [v[here] for v in parts]
+    size = CUTS + 1
+    out = np.zeros((1 << level, len(cuts), size, 3))
+    for f, c in enumerate(cuts):
+        place = node * size + np.searchsorted(c, x[:, f], side="left")
+        for k, v in enumerate(parts):
+            out[:, f, :, k] = np.bincount(place, v, size << level).reshape(-1, size)
+    return out
+
+
+def _tree(i: int, splits: dict, leaves: dict):
+    return (*splits[i], _tree(2 * i, splits, leaves), _tree(2 * i + 1, splits, leaves)) if i in splits else leaves[i]
+
+
+def _read(batch: pa.RecordBatch, share: dict[tuple[int, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels, numbers and weights of counted candidates."""
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    y, n = batch.column("y").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+    return x, y, n, np.array([share[k, v] for k, v in zip(x[:, 0].astype(int).tolist(), y.tolist(), strict=True)], dtype=np.float64)
+
+
+def _pass_sums(batches, share, trees: Trees, splits: dict, level: int, cuts: list[np.ndarray]):
+    out = None
+    for batch in batches:
+        x, y, n, weight = _read(batch, share)
+        own = _sums(trees, x, y, n, weight, splits, level, cuts)
+        out = own if out is None else out + own
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+
+def _pass_values(batches, share):
+    for batch in batches:
+        x, _, n, weight = _read(batch, share)
+        for f in range(N_FEATURES):
+            values, place = np.unique(x[:, f], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f, dtype=np.int32)), pa.array(values), pa.array(np.rint(np.bincount(place, n * weight * UNIT)).astype(np.int64))], names=["f", "value", "w"])
+
+
+def _pass_scores(batches, share, trees: Trees):
+    for batch in batches:
+        x, y, n, _ = _read(batch, share)
+        step = np.minimum((trees.chance(x) * SCORES).astype(np.int64), SCORES - 1)
+        n = n.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(step), pa.array(np.where(y == 1, n, 0)), pa.array(np.where(y == 0, n, 0))], names=["kind", "step", "yes", "no"])
+
+
+@dataclass
+class Candidates:
+    """All candidates of a corpus as a stored table (kind, y, held, x, n), and the weight of one by kind and label."""
+
+    table: DataFrame
+    counts: dict[tuple[int, int], int]
+    share: dict[tuple[int, int], float]
+
+    def _over(self, held: bool, function, schema: str, **fixed) -> DataFrame:
+        of = self.table.where("held" if held else "not held").select("y", "x", "n").coalesce(TASKS)
+        return of.mapInArrow(functools.partial(function, share=self.share, **fixed), schema)
+
+    def weights(self) -> tuple[float, float]:
+        """What all weigh that are learned from, and the positives."""
+        found = self.table.where("not held").groupBy("kind", "y").agg(F.sum("n").alias("n")).orderBy("kind", "y").collect()
+        of = [(r["y"], r["n"] * self.share[r["kind"], r["y"]]) for r in found]
+        return sum(w for _, w in of), sum(w for y, w in of if y)
+
+    def values(self) -> list[tuple[int, float, float]]:
+        found = self._over(False, _pass_values, "f int, value double, w long").groupBy("f", "value").agg(F.sum("w").alias("w")).collect()
+        return [(r["f"], r["value"], r["w"] / UNIT) for r in found]
+
+    def sums(self, trees: Trees, splits: dict, level: int, cuts: list[np.ndarray]) -> np.ndarray:
+        found = self._over(False, _pass_sums, "sums binary", trees=trees, splits=splits, level=level, cuts=cuts).collect()
+        return sum((np.frombuffer(r["sums"]).reshape(1 << level, len(cuts), CUTS + 1, 3) for r in found), np.zeros((1 << level, len(cuts), CUTS + 1, 3)))
+
+    def scores(self, trees: Trees) -> tuple[np.ndarray, ...]:
+        """Kind, score, number of true and of false ones, of all that are held out."""
+        found = self._over(True, _pass_scores, "kind int, step long, yes long, no long", trees=trees).groupBy("kind", "step").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
+        kind, step, yes, no = np.array([tuple(r) for r in found], dtype=np.int64).reshape(-1, 4).T
+        return kind, step / SCORES, yes.astype(float), no.astype(float)
+
+
 def _smallest(chance: np.ndarray, true: np.ndarray, false: np.ndarray, precision: float) -> float:
     """The smallest score from which on true ones are `precision` of all; 1 if there is none."""
     order = np.argsort(-chance, kind="stable")
@@ -313,19 +435,8 @@ def _hashes(doc: int | None, text: str, spans: list[tuple[int, int, int]]) -> np
     return mix(mix(own + start) + end * np.uint64(8) + kind)
 
 
-def _counts(batches):
-    """Number of candidates by kind and weak label."""
-    for batch in batches:
-        n: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            if text and (spans := candidates(text)):
-                n.update((s[0], y) for s, y in zip(spans, weak_labels(text, spans), strict=True) if y >= 0)
-        keys = sorted(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([y for _, y in keys], pa.int32()), pa.array([n[k] for k in keys], pa.int64())], names=["kind", "y", "n"])
-
-
 def quotas(counts: dict[tuple[int, int], int], sample: int) -> dict[tuple[int, int], int]:
-    """How many candidates to take of each (kind, label): equal shares, and what small strata leave goes to the larger ones."""
+    """What the candidates of each (kind, label) weigh together: equal shares, and what small strata leave goes to the larger ones."""
     out, left = {}, sample
     for i, s in enumerate(sorted(counts, key=lambda s: (counts[s], s))):
         out[s] = min(counts[s], left // (len(counts) - i))
@@ -333,19 +444,19 @@ def quotas(counts: dict[tuple[int, int], int], sample: int) -> dict[tuple[int, i
     return out
 
 
-def _training_rows(batches, most: dict[tuple[int, int], int]):
-    """Features and weak labels of the candidates whose hash is at most `most` of their kind and label."""
+def _training_rows(batches):
+    """Features, as bytes, and weak labels of all candidates that have one."""
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if not text or not (spans := candidates(text)):
-                continue
-            hashes, labels = _hashes(doc, text, spans), weak_labels(text, spans)
-            at = [i for i, (h, s, y) in enumerate(zip(hashes.tolist(), spans, labels, strict=True)) if y >= 0 and h <= most[s[0], y]]
-            if at:
-                rows += [(spans[i][0], labels[i], h, x) for i, h, x in zip(at, hashes[at].view(np.int64).tolist(), features(text, [spans[i] for i in at]).tolist(), strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["kind", "y", "h", "x"])
+        for lo in range(0, batch.num_rows, 1000):
+            part, rows = batch.slice(lo, 1000), []
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if not text or not (spans := candidates(text)):
+                    continue
+                labels = weak_labels(text, spans)
+                x = features(text, spans).astype(np.float32)
+                rows += [(s[0], y, h, v.tobytes()) for s, y, h, v in zip(spans, labels, _hashes(doc, text, spans).view(np.int64).tolist(), x, strict=True) if y >= 0]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kind", "y", "h", "x"])
 
 
 @functools.lru_cache(maxsize=1)
@@ -381,26 +492,27 @@ def examples() -> dict[tuple[int, int], list[list[float]]]:
     return out
 
 
+def gather(docs: DataFrame, sample: int = SAMPLE) -> Candidates:
+    """All candidates of the corpus, counted by their features; a third is held out."""
+    rows = docs.select("doc_id", "text").mapInArrow(_training_rows, "kind int, y int, h long, x binary")
+    # equal rows have equal candidates: one of them counts, before the shuffle
+    once = rows.groupBy("kind", "y", "h").agg(F.min("x").alias("x"))
+    counted = once.groupBy("kind", "y", (F.pmod("h", F.lit(3)) == 0).alias("held"), "x").agg(F.count(F.lit(1)).alias("n"))
+    table = materialise(counted, "candidates")
+    counts = {(r["kind"], r["y"]): r["n"] for r in table.groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()}
+    return Candidates(table, counts, {s: n / counts[s] for s, n in quotas(counts, sample).items()})
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Trees:
-    """Trees from at most `sample` candidates, chosen by hash from each kind and label of the whole corpus, which are counted first."""
-    counted = docs.select("text").mapInArrow(_counts, "kind int, y int, n long").groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()
-    counts = {(r["kind"], r["y"]): r["n"] for r in counted}
-    share = quotas(counts, sample)
-    taken = []
-    if counts:
-        most = {s: bound(n, share[s]) - 1 for s, n in counts.items()}
-        rows = docs.select("doc_id", "text").mapInArrow(functools.partial(_training_rows, most=most), "kind int, y int, h long, x array<double>")
-        wanted = F.coalesce(*(F.when((F.col("kind") == k) & (F.col("y") == y), n) for (k, y), n in share.items()))
-        # equal rows have equal candidates: one of them counts, before the shuffle; what is left of a stratum is somewhat more than its share
-        rows = rows.groupBy("kind", "y", "h").agg(F.min("x").alias("x"))
-        place = F.row_number().over(Window.partitionBy("kind", "y").orderBy("h", "x"))
-        taken = rows.withColumn("k", place).where((F.col("k") <= max(share.values())) & (F.col("k") <= wanted)).orderBy("kind", "y", "k").collect()
-    drawn = Counter((r["kind"], r["y"]) for r in taken)
-    learned = [(r["kind"], r["y"], r["x"], counts[r["kind"], r["y"]] / drawn[r["kind"], r["y"]]) for r in taken]
-    learned += [(k, y, x, 1.0) for (k, y), xs in sorted(examples().items()) for x in xs]
-    _, y, x, weight = (np.array(c, dtype=np.float64) for c in zip(*learned, strict=True))
+    """Trees and thresholds from all candidates of the corpus, which together weigh as `sample` examples at most."""
+    corpus = gather(docs, sample)
+    learned = [(y, x) for (_, y), xs in sorted(examples().items()) for x in xs]
+    y, x = (np.array(c, dtype=np.float64) for c in zip(*learned, strict=True))
     held = np.arange(len(y)) % 3 == 0
-    return Trees().fit(x[~held], y[~held]).calibrate(x[held], y[held], precision, weight[held], CHANCE)
+    more = corpus if corpus.counts else None
+    trees = Trees().fit(x[~held], y[~held], corpus=more).calibrate(x[held], y[held], precision, CHANCE, more)
+    discard(corpus.table)
+    return trees
 
 
 def _select(texts: list[str | None], trees: Trees) -> list[tuple[list, list]]:
