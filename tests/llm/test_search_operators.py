@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import bitmap, bottom_sketches, components, crc, exchange, skew, spelling_variants, target_resampling
@@ -178,6 +179,38 @@ def test_lists_of_one_document_meet_no_join(spark):
     assert left.count() < 700
 
 
+def test_hot_lists_meet_no_filtering_join(spark, monkeypatch):
+    """Postings of near copies are neither set apart by joins nor labelled more than once."""
+    monkeypatch.setattr(skew, "FLOOR", 50)
+    plans, plain = {}, exchange.materialise
+    monkeypatch.setattr(exchange, "materialise", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    draw, base = random.Random(2), brute.sentence(9, 300).split()
+    made = []
+    for i in range(60):
+        w = list(base)
+        for k in range(draw.randrange(25)):
+            w[draw.randrange(300)] = f"new{i}_{k}"
+        made.append((i, " ".join(w)))
+    made += [(100 + i, brute.sentence(100 + i, 80)) for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(bottom_sketches.near_duplicates(df, 2, 80)) == near(made, 2, 80)
+    for name in ("lists", "mixed", "several"):
+        assert not any(kind in plan for plan in plans.get(name, []) for kind in ("LeftAnti", "LeftSemi", "LeftOuter")), name
+    assert "lists" in plans and "several" in plans and "held" not in plans
+
+
+def test_postings_of_hot_lists_know_their_least(spark):
+    made = spark.range(30_000).selectExpr("xxhash64(id % 3) AS list", "id + 5 AS node", "id AS n").unionByName(spark.range(4_000).selectExpr("xxhash64(id % 2000, 1) AS list", "id AS node", "id AS n"))
+    postings = exchange.materialise(made, "postings")
+    firsts = exchange.materialise(postings.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("m")), "firsts")
+    hot = skew.heaviest(firsts, "m")
+    assert sorted((r["least"], r["m"]) for r in hot) == [(5, 10_000), (6, 10_000), (7, 10_000)]
+    found = exchange.materialise(bottom_sketches._of_several(postings, firsts, hot), "near")
+    assert rows(found.where("m is not null").groupBy("least", "m").count()) == Counter([(5, 10_000, 10_000), (6, 10_000, 10_000), (7, 10_000, 10_000)])
+    assert found.where("m is not null and pmod(node - 5, 3) <> least - 5").isEmpty()
+    assert found.where("m is null and least is null").count() == 4_000
+
+
 @pytest.mark.parametrize("floor", [20_000, 50])
 def test_components_read_joined_edges_once(spark, monkeypatch, floor):
     """Chains, hubs and cliques of any order of ids, and how many edges the rounds after the first one read."""

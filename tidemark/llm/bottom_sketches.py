@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import bitmap
@@ -36,7 +37,7 @@ from . import exchange as ex
 from .arrays import mix, slices
 from .components import components
 from .ngram_join import _sets, _signatures, _spanning, linked
-from .skew import heavy_keys, lookup
+from .skew import heaviest, heavy_keys, lookup
 
 SKETCH = 64
 RUN = 3
@@ -116,20 +117,30 @@ def _list_keys(batches, k: int, percent: int, most: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["list", "node", "n"])
 
 
-def _of_several(postings: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Postings whose list may be one of `firsts`: most lists have one document and are dropped where they lie."""
+def _of_several(postings: DataFrame, firsts: DataFrame, hot: Sequence[Row] = ()) -> DataFrame:
+    """Postings whose list may be one of `firsts`: most lists have one document and are dropped where they lie.
+
+    Those of `hot` lists, rows of `firsts`, get their `least` and `m` here and need no join;
+    for the others both are null.
+    """
     turned = F.shiftleft("list", 32).bitwiseOR(F.shiftrightunsigned("list", 32))
     probes = ex.materialise(firsts.select(F.explode(F.array("list", turned)).alias("h")), "probes")
-    out = postings.mapInArrow(functools.partial(_listed, flags=bitmap.build(probes)), postings.schema)
+    known = np.array(sorted((r["list"], r["least"], r["m"]) for r in hot), dtype=np.int64).reshape(-1, 3)
+    out = postings.mapInArrow(functools.partial(_listed, flags=bitmap.build(probes), known=known), "list long, node long, n long, least long, m long")
     ex.discard(probes)
     return out
 
 
-def _listed(batches, flags: Broadcast):
+def _listed(batches, flags: Broadcast, known: np.ndarray):
     for batch in batches:
         key = batch.column("list").to_numpy().view(np.uint64)
         turned = (key << np.uint64(32)) | (key >> np.uint64(32))
-        yield batch.filter(pa.array(bitmap.maybe(flags.value, key) & bitmap.maybe(flags.value, turned)))
+        rows = batch.filter(pa.array(bitmap.maybe(flags.value, key) & bitmap.maybe(flags.value, turned)))
+        list_ = rows.column("list").to_numpy()
+        met = np.isin(list_, known[:, 0])
+        facts = np.zeros((len(list_), 2), dtype=np.int64)
+        facts[met] = known[np.searchsorted(known[:, 0], list_[met]), 1:]
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("list", "node", "n")), *(pa.array(f, mask=~met) for f in facts.T)], names=["list", "node", "n", "least", "m"])
 
 
 def overlaps(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +224,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, edges: DataFrame, node: str, label: str) -> DataFrame:
-    """Rows with the component of a node."""
+    """Rows with the component of a node; none has more than its postings, so no key is heavy."""
     found = components(edges).select(F.col("node").alias(node), F.col("component").alias(label))
-    return lookup(rows, found, [node], "left", heavy_keys(rows, [node])).withColumn(label, F.coalesce(label, node))
+    return rows.join(found, node, "left").withColumn(label, F.coalesce(label, node))
 
 
 _SEEN_SCHEMA = pa.schema([("t1", pa.string()), ("t2", pa.string()), ("node", pa.int64()), ("side", pa.int32())])
@@ -300,14 +311,12 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _tiles(lists: DataFrame, percent: int) -> DataFrame:
     """(node, family, component, n, step, tile, pure, single): documents of lists with several components, dealt to tiles.
 
-    Lists that share components make a family.  A tile has documents of one family and of
+    `lists` has (list, node, n, component, lo), with the least component of a list.  Lists that
+    share components make a family.  A tile has documents of one family and of
     like size; those of a large component have tiles of their own, which need not be
     compared among each other.  A small family is whole (`single`).
     """
-    held = ex.materialise(lists.select("list", "component").distinct(), "held")
-    firsts = held.groupBy("list").agg(F.min("component").alias("first"))
-    joined = lookup(held, firsts, ["list"], "inner", heavy_keys(held, ["list"]))
-    families = components(joined.where("component <> first").select(F.col("component").alias("a"), F.col("first").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    families = components(lists.where("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
     nodes = ex.materialise(lists.select("node", "component", "n").distinct(), "members")
     nodes = ex.materialise(lookup(nodes, families, ["component"], "inner", heavy_keys(nodes, ["component"])), "members")
     width = math.log(100 / percent) * (1 + 1e-9)  # documents that link differ by one step at most
@@ -328,12 +337,16 @@ def _tiles(lists: DataFrame, percent: int) -> DataFrame:
 def _cross_links(lists: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, least: int) -> DataFrame | None:
     """Stored links between components that lists hold together; none if no list does.
 
-    `lists` has (list, node, n, component).  Lists of two documents are decided already.
-    Tiles meet if they share a list and their sizes are near, so that no row is made for
+    `lists` is a stored table of (list, node, n, hot, component), of lists with more than two
+    documents, as those of two are decided already; fewer than `skew.HEAVY` lists are hot.  Tiles meet if they share a list and their sizes are near, so that no row is made for
     a pair of documents; full sets follow only where sketches have likely partners.
     """
-    counted = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2").select("list")
-    several = ex.materialise(lookup(lists, counted, ["list"], "inner", heavy_keys(lists, ["list"])), "several")
+    mixed = lists.groupBy("list", "hot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    mixed = ex.materialise(mixed.select("list", "hot", "lo"), "mixed")
+    light = lists.where("not hot").join(mixed.where("not hot").select("list", "lo"), "list")
+    hot = lists.where("hot").join(F.broadcast(mixed.where("hot").select("list", "lo")), "list")
+    several = ex.materialise(light.unionByName(hot).drop("hot"), "several")
+    ex.discard(mixed)
     if several.isEmpty():
         return None
     places = _tiles(several, percent)
@@ -385,11 +398,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int
 
     keys = classes.select("node", "n", "sketch").mapInArrow(functools.partial(_list_keys, k=sketch, percent=percent, most=most), "list long, node long, n long")
     postings = ex.materialise(keys, "postings")
-    several = postings.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last")
-    firsts = ex.materialise(several.select("list", "least"), "firsts")
-    near = ex.materialise(_of_several(postings, firsts), "near")
+    several = postings.groupBy("list").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")).where("least < last")
+    firsts = ex.materialise(several.select("list", "least", "m"), "firsts")
+    near = ex.materialise(_of_several(postings, firsts, heaviest(firsts, "m")), "near")
     ex.discard(postings)
-    lists = ex.materialise(lookup(near, firsts, ["list"], "inner", heavy_keys(near, ["list"])), "lists")
+    light = near.where("m is null").select("list", "node", "n").join(firsts, "list").withColumn("hot", F.lit(False))
+    lists = ex.materialise(light.unionByName(near.where("m is not null").withColumn("hot", F.lit(True))), "lists")
     for table in (near, firsts):
         ex.discard(table)
 
@@ -400,10 +414,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, sketch: int
 
     star = lists.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     edges = _verified(_pair_sketches(star, classes, sketch, percent, least, "star"), sets, percent)
-    more = _cross_links(_labelled(lists, edges, "node", "component"), classes, sets, sketch, percent, least)
+    labelled = ex.materialise(_labelled(lists.where("m > 2").select("list", "node", "n", "hot"), edges, "node", "component"), "labelled")
+    ex.discard(lists)
+    more = _cross_links(labelled, classes, sets, sketch, percent, least)
     if more is not None:
         edges = edges.unionByName(more)
-    for table in (lists, wanted, sets):
+    for table in (labelled, wanted, sets):
         ex.discard(table)
 
     reach = ex.materialise(_labelled(classes.select("sig", "doc_id", "node"), edges, "node", "component"), "reach")

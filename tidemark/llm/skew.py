@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .exchange import materialise
@@ -26,6 +26,12 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def heaviest(counted: DataFrame, n: str) -> list[Row]:
+    """The same of a stored table with one row for each key and its number of rows `n`: fewer than `HEAVY` of its rows."""
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    return [] if total <= FLOOR else counted.where(F.col(n) > total / HEAVY).collect()
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", heavy: DataFrame | None = None) -> DataFrame:
     """`left` with the columns of the one row of `right` that has its keys.
 
