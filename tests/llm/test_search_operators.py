@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,62 @@ def test_bottom_sketches_of_large_groups(spark, monkeypatch):
     assert rows(bottom_sketches.near_duplicates(df, 2, 80)) == near(made, 2, 80)
 
 
+def test_common_runs_of_unlike_texts_fill_no_tiles(spark, monkeypatch):
+    """Texts that share runs of common values by chance, and nothing else, are no candidates of each other."""
+    monkeypatch.setattr(bottom_sketches, "TILE", 16)
+    tiled, plain = [], bottom_sketches._tiles
+    monkeypatch.setattr(bottom_sketches, "_tiles", lambda lists, percent: tiled.append(lists.select("node").distinct().count()) or plain(lists, percent))
+    passage = brute.sentence(3, 40).split()
+    made = [(i, " ".join([*(f"own{i}_{k}" for k in range(70)), *passage])) for i in range(120)]
+    made += [(200 + i, " ".join([*(f"own{i}_{k}" for k in range(70)), *passage, f"end{i}"])) for i in range(0, 120, 10)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    assert rows(bottom_sketches.near_duplicates(df, 2, 80)) == near(made, 2, 80)
+    assert sum(tiled) <= 30
+
+
+@pytest.mark.parametrize(("short", "size"), [(1, 4096), (4, 16), (1000, 16)])
+def test_rare_values_find_what_runs_find(spark, monkeypatch, short, size):
+    """The same links by tiles of common values alone, by pairs of rare ones, and by both."""
+    for name, value in (("SHORT", short), ("BIN", size), ("TILE", 16)):
+        monkeypatch.setattr(bottom_sketches, name, value)
+    draw, made = random.Random(4), []
+    for c in range(6):
+        base = brute.sentence(c, draw.choice([12, 60, 200])).split()
+        for i in range(25):
+            w = list(base)
+            for k in range(draw.randrange(1 + len(w) // 9)):
+                w[draw.randrange(len(w))] = f"new{i % 9}_{k}"
+            made.append((len(made), " ".join(w)))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    assert rows(bottom_sketches.near_duplicates(df, 2, 80)) == near(made, 2, 80)
+
+
+def test_links_share_one_of_their_rarest_values(spark):
+    """For any grades, two sketches with as many common values as a link has share a chosen one."""
+    draw = np.random.default_rng(6)
+    k, percent, least = 64, 80, bottom_sketches.least_common(80, 64)
+    pool = draw.integers(0, 1 << 62, 90).astype(np.uint64)
+    sizes = [4, 5, 9, 40, 64, 64, 64, 64] * 12
+    sketches = [np.sort(draw.choice(pool[: max(s, 3 * s // 2)], s, replace=False)) for s in sizes]
+    table = pa.table({"node": range(len(sizes)), "n": [s if s < 64 else int(draw.integers(64, 90)) for s in sizes], "component": range(len(sizes)), "sketch": [x.tobytes() for x in sketches]})
+    members = exchange.materialise(spark.createDataFrame(table.to_pandas()), "members")
+    grades, bits = bottom_sketches._grades(members, k)
+    counts = Counter(v for x in sketches for v in x.tolist())
+    grade = dict(zip(counts, grades.value[bottom_sketches._cells([np.array(list(counts), dtype=np.uint64).tobytes()], bits)].tolist(), strict=True))
+    assert all(grade[v] >= math.floor(8 * math.log2(m)) for v, m in counts.items())
+    chosen = defaultdict(set)
+    for batch in bottom_sketches._rarest(table.to_batches(), k, percent, least, grades, bits):
+        for v, i in zip(batch.column("list").to_pylist(), batch.column("node").to_pylist(), strict=True):
+            chosen[i].add(v)
+    n, met = table.column("n").to_pylist(), 0
+    for i in range(len(sizes)):
+        for j in range(i):
+            if len(np.intersect1d(sketches[i], sketches[j])) >= min(least, -(-percent * max(n[i], n[j]) // 100)):
+                met += 1
+                assert chosen[i] & chosen[j], (i, j)
+    assert met > 100
+
+
 def test_lists_of_one_document_meet_no_join(spark):
     """Of 20,000 lists of one document nearly none is left, of lists of several documents none is lost."""
     made = spark.range(20_000).selectExpr("xxhash64(id) AS list", "id AS node", "id AS n").unionByName(spark.range(600).selectExpr("xxhash64(id % 200, 1) AS list", "id AS node", "id AS n"))
